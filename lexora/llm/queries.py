@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexora.llm import secrets
+from lexora.llm.bpe import encode_documents
 from lexora.llm.near_dedup import near_duplicates
+from lexora.llm.packing import pack_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +21,31 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of documents, with corpus-wide ownership."""
+    return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("key", "found")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents and the text they decode to, as digests."""
+    return encode_documents(_table(spark, sf_dir, "documents"), digest=True)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 2048 tokens."""
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_secret_scan": op2_secret_scan,
+        "op6_bpe": op6_bpe,
+        "op7_packing": op7_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_secret_scan": secrets.ORACLE,
+    }
