@@ -51,8 +51,20 @@ def _powers(n: int) -> np.ndarray:
     return _POWER[:n]
 
 
-def _hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes, and where each word starts. edges: offsets in data at which a word must end."""
+#: Byte classes for shapes: lower-case letters (and bytes beyond ASCII), capitals and digits; other bytes are their own class.
+_CLASS = np.arange(256, dtype=np.uint8)
+_CLASS[97:123] = _CLASS[128:] = 97
+_CLASS[65:91] = 65
+_CLASS[48:58] = 48
+_SHAPE = stream(13, 256)
+_SHAPE[_SPACE] = 0
+
+
+def _hash_words(data: np.ndarray, edges: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes, and where each word starts. edges: offsets in data at which a word must end.
+
+    With ``shape``, a word stands for the classes of its bytes, runs of one class taken as one.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     solid = ~_SPACE[data]
@@ -65,13 +77,23 @@ def _hash_words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), starts
     with np.errstate(over="ignore"):
         width = np.diff(np.append(starts, len(data)))
+        if shape:
+            kind = _CLASS[data]
+            turn = first.copy()
+            turn[1:] |= kind[1:] != kind[:-1]
+            turn &= solid
+            runs = np.cumsum(turn)
+            runs[starts[0]:] -= np.repeat(runs[starts], width)
+            runs[:starts[0]] = 0
+            values = np.where(turn, _SHAPE[kind] * _powers(int(runs.max()) + 1)[runs], _U(0))
+            return mix(np.add.reduceat(values, starts)), starts
         place = np.arange(len(data), dtype=np.int64)
         place[starts[0]:] -= np.repeat(starts, width)
         values = _BYTE[data] * _powers(int(max(width.max(), starts[0])) + 1)[place]
         return mix(np.add.reduceat(values, starts)), starts
 
 
-def words_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, edges: np.ndarray, shape: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the words of the texts data[edges[i]:edges[i + 1]]."""
     n = len(edges) - 1
     hashes, counts, i = [], np.zeros(n, np.int64), 0
@@ -84,7 +106,7 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 spaces = np.flatnonzero(_SPACE[data[lo:lo + CHUNK]])
                 later = () if len(spaces) else np.flatnonzero(_SPACE[data[lo + CHUNK:hi]])
                 end = lo + int(spaces[-1]) + 1 if len(spaces) else lo + CHUNK + int(later[0]) + 1 if len(later) else hi
-            found, starts = _hash_words(data[lo:end], edges[i:j + 1] - lo)
+            found, starts = _hash_words(data[lo:end], edges[i:j + 1] - lo, shape)
             hashes.append(found)
             inner = np.searchsorted(starts, np.clip(edges[i:j + 1] - lo, 0, end - lo))
             counts[i:j] += np.diff(inner)
@@ -93,6 +115,31 @@ def words_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), counts
 
 
+_EXACT = stream(14, 256)
+
+
+def segments_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts as words with the white space behind them, byte for byte.
+
+    Returns hashes of the segments, whether each holds a line end, and segments of each text.
+    """
+    lo, hi = int(edges[0]), int(edges[-1])
+    counts = np.zeros(len(edges) - 1, np.int64)
+    if lo == hi:
+        return np.zeros(0, np.uint64), np.zeros(0, bool), counts
+    data, edges = data[lo:hi], edges - lo
+    solid = ~_SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    first[edges[:-1][edges[:-1] < len(data)]] = True
+    starts = np.flatnonzero(first)
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    with np.errstate(over="ignore"):
+        hashes = mix(np.add.reduceat(_EXACT[data] * _powers(int(place.max()) + 1)[place], starts))
+    lines = np.logical_or.reduceat(data == 10, starts)
+    return hashes, lines, np.diff(np.searchsorted(starts, edges))
+
+
 def join_words(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of ``width`` words."""
     n = len(words) - width + 1

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lexora.llm import secrets
 from lexora.llm.bpe import encode_documents
+from lexora.llm.fingerprint import fingerprint_edits
 from lexora.llm.near_dedup import near_duplicates
 from lexora.llm.packing import pack_documents
+from lexora.llm.quality import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents")).drop("key", "found")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of documents."""
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents and the text they decode to, as digests."""
     return encode_documents(_table(spark, sf_dir, "documents"), digest=True)
@@ -36,12 +43,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of documents and of their edited texts."""
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
         "op2_secret_scan": op2_secret_scan,
+        "op3_quality": op3_quality,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
+        "op8_fingerprint": op8_fingerprint,
     }
 
 
