@@ -12,6 +12,7 @@ from lexora.llm.fingerprint import fingerprint_edits
 from lexora.llm.near_dedup import near_duplicates
 from lexora.llm.packing import pack_documents
 from lexora.llm.quality import quality
+from lexora.llm.warc import archive_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,11 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to dictionary-compressed archives and read back."""
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op8_fingerprint": op8_fingerprint,
+        "op10_warc": op10_warc,
     }
 
 
