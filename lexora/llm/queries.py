@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexora.llm import secrets
+from lexora.llm.ann import nearest
 from lexora.llm.bpe import encode_documents
 from lexora.llm.fingerprint import fingerprint_edits
 from lexora.llm.near_dedup import near_duplicates
@@ -34,6 +35,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest neighbours of every hundredth embedding."""
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents and the text they decode to, as digests."""
     return encode_documents(_table(spark, sf_dir, "documents"), digest=True)
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": op1_near_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_quality": op3_quality,
+        "op4_hash_forest": op4_hash_forest,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op8_fingerprint": op8_fingerprint,
