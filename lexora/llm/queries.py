@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexora.llm import secrets
+from lexora.llm import secrets, sharding
 from lexora.llm.ann import nearest
 from lexora.llm.bpe import encode_documents
 from lexora.llm.fingerprint import fingerprint_edits
+from lexora.llm.licenses import scan_licenses
 from lexora.llm.near_dedup import near_duplicates
 from lexora.llm.packing import pack_documents
 from lexora.llm.quality import quality
@@ -40,6 +41,11 @@ def op4_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families stated in documents."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents and the text they decode to, as digests."""
     return encode_documents(_table(spark, sf_dir, "documents"), digest=True)
@@ -55,6 +61,11 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt into shards of at most 1 MiB of text."""
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to dictionary-compressed archives and read back."""
     return archive_pages(_table(spark, sf_dir, "pages"))
@@ -66,9 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": op2_secret_scan,
         "op3_quality": op3_quality,
         "op4_hash_forest": op4_hash_forest,
+        "op5_license_scan": op5_license_scan,
         "op6_bpe": op6_bpe,
         "op7_packing": op7_packing,
         "op8_fingerprint": op8_fingerprint,
+        "op9_sharding": op9_sharding,
         "op10_warc": op10_warc,
     }
 
@@ -76,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": secrets.ORACLE,
+        "op9_sharding": sharding.ORACLE,
     }
