@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexora.plans import evidence  # noqa: F401  registers its queries
+from lexora.plans import entities, evidence  # noqa: F401  register their queries
 from lexora.plans.registry import ORACLES, QUERIES, Query
 
 
