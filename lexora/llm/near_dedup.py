@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +80,21 @@ def chosen_paths(tokens: np.ndarray, trees: int, levels: list[int], seed: int) -
     return paths
 
 
+def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed: those with company are written and shuffled again."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        small = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["doc_id", "text"])
+
+
+def _full(column: pa.Array) -> pa.Array:
+    if not pa.types.is_binary(column.type):
+        return column
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x) for x in column.to_pylist()], pa.large_binary())
+
+
 def _sketcher(trees: int, levels: list[int], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = stream(77, TOKENS) | _U(1)
@@ -86,7 +102,7 @@ def _sketcher(trees: int, levels: list[int], seed: int):
         for batch in batches:
             sizes, k1, k2, tokens = [], [], [], []
             with np.errstate(over="ignore"):
-                for own in shingle_sets(batch.column(1)):
+                for own in shingle_sets(_full(batch.column(1))):
                     sizes.append(len(own))
                     k1.append(np.add.reduce(mix(own ^ spread[0])) + _U(len(own)))
                     k2.append(np.add.reduce(mix(own ^ spread[1])) + _U(len(own)))
@@ -115,7 +131,7 @@ def _confirmer(percent: int):
         for batch in batches:
             hub, salt, role, node = (batch.column(i).to_pylist() for i in range(4))
             left, right = [], []
-            for i, own in enumerate(shingle_sets(batch.column(4))):
+            for i, own in enumerate(shingle_sets(_full(batch.column(4)))):
                 if (hub[i], salt[i]) != group:
                     group, hubs = (hub[i], salt[i]), []
                 if role[i] == 0:
@@ -198,6 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFr
     sizes = sketch.where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
     sizes = cut(company.select("node").distinct().join(sizes, "node"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(sizes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = cut(texts.mapInArrow(_shrink, "doc_id long, text binary"))
 
     star = _sized(company.where("node != hub").select("hub", "node").distinct(), sizes, percent)
     star = cut(star)
