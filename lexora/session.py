@@ -48,9 +48,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back from there; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back from there; survives lost executors.
+
+    The result is a plain scan of what was written. A checkpoint alone would go on estimating its
+    size from the plan behind it, and as a join's estimate is the product of its sides', an
+    iteration's estimates would grow until planning takes longer than the work.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    written = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
