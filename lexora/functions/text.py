@@ -301,6 +301,18 @@ def mask_personal(c: Column, most: int = 120) -> Column:
     return F.left(squeeze(F.regexp_replace(safe, r"\d[\d -]{6,}\d", "[number]")), F.lit(most))
 
 
+def phrase_in_segment(notes: Column, marker: str, phrases: list[str]) -> Column:
+    """Whether one of some phrases stands in the part of the notes behind a marker, up to the next bracket."""
+    behind = F.when(F.contains(notes, F.lit(marker)), F.substring_index(notes, marker, -1))
+    segment = F.substring_index(behind, "[", 1)
+    return F.coalesce(F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(segment, p)), F.lit(False))
+
+
+def not_tombstone(status: Column, notes: Column, marker: str, exempt: list[str], dead: str = "rejected") -> Column:
+    """Whether a row may be asked for again: not rejected, or rejected for a reason that does not last."""
+    return ~(status == dead) | phrase_in_segment(notes, marker, exempt)
+
+
 # Conversion tables of Hangul syllables to katakana, by initial, vowel and final in Unicode order.
 _INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
 _VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"

@@ -120,3 +120,10 @@ def test_gate_always_decides(spark, terms):
 @pytest.mark.parametrize("term, reason", [("", "empty"), ("임ㅇ원희", "lone_jamo"), ("qwerty", "mash"), ("가" * 21, "len_gt_max"), ("한 두 세 네", "many_words"), ("노래해주세요", "josa_tail"), ("우리언니 공연", "fan_honorific"), ("방탄2", "hangul_digit"), ("아이유", "ambiguous")])
 def test_pre_gate(spark, term, reason):
     assert value(spark, gate.pre_gate(F.col("t")), t=term)["reason"] == reason
+
+
+def test_tombstones(spark):
+    alive = T.not_tombstone(F.col("s"), F.col("n"), "[rejected]", ["no source yet"])
+    assert value(spark, alive, s="active", n="") is True
+    assert value(spark, alive, s="rejected", n="[rejected] out of scope [seen] no source yet") is False
+    assert value(spark, alive, s="rejected", n="[rejected] no source yet [seen]") is True
