@@ -2,24 +2,25 @@
 
 Method. A document is the set of its distinct five-word shingles (``_hashing``). Documents with
 equal sets are one class and take part once, so copies cost nothing. Every class walks down
-``trees`` independent trees. At each node of a tree, two of ``TOKENS`` minwise tokens are
-selected by a hash of the node's path alone, and the class goes on into one child for each
-selected token; the child's path holds the token, so two sets of similarity s share a child with
-probability s. After ``DEPTH`` levels a pair at the threshold has been together in some node of a
-tree with probability over 0.94, and the number of trees is chosen so that the chance of missing
-it in all of them is under ``MISS``.
-
-Nodes are compared in two rounds, and every link is confirmed on the full sets:
-
-1. each member against the node's first member. That settles groups of many near copies with a
-   number of comparisons linear in the group;
-2. members of one node that are still in different components: all pairs in nodes of up to
-   ``SMALL`` members. Larger nodes are branched further by fresh, deeper trees in which most
-   levels select one token; what is still large after ``REGROW`` such rounds is compared whole,
-   pair by pair between components, so no link is given up.
-
-A pair inside a component is never compared twice, so only links that cannot change a component
-are left out.
+independent trees. At each node of a tree one or two of ``TOKENS`` minwise tokens are selected by a
+hash of the node's path alone, and the class goes on into one child for each selected token; the
+child's path holds the token, so two sets of similarity s share a child with probability s. Two
+tokens are selected on the first levels, which keeps pairs at the threshold together, and one on the
+levels below, which parts the others. The number of trees is chosen so that the chance of missing a
+pair at the threshold in all of them is under ``MISS``.
+
+Nodes are compared in two ways, and every link is confirmed on the full sets:
+
+1. star rounds: each member against one member of its node that is in another component. A round is
+   linear in the node's members and settles groups of many near copies; later rounds, with other
+   centres, look only at nodes that still hold several components;
+2. what is left: all members of a node against each other by their minwise tokens, and the pairs of
+   different components that may reach the threshold on the sets. Nodes of more than ``SMALL``
+   members are branched further first, by deeper trees, and what stays larger is compared block by
+   block, so no link is given up.
+
+A pair inside a component is not compared, so only links that cannot change a component are left
+out. A pair at the threshold passes the comparison by tokens with a probability over 0.999999.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with
 nothing. Rows with a null doc_id take part in no link; their component_id is null and they are
@@ -42,18 +43,25 @@ from lexora.llm._hashing import mix, shingle_sets, stream
 from lexora.operators.components import connected_components
 from lexora.session import bound_batches, cut, shared_dir
 
-TOKENS, DEPTH, MISS = 48, 3, 2e-6
-SMALL, REGROW, SALTED = 64, 3, 512
+TOKENS, MISS = 96, 4e-6
+#: Standard deviations below the threshold at which the tokens of a pair still let it pass.
+SLACK = 4.8
+ROUNDS, SMALL, REGROW, SALTED = 3, 512, 2, 512
 
 _U = np.uint64
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, paths array<long>"
+_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, paths array<long>"
 
 
-def trees_for(similarity: float, depth: int = DEPTH, miss: float = MISS) -> int:
+def levels_for(similarity: float, deeper: int = 0) -> list[int]:
+    """Tokens selected on each level: two on three levels, then one on as many as cost little recall."""
+    return [2, 2, 2] + [1] * (int(math.log(0.44) / math.log(similarity)) + deeper)
+
+
+def trees_for(similarity: float, levels: list[int], miss: float = MISS) -> int:
     """Trees that miss a pair at the threshold with probability ``miss`` at most."""
     lost = 0.0
-    for _ in range(depth):
-        lost = (1 - similarity + similarity * lost) ** 2
+    for fan in reversed(levels):
+        lost = (1 - similarity + similarity * lost) ** fan
     return math.ceil(math.log(miss) / math.log(lost))
 
 
@@ -110,11 +118,12 @@ def _sketcher(trees: int, levels: list[int], seed: int):
             n = len(sizes)
             paths = chosen_paths(np.array(tokens, dtype=np.uint64).reshape(n, TOKENS), trees, levels, seed)
             flat = pa.array(paths.reshape(-1).view(np.int64))
+            marks = np.array(tokens, dtype=np.uint64).reshape(n, TOKENS).astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * paths.shape[1]), flat)
             as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), as_long(k1), as_long(k2), lists],
-                ["doc_id", "n_shingles", "k1", "k2", "paths"],
+                [batch.column(0), pa.array(sizes, pa.int64()), as_long(k1), as_long(k2), pa.array([m.tobytes() for m in marks], pa.binary()), lists],
+                ["doc_id", "n_shingles", "k1", "k2", "tokens", "paths"],
             )
 
     return run
@@ -172,27 +181,91 @@ def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _company(classes: DataFrame) -> DataFrame:
-    """(path, node, hub) for the members of nodes with company; hub is a node's first member."""
+    """(path, node) for the members of nodes with company."""
     rows = classes.select("node", F.explode("paths").alias("path"))
-    hubs = rows.groupBy("path").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    return rows.join(hubs, "path").select("path", "node", "hub")
+    held = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1").select("path")
+    return rows.join(held, "path").select("path", "node")
 
 
 def _mixed(company: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, node, label, members) for nodes of the trees that still hold several components."""
+    """(path, node, label, members) for nodes of the trees that hold several components."""
     known = company.join(labels, "node", "left").select("path", "node", F.coalesce("component", "node").alias("label"))
     several = (
         known.groupBy("path").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         .where("lo < hi").select("path", "members")
     )
-    return known.join(several, "path")
+    return known.join(several, "path").select("path", "node", "label", "members")
+
+
+def _stars(mixed: DataFrame, turn: int) -> DataFrame:
+    """Each member with its node's centre of this turn, if that is in another component."""
+    order = F.xxhash64("node", F.lit(turn))
+    centres = mixed.groupBy("path").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("label").alias("own"))).alias("c"))
+    met = mixed.join(centres.select("path", "c.hub", "c.own"), "path").where("label != own")
+    return met.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+
+
+def _rival(least: int):
+    """Pairs of members of different components whose tokens agree in ``least`` places or more.
+
+    Rows come sorted by node and side; members of side 0 meet all, the others only side 0. Blocks of
+    one node have sides 0 and 1, a whole node only side 0.
+    """
+
+    def emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch | None:
+        first = [r for r in rows if r[0] == 0]
+        if not first:
+            return None
+        side, node, label = (np.array([r[k] for r in rows]) for k in range(3))
+        marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), TOKENS)
+        one = np.flatnonzero(side == 0)
+        whole = len(one) == len(rows)
+        left, right = [], []
+        for i in one.tolist():
+            others = np.arange(i + 1, len(rows)) if whole else np.flatnonzero(side == 1)
+            others = others[label[others] != label[i]]
+            alike = others[(marks[others] == marks[i]).sum(axis=1) >= least]
+            left += [node[i]] * len(alike)
+            right += node[alike].tolist()
+        if not left:
+            return None
+        a, b = np.array(left), np.array(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["hub", "node"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows, seen = None, [], set()
+        for batch in batches:
+            for path, cell, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (path, cell) != group:
+                    # Nodes with the same members give the same pairs: trees repeat them often.
+                    key = hash(tuple(r[:3] for r in rows)) if rows else None
+                    if key not in seen and (out := emit(rows)) is not None:
+                        yield out
+                    if len(seen) < 100_000:
+                        seen.add(key)
+                    group, rows = (path, cell), []
+                rows.append(tuple(row))
+        if rows and (out := emit(rows)) is not None:
+            yield out
+
+    return run
+
+
+def _across(mixed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, node) of different components that meet in a node and may be links.
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """Pairs of members of one node that are in different components."""
-    a = mixed.select("path", F.col("node").alias("hub"), F.col("label").alias("la"))
-    b = mixed.select("path", "node", F.col("label").alias("lb"))
-    return a.join(b, "path").where((F.col("hub") < F.col("node")) & (F.col("la") != F.col("lb"))).select("hub", "node").distinct()
+    A node of up to SMALL members is one group; a larger one is dealt into blocks, and each two
+    blocks are a group.
+    """
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = percent / 100
+    least = math.floor(TOKENS * share - SLACK * math.sqrt(TOKENS * share * (1 - share)))
+    blocks = F.ceil(F.col("members") / SMALL).cast("int")
+    own = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct((F.least("block", b) * F.col("blocks") + F.greatest("block", b)).alias("cell"), F.when(F.col("block") > b, 1).otherwise(0).alias("side")))
+    rows = mixed.join(marks, "node").withColumn("blocks", blocks).withColumn("block", own).withColumn("at", F.explode(met))
+    dealt = rows.select("path", "at.cell", "at.side", "node", "label", "tokens").repartition(parts, "path", "cell").sortWithinPartitions("path", "cell", "side", "node")
+    return dealt.mapInArrow(_rival(least), "hub long, node long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFrame:
@@ -204,44 +277,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFr
     spark = docs.sparkSession
     shared_dir(spark)
     bound_batches(spark)
-    trees = trees_for(percent / 100)
-    sketch = cut(_sketch(docs, trees, [2] * DEPTH, seed))
+    share = percent / 100
+    levels = levels_for(share)
+    sketch = cut(_sketch(docs, trees_for(share, levels), levels, seed))
     classes = (
         sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("paths").alias("paths"))
     )
     company = cut(_company(classes))
-    sizes = sketch.where("n_shingles > 0").groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n"))
-    sizes = cut(company.select("node").distinct().join(sizes, "node"))
+    marks = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "tokens")
+    marks = cut(company.select("node").distinct().join(marks, "node").dropDuplicates(["node"]))
+    sizes = marks.select("node", "n")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(sizes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     texts = cut(texts.mapInArrow(_shrink, "doc_id long, text binary"))
 
-    star = _sized(company.where("node != hub").select("hub", "node").distinct(), sizes, percent)
-    star = cut(star)
-    need = star.select(F.col("hub").alias("doc_id")).union(star.select("node")).distinct()
-    links = cut(_confirm(star, texts.join(need, "doc_id", "left_semi"), percent))
-    labels = connected_components(links)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
+        return cut(_confirm(pairs, texts.join(need, "doc_id", "left_semi"), percent))
+
+    labels = tried = None
+    mixed = company.select("path", "node", F.col("node").alias("label"))
+    for turn in range(ROUNDS):
+        stars = _sized(_stars(mixed, turn), sizes, percent)
+        stars = cut(stars if tried is None else stars.join(tried, ["hub", "node"], "left_anti"))
+        tried = stars if tried is None else tried.union(stars)
+        fresh = confirmed(stars)
+        if turn and not fresh.limit(1).count():
+            break
+        labels = connected_components(fresh, labels=labels)
+        mixed = cut(_mixed(mixed.select("path", "node"), labels))
 
-    mixed = cut(_mixed(company, labels))
-    pairs = _across(mixed.where(F.col("members") <= SMALL))
+    pairs = _across(mixed.where(F.col("members") <= SMALL), marks, percent)
     large = mixed.where(F.col("members") > SMALL)
     for again in range(1, REGROW + 1):
-        crowd = large.select(F.col("node").alias("doc_id")).distinct()
         if not large.limit(1).count():
             break
-        # Fresh trees: six levels of one token each after the two of the start, more of them to keep the recall.
-        deeper = _sketch(texts.join(crowd, "doc_id", "left_semi"), 12 * again, [2, 2, 2, *[1, 1, 2] * again], seed + 100 * again)
+        crowd = large.select(F.col("node").alias("doc_id")).distinct()
+        deep = levels_for(share, 4 * again)
+        deeper = _sketch(texts.join(crowd, "doc_id", "left_semi"), trees_for(share, deep), deep, seed + 100 * again)
         regrown = deeper.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("paths").alias("paths"))
         mixed = cut(_mixed(_company(regrown), labels))
-        pairs = pairs.union(_across(mixed.where(F.col("members") <= SMALL)))
+        pairs = pairs.union(_across(mixed.where(F.col("members") <= SMALL), marks, percent))
         large = mixed.where(F.col("members") > SMALL)
-    pairs = cut(_sized(pairs.union(_across(large)).distinct().join(star, ["hub", "node"], "left_anti"), sizes, percent))
+    pairs = pairs.union(_across(large, marks, percent)).distinct().join(tried, ["hub", "node"], "left_anti")
+    pairs = cut(_sized(pairs, sizes, percent))
     if pairs.limit(1).count():
-        need = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
-        more = cut(_confirm(pairs, texts.join(need, "doc_id", "left_semi"), percent))
-        if more.limit(1).count():
-            labels = connected_components(links.union(more))
+        labels = connected_components(confirmed(pairs), labels=labels)
 
     found = (
         classes.join(labels, "node", "left")
