@@ -137,7 +137,10 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES
     spark = vectors.sparkSession
     bound_batches(spark, 2048)
     rows = clean(vectors)
-    sample = rows.select(F.xxhash64("vec_id").alias("r"), "v").orderBy("r").limit(SAMPLE).collect()
+    ranked = rows.withColumn("r", F.xxhash64("vec_id", "v"))
+    # The ranks alone are sorted; the vectors of the few rows below the cut follow.
+    last = ranked.select("r").orderBy("r").limit(SAMPLE).agg(F.max("r").alias("last")).first()["last"]
+    sample = [] if last is None else ranked.where(F.col("r") <= last).select("v").limit(2 * SAMPLE).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     widths = [len(r["v"]) for r in sample]

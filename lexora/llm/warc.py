@@ -113,8 +113,13 @@ def _writer(root: str, dictionary: bytes):
 
 def train_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from the starts of at most ``rows`` payloads; empty if there is too little to learn from."""
-    sample = pages.where(F.length("html") > 0).select(F.xxhash64("html").alias("rank"), F.substring("html", 1, SAMPLE_BYTES).alias("html")).orderBy("rank").limit(rows)
-    texts = [r["html"].encode() for r in sample.collect()]
+    rank = F.xxhash64("page_id", "html")
+    ranked = pages.where(F.length("html") > 0).withColumn("_rank", rank)
+    # The ranks alone are sorted; the texts of the few rows below the cut follow.
+    last = ranked.select("_rank").orderBy("_rank").limit(rows).agg(F.max("_rank").alias("last")).first()["last"]
+    if last is None:
+        return b""
+    texts = [r["html"].encode() for r in ranked.where(F.col("_rank") <= last).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * rows).collect()]
     if len(texts) < 16 or sum(map(len, texts)) < 4 * size:
         return b""
     try:
