@@ -66,9 +66,9 @@ def brute_components(rows, percent):
     return {i: find(i) for i in parent}
 
 
-def near_copies(seed, groups, members, rate):
+def near_copies(seed, groups, members, rate, start=100):
     draw = random.Random(seed)
-    rows, n = [], 100
+    rows, n = [], start
     for g in range(groups):
         base = [f"w{draw.randrange(5000)}" for _ in range(120)]
         for _ in range(members):
@@ -79,7 +79,7 @@ def near_copies(seed, groups, members, rate):
 
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(spark, percent):
-    rows = odd() + near_copies(2, 6, 12, 0.012) + near_copies(3, 1, 150, 0.02) + [(5000 + i, "same text in many copies of it") for i in range(40)]
+    rows = odd() + near_copies(2, 6, 12, 0.012) + near_copies(3, 1, 150, 0.02, 1000) + [(5000 + i, "same text in many copies of it") for i in range(40)]
     got = {r["doc_id"]: r for r in near_duplicates(docs_of(spark, rows), percent).collect() if r["doc_id"] is not None}
     want = brute_components(rows, percent)
     assert {i: r["component_id"] for i, r in got.items()} == want
