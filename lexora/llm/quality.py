@@ -161,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_fit: i
         .groupBy(key.alias("doc_id")).agg(F.min(label).cast("int").alias("label"))
     )
     texts = docs.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(known, "doc_id").select("label", "text")
+    # Labels grow with the corpus: always a shuffled join, so the plan is the same at every size.
+    rows = texts.join(known.hint("merge"), "doc_id").select("label", "text")
     counted = rows.mapInArrow(_counter, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     counts = np.zeros((2, 1 << BITS))
     sizes = np.zeros(2)
