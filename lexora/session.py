@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,13 +60,6 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles and checkpoints that nothing refers to any more; it does so only
-    after the driver collects its garbage, which a long job of small steps may not do in time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches that carry whole documents to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
