@@ -164,7 +164,9 @@ def redact_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str
     text = F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text"))
     out = {"text": text}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("_clean", clean)
+        out["text"] = F.when(F.col("_spans").isNotNull(), F.col("_clean")).otherwise(F.col("text"))
+        out["n_chars"] = F.when(F.col("_spans").isNotNull(), F.length("_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
 
 

@@ -98,7 +98,7 @@ def _writer(root: str, dictionary: bytes):
             for page, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.zst", 0, 0
-                    out = store.open_output_stream(posixpath.join(folder, name))
+                    out = store.open_output_stream(posixpath.join(folder, name), compression=None)
                     out.write(struct.pack("<II", DICTIONARY_FRAME, len(dictionary)) + dictionary)
                 frame = press.compress(record(page, url, (html or "").encode(), refers))
                 out.write(frame)
@@ -182,7 +182,7 @@ def _reader(root: str, whole: bool):
             for name in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 held = 0
-                with store.open_input_stream(posixpath.join(folder, name)) as raw:
+                with store.open_input_stream(posixpath.join(folder, name), compression=None) as raw:
                     for headers, block in read_records(raw):
                         kind = headers["warc-type"]
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None

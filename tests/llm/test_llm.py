@@ -161,7 +161,7 @@ def test_nearest(spark):
 def test_nearest_of_few(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [1.0, 1.0])]
     got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 1), (0, 2, 100), (100, 1, 0), (100, 2, 1)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
