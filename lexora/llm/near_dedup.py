@@ -2,12 +2,12 @@
 
 Method. A document is the set of its distinct five-word shingles (``_hashing``). Documents with
 equal sets are one class and take part once, so copies cost nothing. Every class walks down
-independent trees. At each node of a tree one or two of ``TOKENS`` minwise tokens are selected by a
-hash of the node's path alone, and the class goes on into one child for each selected token; the
-child's path holds the token, so two sets of similarity s share a child with probability s. Two
-tokens are selected on the first levels, which keeps pairs at the threshold together, and one on the
-levels below, which parts the others. The number of trees is chosen so that the chance of missing a
-pair at the threshold in all of them is under ``MISS``.
+independent trees. Each place of a tree selects one or two minwise tokens that no other place and no
+other tree uses, and the class goes on into one child for each selected token; the child's path
+holds the token, so two sets of similarity s share a child with probability s. Two tokens are
+selected on the first levels, which keeps pairs at the threshold together, and one on the levels
+below, which parts the others. The number of trees is chosen so that the chance of missing a pair at
+the threshold in all of them is under ``MISS``; regrown trees draw tokens of their own and keep to it too.
 
 Nodes are compared in two ways, and every link is confirmed on the full sets:
 
@@ -74,17 +74,21 @@ def minwise(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return mix(best)
 
 
+def tokens_for(trees: int, levels: list[int]) -> int:
+    """Tokens that trees use when each place has its own."""
+    return trees * sum(math.prod(levels[:i + 1]) for i in range(len(levels)))
+
+
 def chosen_paths(tokens: np.ndarray, trees: int, levels: list[int], seed: int) -> np.ndarray:
     """Paths of each row of ``tokens`` in each tree; levels: tokens selected at each level."""
-    rows, width = tokens.shape
-    paths = np.broadcast_to(stream(seed, trees), (rows, trees)).copy()
-    at = np.arange(rows)[:, None]
+    rows, used = len(tokens), 0
+    paths = np.broadcast_to(stream(seed, trees), (rows, trees))
     with np.errstate(over="ignore"):
-        for level, fan in enumerate(levels):
-            draw = mix(paths ^ _U(0xC2B2AE3D27D4EB4F + level))
-            first = draw % _U(width)
-            picks = [first] + [(first + _U(1) + (draw >> _U(20 + k)) % _U(width - 1)) % _U(width) for k in range(fan - 1)]
-            paths = np.concatenate([mix((paths * _U(0x9E3779B97F4A7C15)) ^ tokens[at, p.astype(np.int64)] ^ (p + _U(1)) * _U(0xD6E8FEB86659FD93)) for p in picks], axis=1)
+        for fan in levels:
+            wide = paths.shape[1] * fan
+            place = np.arange(used + 1, used + wide + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)
+            paths = mix((np.tile(paths, fan) * _U(0x9E3779B97F4A7C15)) ^ tokens[:, used:used + wide] ^ place)
+            used += wide
     return paths
 
 
@@ -105,7 +109,8 @@ def _full(column: pa.Array) -> pa.Array:
 
 def _sketcher(trees: int, levels: list[int], seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = stream(77, TOKENS) | _U(1)
+        width = max(TOKENS, tokens_for(trees, levels))
+        seeds = stream(1000 + seed, width) | _U(1)
         spread = stream(78, 2)
         for batch in batches:
             sizes, k1, k2, tokens = [], [], [], []
@@ -116,9 +121,10 @@ def _sketcher(trees: int, levels: list[int], seed: int):
                     k2.append(np.add.reduce(mix(own ^ spread[1])) + _U(len(own)))
                     tokens.append(minwise(own, seeds))
             n = len(sizes)
-            paths = chosen_paths(np.array(tokens, dtype=np.uint64).reshape(n, TOKENS), trees, levels, seed)
+            drawn = np.array(tokens, dtype=np.uint64).reshape(n, width)
+            paths = chosen_paths(drawn, trees, levels, seed)
             flat = pa.array(paths.reshape(-1).view(np.int64))
-            marks = np.array(tokens, dtype=np.uint64).reshape(n, TOKENS).astype(np.uint8)
+            marks = drawn[:, :TOKENS].astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * paths.shape[1]), flat)
             as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
