@@ -6,15 +6,15 @@ cuts what is left into sequences of 2048 tokens. Every stage works on all that i
 kept. The first three return the columns of ``documents``; the last returns a row for each piece.
 
 Defined cases follow the operators'. Rows that repeat both doc_id and text count as copies of one
-document; rows without a doc_id are never dropped as copies.
+document; rows that repeat a doc_id with other texts are dropped or kept by their own texts; rows
+without a doc_id are never dropped as copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexora.llm.near_dedup import near_duplicates
+from lexora.llm.near_dedup import without_copies
 from lexora.llm.packing import pack_documents
 from lexora.llm.quality import keep_quality
 from lexora.llm.secrets import redact_secrets
@@ -27,8 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies, at a similarity of 0.8."""
-    copies = near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
+    kept = without_copies(docs, percent=80)
     if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     return kept

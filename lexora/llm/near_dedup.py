@@ -24,8 +24,9 @@ out. A pair at the threshold passes the comparison by tokens with a probability
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with
 nothing. Rows with a null doc_id take part in no link; their component_id is null and they are
-kept. Rows that repeat a doc_id are separate rows; if their texts differ, a link found for one may
-be counted for the other. Extra columns are ignored.
+kept. Rows that repeat a doc_id are separate rows, linked by their own texts: where an id is given
+to several texts, each pair of id and text (told apart by a 64-bit hash) takes part under a number
+of its own. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -274,12 +275,46 @@ def _across(mixed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(_rival(least), "hub long, node long").distinct()
 
 
+def _numbers(docs: DataFrame) -> DataFrame | None:
+    """(number, id, mark) for each doc_id and text, if some doc_id is given to several texts."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    several = rows.groupBy("id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo < hi")
+    if not several.limit(1).count():
+        return None
+    return cut(rows.distinct().select(F.monotonically_increasing_id().alias("number"), "id", "mark"))
+
+
+def _numbered(docs: DataFrame, numbers: DataFrame, percent: int, seed: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and kept, of documents whose ids have several texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
+    linked = cut(_linked(rows.join(numbers, ["id", "mark"], "left").select(F.col("number").alias("doc_id"), "text"), percent, seed))
+    known = linked.join(numbers, linked["doc_id"] == numbers["number"], "left").select("id", "mark", "n_shingles", F.col("component_id").alias("c"))
+    least = known.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component_id"))
+    return known.join(least, "c", "left").select(F.col("id").alias("doc_id"), "mark", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     ``percent`` is the least Jaccard similarity of a link in hundredths. ``component_id`` is the
     smallest doc_id reachable over links; ``kept`` holds for the document of that id.
     """
+    numbers = _numbers(docs)
+    return _linked(docs, percent, seed) if numbers is None else _numbered(docs, numbers, percent, seed).drop("mark")
+
+
+def without_copies(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFrame:
+    """The rows of ``docs`` whose own text is kept."""
+    numbers = _numbers(docs)
+    if numbers is None:
+        copies = _linked(docs, percent, seed).where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
+        return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
+    copies = _numbered(docs, numbers, percent, seed).where(~F.col("kept")).select(F.col("doc_id").alias("_copy"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(copies, (docs["doc_id"].cast("long") == copies["_copy"]) & (F.xxhash64(docs["text"]) == copies["_mark"]), "left_anti")
+
+
+def _linked(docs: DataFrame, percent: int, seed: int) -> DataFrame:
+    """``near_duplicates`` of documents of which each doc_id has one text."""
     spark = docs.sparkSession
     shared_dir(spark)
     bound_batches(spark)

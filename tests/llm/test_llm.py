@@ -377,3 +377,16 @@ def test_trees_miss_as_few_pairs_as_sized_for(similarity, deeper, most):
         a, b = (np.sort(near_dedup.chosen_paths(x, trees, levels, 1), axis=1) for x in (one, other))
         missed += int((repeats(np.sort(np.concatenate([a, b], axis=1), axis=1)) == repeats(a) + repeats(b)).sum())
     assert missed <= most
+
+
+def test_one_id_with_several_texts(spark, tmp_path):
+    """Rows are linked and dropped by their own texts, not by another text of their doc_id."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    longer = texts[2] + " and some more"
+    rows = [(5, texts[0]), (5, texts[1]), (1, texts[1]), (7, ""), (7, texts[1]), (None, texts[0]), (8, "x " * 3000), (8, texts[2]), (9, longer), (4, texts[3])]
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(5, 5, True), (5, 1, False), (1, 1, True), (7, 7, True), (7, 1, False), (None, None, True), (8, 8, True), (8, 8, True), (9, 8, False), (4, 4, True)], key=str)
+    kept = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), str(tmp_path))
+    assert kept.columns == docs_of(spark, rows).columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[i] for i in (0, 2, 3, 5, 6, 7, 9)], key=str)
