@@ -1,7 +1,9 @@
 """Licence scanning by a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs are lines of text. One that holds a word of ``ANCHORS`` is a candidate; any other is no
-licence statement by definition. A candidate's distinct words and word pairs are joined with the
+Paragraphs are lines of text, and sentences that run over several lines, joined: a sentence ends at
+``.``, ``!`` or ``?`` before white space, and at a line without letters or digits, so marks of
+comments before its lines do no harm. One that holds a word of ``ANCHORS`` is a candidate; any other
+is no licence statement by definition. A candidate's distinct words and word pairs are joined with the
 weights of a logistic regression over licence families and an ``unknown`` class. Its scores, at the
 temperature that made training statements kept from the fit best calibrated, give the family; a
 paragraph whose best family has less than ``CERTAIN`` is unknown. A prediction counts only if the paragraph
@@ -12,8 +14,9 @@ number of short sentences, whatever the corpus. Weights and templates are a few
 most, a number fixed by the templates, which is why they may be broadcast.
 
 Defined cases: a null or empty text has no paragraphs. Rows that repeat a doc_id, or have none, are
-scanned on their own. A paragraph that occurs several times in a text counts each time. Extra
-columns are ignored.
+scanned on their own. A paragraph that occurs several times in a text counts each time. A sentence
+over several lines counts only if it is confirmed for a family that no line of the text is confirmed
+for; the lines in it are counted as lines all the same. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexora.session import cut
@@ -35,17 +38,17 @@ UNKNOWN = "unknown"
 #: Short statements of each licence family.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is distributed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed to you under the Apache License, Version 2.0", "Released under the Apache 2.0 license.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "This program is free software under the terms of the GNU General Public License, either version 3 of the License, or any later version", "SPDX-License-Identifier: GPL-3.0-only"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "This program is free software under the terms of the GNU General Public License, either version 2 of the License, or any later version", "SPDX-License-Identifier: GPL-2.0-only"],
-    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "Licensed under the LGPL.", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL v3.", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "BSD": ["Released under the BSD License.", "Licensed under the 3-clause BSD license.", "Licensed under the 2-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License", "SPDX-License-Identifier: MPL-2.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain under CC0.", "SPDX-License-Identifier: CC0-1.0"],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "This file is licensed to you under the Apache License, Version 2.0", "Released under the Apache 2.0 license.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "SPDX-License-Identifier: Apache-2.0"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GPL v3.", "This program is free software under the terms of the GNU General Public License, either version 3 of the License, or any later version", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-3.0-only"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GPL v2.", "This program is free software under the terms of the GNU General Public License, either version 2 of the License, or any later version", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "SPDX-License-Identifier: GPL-2.0-only"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License.", "Licensed under the LGPL.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the AGPL v3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "BSD": ["Released under the BSD License.", "Licensed under the 3-clause BSD license.", "Licensed under the 2-clause BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "This work is licensed under the Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain under CC0.", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
     "Proprietary": ["All rights reserved.", "Copyright, all rights reserved. Unauthorized copying is prohibited.", "This document is proprietary and confidential."],
 }
 #: Sentences that hold the same words but state no licence.
@@ -58,6 +61,8 @@ OTHERS = [
 ]
 #: What a candidate paragraph holds.
 ANCHORS = r"(?i:licen[cs]|copyright|spdx|\b(bsd|[al]?gpl|mpl|cc0)\b|apache|creative commons|\bcc[ -]by|public domain|rights reserved|proprietary|redistribution|hereby granted|copy of the)|\bMIT\b"
+#: The same where a line may end between two words.
+WRAPPED = ANCHORS.replace("[ -]", r"[^\p{L}\p{N}]+").replace(" ", r"[^\p{L}\p{N}]+")
 _BETWEEN = r"[^a-z0-9]+"
 
 
@@ -146,11 +151,15 @@ def _templates(spark: SparkSession) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row and its candidate paragraphs."""
+    """One row per document: doc_id, row, its candidate lines, and its candidate sentences of several lines."""
     lines = F.filter(F.split(F.col("text"), "\n"), lambda p: p.rlike(ANCHORS))
+    blocks = F.split(F.col("text"), r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    sentences = F.flatten(F.transform(F.filter(blocks, lambda b: b.rlike(WRAPPED)), lambda b: F.split(b, r"(?<=[.!?])\s+")))
+    several = F.filter(sentences, lambda s: F.contains(F.trim(s), F.lit("\n")) & s.rlike(WRAPPED))
     empty = F.expr("cast(array() as array<string>)")
-    found = F.when(F.col("text").rlike(ANCHORS), lines).otherwise(empty)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(found, empty).alias("paragraphs"))
+    held = F.col("text").rlike(WRAPPED)
+    only = lambda found: F.coalesce(F.when(held, found).otherwise(empty), empty)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), only(lines).alias("paragraphs"), only(several).alias("wrapped"))
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
@@ -184,8 +193,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, licenses (families confirmed, sorted), and how many of its
     paragraphs are candidates, confirmed, predicted but not confirmed, and unknown."""
     found = cut(candidates(docs))
-    paragraphs = found.select("row", F.posexplode("paragraphs").alias("at", "paragraph"))
-    each = classify(paragraphs).groupBy(F.col("row").alias("r")).agg(
+    paragraphs = found.select("row", F.size("paragraphs").alias("lines"), F.posexplode(F.concat("paragraphs", "wrapped")).alias("at", "paragraph"))
+    # Lines come first in a row's numbers; a sentence's number is negative.
+    judged = classify(paragraphs.select("row", F.when(F.col("at") < F.col("lines"), F.col("at")).otherwise(-1 - F.col("at")).alias("at"), "paragraph"))
+    by_lines = F.collect_set(F.when((F.col("at") >= 0) & F.col("confirmed"), F.col("family"))).over(Window.partitionBy("row"))
+    counted = judged.withColumn("by_lines", by_lines).where("at >= 0 OR (confirmed AND NOT array_contains(by_lines, family))")
+    each = counted.groupBy(F.col("row").alias("r")).agg(
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licenses"),
         F.count("*").alias("n_candidates"),
         F.count_if("confirmed").alias("n_confirmed"),

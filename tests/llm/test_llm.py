@@ -390,3 +390,36 @@ def test_one_id_with_several_texts(spark, tmp_path):
     assert got == sorted([(5, 5, True), (5, 1, False), (1, 1, True), (7, 7, True), (7, 1, False), (None, None, True), (8, 8, True), (8, 8, True), (9, 8, False), (4, 4, True)], key=str)
     kept = corpus_pipeline.near_dedup(spark, docs_of(spark, rows), str(tmp_path))
     assert kept.columns == docs_of(spark, rows).columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[i] for i in (0, 2, 3, 5, 6, 7, 9)], key=str)
+
+
+NOTICES = {
+    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions:',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "CC-BY-SA-4.0": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+}
+
+
+def test_wrapped_notices(spark):
+    """Canonical notices are found at any width, behind marks of comments, and beside other text."""
+    import textwrap
+
+    rows, want = [], {}
+    for family, notice in NOTICES.items():
+        for width in (24, 40, 72, 1000):
+            for mark in ("", " * ", "# "):
+                body = "\n".join(mark + line for line in textwrap.wrap(notice, width, break_on_hyphens=False))
+                want[len(rows)] = family
+                rows.append((len(rows), f"Some title\n{mark}\n{body}\n{mark.rstrip()}\nThe story goes on here.\nIt has no end."))
+    want[len(rows)] = "Apache-2.0,GPL-3.0"
+    rows.append((len(rows), "\n".join(textwrap.wrap(NOTICES["GPL-3.0"], 72)) + "\n" + "\n".join(textwrap.wrap(NOTICES["Apache-2.0"], 40))))
+    want[len(rows)] = ""
+    rows.append((len(rows), "The driver showed his\nlicense to the officer. She renewed her fishing\nlicense last week."))
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert {rows[i][1]: (got[i], w) for i, w in want.items() if got[i] != w} == {}
