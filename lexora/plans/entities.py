@@ -9,7 +9,7 @@ from lexora.functions.rank import fingerprint, source_priority, trust_tier
 from lexora.functions.text import grams, is_abbreviation, jaccard, key_cluster, key_posix
 from lexora.operators import fuzzy, matching, resolve
 from lexora.operators import relational as R
-from lexora.plans.registry import query
+from lexora.plans.registry import query, whole
 from lexora.sources.tables import table
 
 
@@ -255,8 +255,17 @@ def homonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT u AS node, u AS c FROM e UNION SELECT v, c FROM r JOIN e ON e.u = node)
   SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate clusters from two sources of edges: equal name and type, equal brand and size."""
-    part = table(spark, sf_dir, "part").where("p_partkey < 300")
+    """Candidate clusters from two sources of edges, among the first 300 parts: equal name and type, equal brand and size."""
+    return _clusters(table(spark, sf_dir, "part").where("p_partkey < 300"))
+
+
+@query()
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate clusters of all parts; recursive SQL over all pairs is too slow, tests hold it against brute force."""
+    return _clusters(table(spark, sf_dir, "part"))
+
+
+def _clusters(part: DataFrame) -> DataFrame:
     edges = resolve.star_edges(part, "p_partkey", ["p_name", "p_type"], "name").unionByName(resolve.star_edges(part, "p_partkey", ["p_brand", "p_size"], "id"))
     return resolve.candidate_clusters(edges)
 
@@ -266,9 +275,20 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
   r AS (SELECT *, count(*) OVER w AS fits, count_if(typed) OVER w AS fits_type, row_number() OVER (PARTITION BY term, hint ORDER BY typed DESC, locked DESC, confidence DESC, id) AS n FROM m WINDOW w AS (PARTITION BY term, hint))
   SELECT term, hint, id, type, fits, fits = 1 OR (typed AND fits_type = 1) AS safe FROM r WHERE n = 1""")
 def exact_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part each term of the first 200 parts means, and whether nothing else could be meant."""
+    part = table(spark, sf_dir, "part")
+    return _picked(part.where("p_partkey < 200"), part)
+
+
+@query(whole("exact_picker", " WHERE p_partkey < 200"))
+def exact_picker_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part each term means, and whether nothing else could be meant."""
     part = table(spark, sf_dir, "part")
-    terms = part.where("p_partkey < 200").select(F.col("p_name").alias("term"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("hint")).distinct()
+    return _picked(part, part)
+
+
+def _picked(named: DataFrame, part: DataFrame) -> DataFrame:
+    terms = named.select(F.col("p_name").alias("term"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("hint")).distinct()
     entities = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), (F.col("p_size") > 40).alias("locked"), F.col("p_retailprice").alias("confidence"))
     return matching.pick_exact(terms, entities)
 
