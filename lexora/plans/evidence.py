@@ -9,7 +9,7 @@ from lexora.functions.text import url_host
 from lexora.operators import consensus as C
 from lexora.operators import demand as D
 from lexora.operators.relational import page_after, top_per_key
-from lexora.plans.registry import query
+from lexora.plans.registry import query, whole
 from lexora.sources.tables import observations, table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -221,8 +221,18 @@ def window_total_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY votes DESC, form) AS n FROM (
     SELECT user_id AS entity, event_type AS form, count(*) AS votes FROM events WHERE event_id % 50 < 3 GROUP BY ALL)) WHERE n = 1""")
 def extraction_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form that most independent extractions agree on."""
-    rows = table(spark, sf_dir, "events").where("event_id % 50 < 3").select(F.col("user_id").alias("id"), F.col("event_type").alias("form"))
+    """The form that most independent extractions agree on, of the events that its SQL samples."""
+    return _voted(table(spark, sf_dir, "events").where("event_id % 50 < 3"))
+
+
+@query(whole("extraction_votes", " WHERE event_id % 50 < 3"))
+def extraction_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form that most independent extractions agree on, of all events."""
+    return _voted(table(spark, sf_dir, "events"))
+
+
+def _voted(events: DataFrame) -> DataFrame:
+    rows = events.select(F.col("user_id").alias("id"), F.col("event_type").alias("form"))
     texts = rows.select("id").distinct().withColumn("text", F.lit(""))
     return C.vote(rows, texts).select(F.col("id").alias("entity"), "form", "votes", "accepted")
 

@@ -39,3 +39,9 @@ def test_exact_picker_all(spark, tmp_path):
     rows = [(199, "low", "t", "b", 1, 1.0), (200, "high", "t", "b", 1, 2.0), (9001, "higher", "t", "b", 1, 2.0)]
     got = run(spark, tmp_path, "exact_picker_all", part=(PART, rows))
     assert [(r[0], r[2]) for r in got] == [("high", 200), ("higher", 9001), ("low", 199)]
+
+
+def test_extraction_votes_all(spark, tmp_path):
+    rows = [(0, 1, "view"), (10, 1, "click"), (11, 1, "click"), (20, 2, "error")]
+    got = run(spark, tmp_path, "extraction_votes_all", events=("event_id long, user_id long, event_type string", rows))
+    assert got == [(1, "click", 2, True), (2, "error", 1, False)]
