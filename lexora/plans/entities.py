@@ -144,8 +144,12 @@ def ambiguous_shown_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFS = "refs AS (SELECT DISTINCT l_suppkey AS entity, l_returnflag AS provider, l_partkey % 40 AS external_id FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 40)"
 
 
-def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_quantity > 40")
+CUT = " WHERE l_linenumber = 7 AND l_quantity > 40"
+
+
+def _refs(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    rows = rows if every else rows.where("l_linenumber = 7 AND l_quantity > 40")
     return rows.select(F.col("l_suppkey").alias("entity"), F.col("l_returnflag").alias("provider"), (F.col("l_partkey") % 40).alias("external_id")).distinct()
 
 
@@ -153,24 +157,45 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a, b, count_if(x.external_id <> y.external_id) AS conflicts, count_if(x.external_id = y.external_id) AS shared
   FROM pairs JOIN refs x ON x.entity = a JOIN refs y ON y.entity = b AND x.provider = y.provider GROUP BY ALL""")
 def provider_conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External ids of one provider that differ or agree, for suppliers of a nation, in a part of the references."""
+    return resolve.provider_conflicts(_refs(spark, sf_dir), _neighbours(spark, sf_dir))
+
+
+@query(whole("provider_conflict_pairs", CUT))
+def provider_conflict_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External ids of one provider that differ or agree, for suppliers of a nation."""
+    return resolve.provider_conflicts(_refs(spark, sf_dir, every=True), _neighbours(spark, sf_dir))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    pairs = s.select("s_nationkey", F.col("s_suppkey").alias("a")).join(s.select("s_nationkey", F.col("s_suppkey").alias("b")), "s_nationkey").where("a < b")
-    return resolve.provider_conflicts(_refs(spark, sf_dir), pairs)
+    return s.select("s_nationkey", F.col("s_suppkey").alias("a")).join(s.select("s_nationkey", F.col("s_suppkey").alias("b")), "s_nationkey").where("a < b")
 
 
 @query(f"""WITH {REFS} SELECT provider, external_id, entity, entity = min(entity) OVER (PARTITION BY provider, external_id) AS accepted FROM refs""")
 def reserved_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first owner of each external id, and those refused."""
+    """The first owner of each external id, and those refused, in a part of the references."""
     return resolve.reserve_ids(_refs(spark, sf_dir), "entity")
 
 
+@query(whole("reserved_ids", CUT))
+def reserved_ids_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first owner of each external id, and those refused."""
+    return resolve.reserve_ids(_refs(spark, sf_dir, every=True), "entity")
+
+
 @query(f"WITH {REFS} SELECT entity, min(external_id) AS external_id FROM refs WHERE external_id < 3 GROUP BY 1 HAVING count(DISTINCT external_id) = 1")
 def quorum_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers whose references agree on one external id."""
+    """Suppliers whose references agree on one external id, in a part of the references and ids."""
     return resolve.quorum_ids(_refs(spark, sf_dir).where("external_id < 3"), "entity")
 
 
+@query(whole("quorum_identity", CUT, " WHERE external_id < 3"))
+def quorum_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers whose references agree on one external id."""
+    return resolve.quorum_ids(_refs(spark, sf_dir, every=True), "entity")
+
+
 @query("""SELECT a.o_custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey
   AND a.o_orderdate <= b.o_orderdate + INTERVAL 20 DAY AND b.o_orderdate <= a.o_orderdate + INTERVAL 20 DAY""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +213,18 @@ def current_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 100 AS o, l_returnflag AS p FROM lineitem WHERE l_suppkey <> l_partkey % 100 AND l_linenumber = 7)
   SELECT entity, p, direction, count(*) AS others, min(other) AS first FROM (SELECT s AS entity, o AS other, p, 'out' AS direction FROM e UNION ALL SELECT o, s, p, 'in' FROM e) GROUP BY ALL""")
 def relation_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of each entity seen from either end, in each order's seventh line."""
+    return _relations(table(spark, sf_dir, "lineitem").where("l_linenumber = 7"))
+
+
+@query(whole("relation_both_ways", " AND l_linenumber = 7"))
+def relation_both_ways_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations of each entity seen from either end."""
-    edges = table(spark, sf_dir, "lineitem").where("l_linenumber = 7 AND l_suppkey != l_partkey % 100").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 100).alias("o"), F.col("l_returnflag").alias("p")).distinct()
+    return _relations(table(spark, sf_dir, "lineitem"))
+
+
+def _relations(lines: DataFrame) -> DataFrame:
+    edges = lines.where("l_suppkey != l_partkey % 100").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") % 100).alias("o"), F.col("l_returnflag").alias("p")).distinct()
     return R.both_ways(edges, "s", "o", "p").groupBy("entity", "p", "direction").agg(F.count("*").alias("others"), F.min("other").alias("first"))
 
 

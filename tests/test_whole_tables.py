@@ -45,3 +45,14 @@ def test_extraction_votes_all(spark, tmp_path):
     rows = [(0, 1, "view"), (10, 1, "click"), (11, 1, "click"), (20, 2, "error")]
     got = run(spark, tmp_path, "extraction_votes_all", events=("event_id long, user_id long, event_type string", rows))
     assert got == [(1, "click", 2, True), (2, "error", 1, False)]
+
+
+def test_references_of_all_lines(spark, tmp_path):
+    lines = ("l_suppkey long, l_partkey long, l_returnflag string, l_linenumber long, l_quantity double", [(1, 1, "A", 1, 5.0), (1, 7, "A", 2, 50.0), (2, 1, "A", 7, 50.0), (3, 39, "A", 3, 1.0)])
+    tables = {"lineitem": lines, "supplier": ("s_suppkey long, s_nationkey long", [(1, 4), (2, 4), (3, 5)])}
+    assert run(spark, tmp_path, "quorum_identity_all", **tables) == [(2, 1), (3, 39)]
+    assert run(spark, tmp_path, "provider_conflict_pairs_all", **tables) == [(1, 2, 1, 1)]
+    columns = ["provider", "external_id", "entity", "accepted"]
+    refs = catalogue.queries()["reserved_ids_all"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, refs)) == [("A", 1, 1, True), ("A", 1, 2, False), ("A", 7, 1, True), ("A", 39, 3, True)]
+    assert run(spark, tmp_path, "relation_both_ways_all", **tables) == [(1, "A", "in", 1, 2), (1, "A", "out", 1, 7), (2, "A", "out", 1, 1), (3, "A", "out", 1, 39), (39, "A", "in", 1, 3), (7, "A", "in", 1, 1)]
