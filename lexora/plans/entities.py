@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexora.functions.rank import fingerprint, source_priority, trust_tier
@@ -116,23 +116,35 @@ CLAIMS = """claims AS (SELECT DISTINCT p_name AS name, p_brand AS entity, 'canon
   UNION SELECT DISTINCT p_name, p_brand, 'alias' FROM part WHERE p_partkey % 3 = 1)"""
 
 
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").where("p_partkey % 3 < 2")
-    return part.select(F.col("p_name").alias("name"), F.col("p_brand").alias("entity"), F.when(F.col("p_partkey") % 3 == 0, "canonical").otherwise("alias").alias("kind")).distinct()
+ALL_CLAIMS = CLAIMS.replace("p_partkey % 3 = 1", "p_partkey % 3 > 0")
+
+
+def _claims(part: DataFrame, name: Column) -> DataFrame:
+    return part.select(name.alias("name"), F.col("p_brand").alias("entity"), F.when(F.col("p_partkey") % 3 == 0, "canonical").otherwise("alias").alias("kind")).distinct()
 
 
 @query(f"WITH {CLAIMS} SELECT DISTINCT o.name, o.entity AS a, x.entity AS b FROM claims o JOIN claims x ON o.name = x.name AND o.entity <> x.entity WHERE o.kind = 'canonical' AND x.kind = 'alias'")
 def name_split_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that are one brand's own and another's alias."""
-    return resolve.name_splits(_claims(spark, sf_dir))
+    """Names that are one brand's own and another's alias, without every third part."""
+    return resolve.name_splits(_claims(table(spark, sf_dir, "part").where("p_partkey % 3 < 2"), F.col("p_name")))
+
+
+@query(f"WITH {ALL_CLAIMS} SELECT DISTINCT o.name, o.entity AS a, x.entity AS b FROM claims o JOIN claims x ON o.name = x.name AND o.entity <> x.entity WHERE o.kind = 'canonical' AND x.kind = 'alias'")
+def name_split_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that are one brand's own and another's alias; two parts of three claim theirs as an alias."""
+    return resolve.name_splits(_claims(table(spark, sf_dir, "part"), F.col("p_name")))
 
 
 @query(f"""WITH {CLAIMS.replace('p_name', "p_name || p_size")} SELECT name, min(entity) AS owner FROM claims GROUP BY 1 HAVING count_if(kind = 'canonical') = 0 AND count_if(kind = 'alias') = 1""")
 def sole_alias_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that exactly one brand claims, as an alias."""
-    part = table(spark, sf_dir, "part").where("p_partkey % 3 < 2")
-    claims = part.select(F.concat("p_name", F.col("p_size").cast("string")).alias("name"), F.col("p_brand").alias("entity"), F.when(F.col("p_partkey") % 3 == 0, "canonical").otherwise("alias").alias("kind"))
-    return resolve.sole_alias_owner(claims)
+    """Names that exactly one brand claims, as an alias, without every third part."""
+    return resolve.sole_alias_owner(_claims(table(spark, sf_dir, "part").where("p_partkey % 3 < 2"), F.concat("p_name", F.col("p_size").cast("string"))))
+
+
+@query(f"""WITH {ALL_CLAIMS.replace('p_name', "p_name || p_size")} SELECT name, min(entity) AS owner FROM claims GROUP BY 1 HAVING count_if(kind = 'canonical') = 0 AND count_if(kind = 'alias') = 1""")
+def sole_alias_owner_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that exactly one brand claims, as an alias; two parts of three claim theirs as an alias."""
+    return resolve.sole_alias_owner(_claims(table(spark, sf_dir, "part"), F.concat("p_name", F.col("p_size").cast("string"))))
 
 
 @query("SELECT p_partkey, p_type, p_name, p_size, count(*) OVER (PARTITION BY p_type, p_name, p_size) > 1 AS ambiguous FROM part")

@@ -9,7 +9,7 @@ from lexora.functions import rank as K
 from lexora.functions import text as T
 from lexora.operators import gate
 from lexora.operators import quality as Q
-from lexora.plans.registry import query
+from lexora.plans.registry import query, whole
 from lexora.sources.tables import table
 
 AS_OF = "2001-08-02"
@@ -45,10 +45,21 @@ def backlog_ageing(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT CASE WHEN every THEN 'served' WHEN partly THEN 'partly' WHEN n > 0 THEN 'preparing' WHEN q.name IS NOT NULL THEN 'queued' ELSE 'unknown' END AS state, count(*) AS names
   FROM (SELECT DISTINCT c_custkey % 600 AS name FROM customer) t LEFT JOIN h USING (name) LEFT JOIN q USING (name) GROUP BY 1""")
 def readiness_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names by how far they are served, by the first 900 customers and every twentieth order."""
+    customer = table(spark, sf_dir, "customer")
+    return _funnel(customer, customer.where("c_custkey < 900"), table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
+
+
+@query(whole("readiness_funnel", " WHERE c_custkey < 900", " WHERE o_orderkey % 20 = 0"))
+def readiness_funnel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by how far they are served."""
     customer = table(spark, sf_dir, "customer")
-    held = customer.where("c_custkey < 900").select((F.col("c_custkey") % 400).alias("name"), (F.col("c_acctbal") > 0).alias("ready"))
-    waiting = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select((F.col("o_custkey") % 500).alias("name"))
+    return _funnel(customer, customer, table(spark, sf_dir, "orders"))
+
+
+def _funnel(customer: DataFrame, entities: DataFrame, queued: DataFrame) -> DataFrame:
+    held = entities.select((F.col("c_custkey") % 400).alias("name"), (F.col("c_acctbal") > 0).alias("ready"))
+    waiting = queued.select((F.col("o_custkey") % 500).alias("name"))
     return Q.funnel(customer.select((F.col("c_custkey") % 600).alias("name")), held, waiting)
 
 
@@ -85,8 +96,18 @@ def item_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_custkey, o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'A' AND l_shipdate > TIMESTAMP '2001-01-01') AND o_orderkey % 5 = 0""")
 def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows not yet tried with the same input inside the revisit window, of every fifth order."""
+    return _due(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
+
+
+@query(whole("retry_gate", " AND o_orderkey % 5 = 0"))
+def retry_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows not yet tried with the same input inside the revisit window."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("input_hash"))
+    return _due(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def _due(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    rows = orders.select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("input_hash"))
     tried = table(spark, sf_dir, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_orderkey").alias("input_hash"), F.col("l_shipdate").alias("last_at"), F.lit(True).alias("exhausted"))
     return Q.retry_due(rows, tried, ["o_orderkey"], F.lit("2001-01-02").cast("timestamp_ntz"), 1).select("o_custkey", "o_orderkey")
 

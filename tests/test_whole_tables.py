@@ -56,3 +56,24 @@ def test_references_of_all_lines(spark, tmp_path):
     refs = catalogue.queries()["reserved_ids_all"](spark, str(tmp_path)).select(columns).collect()
     assert sorted(map(tuple, refs)) == [("A", 1, 1, True), ("A", 1, 2, False), ("A", 7, 1, True), ("A", 39, 3, True)]
     assert run(spark, tmp_path, "relation_both_ways_all", **tables) == [(1, "A", "in", 1, 2), (1, "A", "out", 1, 7), (2, "A", "out", 1, 1), (3, "A", "out", 1, 39), (39, "A", "in", 1, 3), (7, "A", "in", 1, 1)]
+
+
+def test_claims_of_all_parts(spark, tmp_path):
+    rows = [(3, "one", "t", "x", 1, 1.0), (5, "one", "t", "y", 2, 1.0), (8, "two", "t", "z", 3, 1.0)]
+    assert run(spark, tmp_path, "name_split_audit_all", part=(PART, rows)) == [("one", "x", "y")]
+    assert run(spark, tmp_path, "sole_alias_owner_all", part=(PART, rows)) == [("one2", "y"), ("two3", "z")]
+
+
+def test_queue_and_entities_of_all_rows(spark, tmp_path):
+    day = datetime.datetime(2000, 1, 1)
+    tables = {
+        "customer": ("c_custkey long, c_acctbal double", [(950, 5.0), (1001, -5.0), (1110, -5.0), (1199, 1.0)]),
+        "orders": ("o_orderkey long, o_custkey long", [(7, 110), (9, 599)]),
+        "lineitem": ("l_orderkey long, l_returnflag string, l_shipdate timestamp_ntz", [(9, "A", datetime.datetime(2001, 6, 1)), (7, "A", day)]),
+    }
+    # Names 350 (950 % 600), 401, 510 and 599 are asked for; 950, 1001, 1110 and 1199 hold 150, 201, 310 and 399.
+    got = run(spark, tmp_path, "readiness_funnel_all", **tables)
+    assert dict(got) == {"unknown": 4}
+    tables["customer"] = ("c_custkey long, c_acctbal double", [(1200, 5.0), (1310, 1.0), (1310, -1.0)])
+    assert dict(run(spark, tmp_path, "readiness_funnel_all", **tables)) == {"served": 1, "partly": 1}
+    assert run(spark, tmp_path, "retry_gate_all", **tables) == [(110, 7)]
