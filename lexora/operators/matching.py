@@ -34,15 +34,19 @@ def mention_candidates(texts: DataFrame, names: DataFrame, text: str, text_id: s
     return offered.join(keyed, "_w").select(text_id, name_id, name).distinct()
 
 
-def match_texts(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str, limit: int = 100) -> DataFrame:
+def match_texts(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str, limit: int | None = 100) -> DataFrame:
     """(text_id, name_id, fragment, place): entities mentioned in each text as whole words, longest fragment first.
 
+    Without a limit, all of them, and no place.
+
     For names whose first and last characters are word characters, a containment on word ends equals
     the join on a whole word of it; the pairs are then tested on the text itself.
     """
     pairs = mention_candidates(texts, names, text, text_id, name, name_id)
     found = pairs.join(texts.select(text_id, text), text_id).where(boundary(F.col(text), F.col(name)))
     best = found.groupBy(text_id, name_id).agg(F.max(F.length(name)).alias("fragment"))
+    if limit is None:
+        return best
     return top_per_key(best, [text_id], [F.desc("fragment"), F.asc(name_id)], limit, "place")
 
 

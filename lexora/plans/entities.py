@@ -99,7 +99,7 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_match_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages that documents contain, by a join on a passage's longest word."""
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    return matching.match_texts(docs, items, "text", "doc_id", "passage", "item_id", limit=1000).select("doc_id", "item_id", F.col("fragment").cast("long").alias("fragment"))
+    return matching.match_texts(docs, items, "text", "doc_id", "passage", "item_id", limit=None).select("doc_id", "item_id", F.col("fragment").cast("long").alias("fragment"))
 
 
 @query(r"""SELECT word, count(*) AS docs FROM (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM documents WHERE lang = 'en')

@@ -77,3 +77,9 @@ def test_queue_and_entities_of_all_rows(spark, tmp_path):
     tables["customer"] = ("c_custkey long, c_acctbal double", [(1200, 5.0), (1310, 1.0), (1310, -1.0)])
     assert dict(run(spark, tmp_path, "readiness_funnel_all", **tables)) == {"served": 1, "partly": 1}
     assert run(spark, tmp_path, "retry_gate_all", **tables) == [(110, 7)]
+
+
+def test_text_match_docs_has_no_limit(spark, tmp_path):
+    words = [f"word{i}x" for i in range(1200)]
+    tables = {"documents": ("doc_id long, text string", [(1, " ".join(words))]), "benchmark": ("item_id long, text string", list(enumerate(words)))}
+    assert len(run(spark, tmp_path, "text_match_docs", **tables)) == 1200
