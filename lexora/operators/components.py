@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexora.session import cut
+from lexora.session import cut, forget
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", labels: DataFrame | None = None, max_rounds: int = 64) -> DataFrame:
@@ -14,8 +14,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     Null endpoints and self loops are ignored; repeated edges count once; no edges give no rows. In
     each round every vertex hooks onto its smallest neighbour, hooks are followed to their ends by
     doubling jumps, and the edges are carried over to those ends, where most of them fall away: every
-    round at least halves what is not done, and a star is done in one. Labels and edges are written to the shared
-    checkpoint folder after each round; only whether edges are left reaches the driver.
+    round at least halves what is not done, and a star is done in one. Each step is written to the
+    shared folder and the one before it deleted; only whether edges are left reaches the driver.
 
     ``labels`` are components already known, to which the edges are added.
     """
@@ -23,25 +23,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     half = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(a.alias("u"), b.alias("v"))
     if labels is not None:
         own, other = (labels.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "uv")
-        half = half.join(own, "u", "left").join(other, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u != v")
-    half = half.distinct()
-    todo = cut(half.union(half.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        half = half.join(own, "u", "left").join(other, "v", "left")
+        half = half.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u != v")
+    both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    todo = cut(half.select(both.alias("e")).select("e.u", "e.v").distinct())
+    given = labels
     for _ in range(max_rounds):
-        if labels is not None and not todo.limit(1).count():
+        if labels is not None and todo.isEmpty():
             break
         hooks = cut(todo.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("r")))
         while True:
             above = hooks.select(F.col("u").alias("r"), F.col("r").alias("top"))
-            jumped = cut(hooks.join(above, "r").select("u", F.col("top").alias("r"), (F.col("top") != F.col("r")).alias("moved")))
-            hooks = jumped.select("u", "r")
-            if not jumped.where("moved").limit(1).count():
+            jumped = cut(hooks.select("u", "r").join(above, "r").select("u", F.col("top").alias("r"), (F.col("top") != F.col("r")).alias("moved")))
+            forget(hooks)
+            hooks = jumped
+            if hooks.where("moved").isEmpty():
                 break
         fresh = hooks.select(F.col("u").alias("node"), F.col("r").alias("component"))
         if labels is None:
-            labels = fresh
+            grown = cut(fresh)
         else:
-            moved = labels.join(hooks, labels["component"] == hooks["u"], "left").select("node", F.coalesce("r", "component").alias("component"))
-            labels = cut(moved.union(fresh.join(labels, "node", "left_anti")))
+            moved = labels.join(hooks.select("u", "r"), labels["component"] == hooks["u"], "left").select("node", F.coalesce("r", "component").alias("component"))
+            grown = cut(moved.union(fresh.join(labels, "node", "left_anti")))
         left, right = hooks.select("u", F.col("r").alias("a")), hooks.select(F.col("u").alias("v"), F.col("r").alias("b"))
-        todo = cut(todo.join(left, "u").join(right, "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        rest = cut(todo.join(left, "u").join(right, "v").where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
+        forget(todo, hooks, labels if labels is not given else None)
+        labels, todo = grown, rest
+    forget(todo)
     return labels

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +32,9 @@ def build_session(app: str = "lexora", cores: str = "*", shuffle: int | None = N
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) a temporary folder is made and registered with the context.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and the session runs on one
+    machine (tests) a temporary folder is made and registered with the context; on a cluster an unset
+    folder is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -42,22 +44,35 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if current is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexora-checkpoint-"))
         current = context.getCheckpointDir()
     return current
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back from there; survives lost executors.
+    """``df`` written once, as Parquet, to the shared folder and read back from there.
 
-    The result is a plain scan of what was written. A checkpoint alone would go on estimating its
-    size from the plan behind it, and as a join's estimate is the product of its sides', an
-    iteration's estimates would grow until planning takes longer than the work.
+    What follows is a plain scan of a finished table: it survives lost executors, prunes columns, and
+    its size is known, whatever the plan that made it.
     """
     spark = df.sparkSession
-    shared_dir(spark)
-    written = df.checkpoint(eager=True)._jdf
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), spark)
+    path = f"{shared_dir(spark).rstrip('/')}/lexora-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote, once what was made of them is written; others are left alone."""
+    for table in tables:
+        path = getattr(table, "cut_path", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
