@@ -1,56 +1,65 @@
 """Near-duplicate detection: chosen-path set similarity join over five-word shingles.
 
-Method. A document is the set of its distinct five-word shingles (``_hashing``). Documents with
-equal sets are one class and take part once, so copies cost nothing. Every class walks down
-independent trees. Each place of a tree selects one or two minwise tokens that no other place and no
-other tree uses, and the class goes on into one child for each selected token; the child's path
-holds the token, so two sets of similarity s share a child with probability s. Two tokens are
-selected on the first levels, which keeps pairs at the threshold together, and one on the levels
-below, which parts the others. The number of trees is chosen so that the chance of missing a pair at
-the threshold in all of them is under ``MISS``; regrown trees draw tokens of their own and keep to it too.
-
-Nodes are compared in two ways, and every link is confirmed on the full sets:
-
-1. star rounds: each member against one member of its node that is in another component. A round is
-   linear in the node's members and settles groups of many near copies; later rounds, with other
-   centres, look only at nodes that still hold several components;
-2. what is left: all members of a node against each other by their minwise tokens, and the pairs of
-   different components that may reach the threshold on the sets. Nodes of more than ``SMALL``
-   members are branched further first, by deeper trees, and what stays larger is compared block by
-   block, so no link is given up.
+Method. A document is the set of its distinct five-word shingles (``_hashing``). Documents with equal
+sets, told by a cryptographic digest of the whole set, are one class and take part once, so copies
+cost nothing. Every class walks down independent trees. Each place of a tree selects one or two
+minwise tokens that no other place and no other tree uses, and the class goes on into one child for
+each selected token; the child's path holds the token, so two sets of similarity s share a child with
+probability s. Two tokens are selected on the first levels, which keeps pairs at the threshold
+together, and one on the levels below, which parts the others. The number of trees is chosen so that
+the chance of missing a pair at the threshold in all of them is under ``MISS``; regrown trees draw
+tokens of their own and keep to it too.
+
+Nodes are compared exhaustively, on the full sets, and what a comparison gives out is linear in its
+members:
+
+1. In each node of up to ``SMALL`` members all members are compared by 96 minwise tokens. Those that
+   may be linked, directly or through others, belong together; a spanning forest of that goes out. A
+   larger node belongs together as a whole. Nodes with the same members are compared once.
+2. What belongs together forms groups. The texts of a group of up to ``SMALL`` members meet in one
+   task, once, where all pairs are compared by a product of their membership matrices: exact
+   intersections, and the group's components at once.
+3. A larger group is dealt into blocks at random, which settles most of it, and then goes through its
+   trees, one after the other: only nodes that still hold several components are compared, as in 2,
+   and a spanning forest of new links goes out. Nodes of more than ``SMALL`` members are branched
+   further by deeper trees, and what stays larger is compared block by block, so no link is given up.
 
 A pair inside a component is not compared, so only links that cannot change a component are left
 out. A pair at the threshold passes the comparison by tokens with a probability over 0.999999.
+Every table written on the way is deleted when what follows from it is written.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with
 nothing. Rows with a null doc_id take part in no link; their component_id is null and they are
-kept. Rows that repeat a doc_id are separate rows, linked by their own texts: where an id is given
-to several texts, each pair of id and text (told apart by a 64-bit hash) takes part under a number
-of its own. Extra columns are ignored.
+kept. Rows that repeat a doc_id are separate rows, linked by their own texts. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm._hashing import mix, shingle_sets, stream
 from lexora.operators.components import connected_components
-from lexora.session import bound_batches, cut, shared_dir
+from lexora.session import bound_batches, cut, forget, shared_dir
 
 TOKENS, MISS = 96, 4e-6
 #: Standard deviations below the threshold at which the tokens of a pair still let it pass.
 SLACK = 4.8
-ROUNDS, SMALL, REGROW, SALTED = 3, 512, 2, 512
+#: Members, and shingles of all members, that are compared in one task; how often larger nodes are branched further.
+SMALL, SHINGLES, REGROW = 1024, 1 << 23, 2
+#: Rows without texts that are handed to Python at once.
+NARROW = 16_384
 
 _U = np.uint64
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, tokens binary, paths array<long>"
+_SKETCH = "doc_id long, mark long, n_shingles long, k1 long, k2 long, tokens binary, paths array<long>, packed binary"
 
 
 def levels_for(similarity: float, deeper: int = 0) -> list[int]:
@@ -70,8 +79,8 @@ def minwise(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """The minwise token of a set under each seed."""
     best = np.full(len(seeds), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(0, len(hashes), 4096):
-            np.minimum(best, (seeds[:, None] * hashes[None, i:i + 4096]).min(axis=1), out=best)
+        for i in range(0, len(hashes), 512):
+            np.minimum(best, (seeds[:, None] * hashes[None, i:i + 512]).min(axis=1), out=best)
     return mix(best)
 
 
@@ -93,204 +102,344 @@ def chosen_paths(tokens: np.ndarray, trees: int, levels: list[int], seed: int) -
     return paths
 
 
-def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed: those with company are written and shuffled again."""
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        small = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], ["doc_id", "text"])
-
-
-def _full(column: pa.Array) -> pa.Array:
-    if not pa.types.is_binary(column.type):
-        return column
-    press = zstandard.ZstdDecompressor()
-    return pa.array([press.decompress(x) for x in column.to_pylist()], pa.large_binary())
-
-
 def _sketcher(trees: int, levels: list[int], seed: int):
+    """Sketches of (doc_id, mark, text): size, digest, tokens and paths of the set, and the text compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = max(TOKENS, tokens_for(trees, levels))
         seeds = stream(1000 + seed, width) | _U(1)
-        spread = stream(78, 2)
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            sizes, k1, k2, tokens = [], [], [], []
-            with np.errstate(over="ignore"):
-                for own in shingle_sets(_full(batch.column(1))):
-                    sizes.append(len(own))
-                    k1.append(np.add.reduce(mix(own ^ spread[0])) + _U(len(own)))
-                    k2.append(np.add.reduce(mix(own ^ spread[1])) + _U(len(own)))
-                    tokens.append(minwise(own, seeds))
+            sizes, keys, tokens = [], [], []
+            for own in shingle_sets(batch.column(2)):
+                sizes.append(len(own))
+                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                tokens.append(minwise(own, seeds))
             n = len(sizes)
+            packed = [press.compress(t.encode()) if size else b"" for t, size in zip(batch.column(2).to_pylist(), sizes, strict=True)]
             drawn = np.array(tokens, dtype=np.uint64).reshape(n, width)
             paths = chosen_paths(drawn, trees, levels, seed)
             flat = pa.array(paths.reshape(-1).view(np.int64))
             marks = drawn[:, :TOKENS].astype(np.uint8)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n + 1, dtype=np.int32) * paths.shape[1]), flat)
-            as_long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+            digest = np.frombuffer(b"".join(keys), np.int64).reshape(n, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), as_long(k1), as_long(k2), pa.array([m.tobytes() for m in marks], pa.binary()), lists],
-                ["doc_id", "n_shingles", "k1", "k2", "tokens", "paths"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([m.tobytes() for m in marks], pa.binary()), lists, pa.array(packed, pa.binary())],
+                ["doc_id", "mark", "n_shingles", "k1", "k2", "tokens", "paths", "packed"],
             )
 
     return run
 
 
-def _sketch(docs: DataFrame, trees: int, levels: list[int], seed: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketcher(trees, levels, seed), _SKETCH)
+def _unpacked(column: pa.Array) -> pa.Array:
+    press = zstandard.ZstdDecompressor()
+    return pa.array([press.decompress(x) for x in column.to_pylist()], pa.large_binary())
 
 
-def _confirmer(percent: int):
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that never split rows of equal first column. Rows come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+        if held and (last or held[-1].column(0)[0].as_py() != key[0]):
+            same = int(np.flatnonzero(key != held[-1].column(0)[0].as_py())[0]) if key[0] == held[-1].column(0)[0].as_py() else 0
+            yield pa.Table.from_batches([*held, batch.slice(0, same)]).combine_chunks().to_batches()[0]
+            batch, held, last = batch.slice(same), [], last - same
+        if last > 0:
+            yield batch.slice(0, last)
+            batch = batch.slice(last)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _groups_of(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    yield from zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _forest(members: int, labels: np.ndarray, linked: Callable[[int], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(spanning forest of new links, component of each member) where members of one label belong together.
+
+    linked: a mask of the members linked with one.
+    """
+    own: dict[int, list[int]] = {}
+    for i, x in enumerate(labels.tolist()):
+        own.setdefault(x, []).append(i)
+    left, component, forest = np.ones(members, bool), np.zeros(members, np.int64), []
+    for i in range(members):
+        if not left[i]:
+            continue
+        todo = list(own[labels[i]])
+        left[todo] = False
+        component[todo] = i
+        while todo:
+            j = todo.pop()
+            for k in np.flatnonzero(linked(j) & left).tolist():
+                if left[k]:
+                    forest.append((j, k))
+                    more = own[labels[k]]
+                    left[more] = False
+                    component[more] = i
+                    todo += more
+    return forest, component
+
+
+def _candidates(least: int, percent: int):
+    """(src, dst): what may be linked in a group of (key, node, n, tokens), as a spanning forest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, the hub's own rows first."""
-        group, hubs = None, []
-        for batch in batches:
-            hub, salt, role, node = (batch.column(i).to_pylist() for i in range(4))
+        for batch in _whole_groups(batches, 4):
+            key, node, size = (batch.column(i).to_numpy() for i in range(3))
+            marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(key), TOKENS)
+
+            def alike(i: int, rows: slice) -> np.ndarray:
+                fits = 100 * np.minimum(size[i], size[rows]) >= percent * np.maximum(size[i], size[rows])
+                return fits & ((marks[rows] == marks[i]).sum(axis=1) >= least)
+
+            found = []
+            for a, b in _groups_of(key):
+                if b - a == 2:
+                    if alike(a, slice(b - 1, b))[0]:
+                        found.append((a, a + 1))
+                else:
+                    edges, _ = _forest(b - a, np.arange(b - a), lambda i, a=a, b=b: alike(a + i, slice(a, b)))
+                    found += [(a + i, a + j) for i, j in edges]
+            if found:
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["src", "dst"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact sizes of the intersections of all pairs of sets of distinct hashes.
+
+    Hashes held by the same members count as one column with a weight, so near copies, which share
+    most of theirs, make a narrow matrix; its product with itself is taken a stretch of columns at a time.
+    """
+    many = len(sets)
+    if many == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]], dtype=np.float64)
+    row = np.repeat(np.arange(many), [len(s) for s in sets])
+    _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((many, many))
+    keep = held[place] > 1
+    row, place = row[keep], place[keep]
+    if not len(row):
+        return out
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    with np.errstate(over="ignore"):
+        who = np.add.reduceat(stream(61, many)[row], starts)
+    _, first, weight = np.unique(who, return_index=True, return_counts=True)
+    ends = np.append(starts[1:], len(row))
+    kind = np.float32 if weight.sum() < 1 << 24 else np.float64
+    step = max(256, (1 << 22) // many)
+    for i in range(0, len(first), step):
+        taken = first[i:i + step]
+        length = ends[taken] - starts[taken]
+        at = np.repeat(starts[taken] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        matrix = np.zeros((many, len(taken)), kind)
+        matrix[row[at], np.repeat(np.arange(len(taken)), length)] = 1
+        out += (matrix * weight[i:i + step].astype(kind)) @ matrix.T
+    return out
+
+
+def _comparer(percent: int, settled: bool):
+    """Compares groups of (key, node, label, packed) on the full sets.
+
+    Gives (src, dst), a spanning forest of the links between labels, or, where the groups are all that
+    can be linked (``settled``), (node, component) of every member.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_groups(batches, 4):
+            key, node, label = (batch.column(i).to_numpy() for i in range(3))
             left, right = [], []
-            for i, own in enumerate(shingle_sets(_full(batch.column(4)))):
-                if (hub[i], salt[i]) != group:
-                    group, hubs = (hub[i], salt[i]), []
-                if role[i] == 0:
-                    hubs.append(own)
-                    continue
-                for other in hubs:
-                    small, large = sorted((len(own), len(other)))
-                    if small == 0 or 100 * small < percent * large:
-                        continue
-                    shared = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * shared >= percent * (small + large - shared):
-                        left.append(hub[i])
-                        right.append(node[i])
-                        break
+            for a, b in _groups_of(key):
+                sets = list(shingle_sets(_unpacked(batch.column(3).slice(a, b - a))))
+                size = np.array([len(s) for s in sets])
+                shared = shared_counts(sets)
+                edges, component = _forest(b - a, label[a:b], lambda i, size=size, shared=shared: 100 * shared[i] >= percent * (size[i] + size - shared[i]))
+                if settled:
+                    left += node[a:b].tolist()
+                    least = np.full(b - a, np.iinfo(np.int64).max)
+                    np.minimum.at(least, component, node[a:b])
+                    right += least[component].tolist()
+                else:
+                    left += [node[a + i] for i, _ in edges]
+                    right += [node[a + j] for _, j in edges]
             if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["node", "component"] if settled else ["src", "dst"])
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (hub, node) that are links. A hub of many partners is dealt over many groups."""
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SALTED).cast("int").alias("salts"))
-    member = pairs.join(salts, "hub").select("hub", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "node")
-    own = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("node"))
-    rows = member.unionByName(own).join(texts.withColumnRenamed("doc_id", "node"), "node")
+def _compare(rows: DataFrame, texts: DataFrame, percent: int, settled: bool = False) -> DataFrame:
+    """rows: (key, node, label); texts: (node, packed)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("hub", "salt", "role", "node", "text").repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "role")
-    return dealt.mapInArrow(_confirmer(percent), "src long, dst long")
+    met = rows.join(texts, "node").select("key", "node", "label", "packed")
+    dealt = met.repartition(parts, "key").sortWithinPartitions("key", "node")
+    return dealt.mapInArrow(_comparer(percent, settled), "node long, component long" if settled else "src long, dst long")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow the similarity."""
-    a = sizes.select(F.col("node").alias("hub"), F.col("n").alias("na"))
-    b = sizes.select("node", F.col("n").alias("nb"))
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return pairs.join(a, "hub").join(b, "node").where(fits).select("hub", "node")
+def _blocks(members: Column, shingles: Column) -> Column:
+    """Blocks that a set of members is dealt into, so that each can be compared in a task."""
+    return F.least(F.ceil(F.greatest(members / SMALL, shingles / SHINGLES)).cast("int"), members.cast("int"))
 
 
-def _company(classes: DataFrame) -> DataFrame:
-    """(path, node) for the members of nodes with company."""
-    rows = classes.select("node", F.explode("paths").alias("path"))
-    held = rows.groupBy("path").agg(F.count("*").alias("members")).where("members > 1").select("path")
-    return rows.join(held, "path").select("path", "node")
+def _company(sketch: DataFrame) -> DataFrame:
+    """(path, tree, node, n, members, lo, shingles) for the members of nodes with company. sketch: node, n, paths, trees."""
+    rows = sketch.select("node", "n", "trees", F.posexplode("paths").alias("at", "path"))
+    rows = rows.select("node", "n", (F.col("at") % F.col("trees")).cast("int").alias("tree"), "path")
+    held = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.sum("n").alias("shingles")).where("members > 1")
+    return rows.join(held, "path")
 
 
-def _mixed(company: DataFrame, labels: DataFrame) -> DataFrame:
-    """(path, node, label, members) for nodes of the trees that hold several components."""
-    known = company.join(labels, "node", "left").select("path", "node", F.coalesce("component", "node").alias("label"))
+def _belonging(company: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): members of a node that may be linked, or that lie in one large node."""
+    spark = company.sparkSession
+    share, parts = percent / 100, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = math.floor(TOKENS * share - SLACK * math.sqrt(TOKENS * share * (1 - share)))
+    small = company.where(F.col("members") <= SMALL).groupBy("path").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    small = small.select("nodes").distinct().select(F.xxhash64("nodes").alias("key"), F.explode("nodes").alias("node"))
+    met = small.join(marks, "node").select("key", "node", "n", "tokens").repartition(parts, "key").sortWithinPartitions("key", "node")
+    alike = met.mapInArrow(_candidates(least, percent), "src long, dst long")
+    large = company.where((F.col("members") > SMALL) & (F.col("node") != F.col("lo"))).select(F.col("node").alias("src"), F.col("lo").alias("dst"))
+    return alike.union(large)
+
+
+def _known(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(gid, path, node, label, blocks) of the nodes of trees that hold several components.  rows: gid, path, node, n."""
+    rows = rows.join(labels.select("node", F.col("component").alias("label")), "node")
     several = (
-        known.groupBy("path").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo < hi").select("path", "members")
+        rows.groupBy("gid", "path").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
+        .where("lo < hi").select("gid", "path", "blocks")
     )
-    return known.join(several, "path").select("path", "node", "label", "members")
+    return rows.join(several, ["gid", "path"]).select("gid", "path", "node", "label", "blocks")
 
 
-def _stars(mixed: DataFrame, turn: int) -> DataFrame:
-    """Each member with its node's centre of this turn, if that is in another component."""
-    order = F.xxhash64("node", F.lit(turn))
-    centres = mixed.groupBy("path").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("label").alias("own"))).alias("c"))
-    met = mixed.join(centres.select("path", "c.hub", "c.own"), "path").where("label != own")
-    return met.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).distinct()
+def _linked_further(links: DataFrame, labels: DataFrame) -> DataFrame:
+    links = cut(links)
+    if links.isEmpty():
+        forget(links)
+        return labels
+    grown = connected_components(links, labels=labels)
+    forget(links, labels)
+    return grown
 
 
-def _rival(least: int):
-    """Pairs of members of different components whose tokens agree in ``least`` places or more.
+def _climb(rows: DataFrame, labels: DataFrame, texts: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Labels after the small nodes of each tree are compared, and (gid, path, node, label, blocks) of what is too large."""
+    for tree in range(trees):
+        mixed = cut(_known(rows.where(F.col("tree") == tree), labels).where("blocks = 1"))
+        if not mixed.isEmpty():
+            labels = _linked_further(_compare(mixed.select(F.xxhash64("gid", "path").alias("key"), "node", "label"), texts, percent), labels)
+        forget(mixed)
+    return labels, cut(_known(rows, labels).where("blocks > 1"))
 
-    Rows come sorted by node and side; members of side 0 meet all, the others only side 0. Blocks of
-    one node have sides 0 and 1, a whole node only side 0.
-    """
 
-    def emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch | None:
-        first = [r for r in rows if r[0] == 0]
-        if not first:
-            return None
-        side, node, label = (np.array([r[k] for r in rows]) for k in range(3))
-        marks = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), TOKENS)
-        one = np.flatnonzero(side == 0)
-        whole = len(one) == len(rows)
-        left, right = [], []
-        for i in one.tolist():
-            others = np.arange(i + 1, len(rows)) if whole else np.flatnonzero(side == 1)
-            others = others[label[others] != label[i]]
-            alike = others[(marks[others] == marks[i]).sum(axis=1) >= least]
-            left += [node[i]] * len(alike)
-            right += node[alike].tolist()
-        if not left:
-            return None
-        a, b = np.array(left), np.array(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["hub", "node"])
+def _large(groups: DataFrame, company: DataFrame, sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFrame:
+    """(node, component) of the members of large groups. groups: gid, node, blocks."""
+    share = percent / 100
+    texts = cut(sketch.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "packed"))
+    labels = cut(groups.select("node", F.col("node").alias("component")))
+    dealt = groups.select(F.xxhash64("gid", F.pmod(F.xxhash64("node"), "blocks")).alias("key"), "node", F.col("node").alias("label"))
+    labels = _linked_further(_compare(dealt, texts, percent), labels)
+    rows = cut(company.select("path", "tree", "node", "n").join(groups.select("gid", "node"), "node"))
+    labels, crowded = _climb(rows, labels, texts, trees, percent)
+    for again in range(1, REGROW + 1):
+        if crowded.isEmpty():
+            break
+        crowd = crowded.select("gid", "node").distinct()
+        deep = levels_for(share, 4 * again)
+        trees = trees_for(share, deep)
+        texts_of = texts.join(crowd.select("node"), "node").select("node", F.col("node").alias("mark"), "packed")
+        grown = texts_of.mapInArrow(_resketcher(trees, deep, seed + 100 * again), "node long, n long, paths array<long>").withColumn("trees", F.lit(trees))
+        # Nodes of one group only: the groups are those of the tokens, which deeper trees do not change.
+        fresh = cut(_company(grown).select("path", "tree", "node", "n").join(crowd, "node"))
+        forget(rows, crowded)
+        rows = fresh
+        labels, crowded = _climb(rows, labels, texts, trees, percent)
+    if not crowded.isEmpty():
+        own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+        others = F.sequence(F.lit(0), F.col("blocks") - 1)
+        met = crowded.withColumn("own", own).withColumn("other", F.explode(others))
+        cell = F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other")
+        labels = _linked_further(_compare(met.select(F.xxhash64("gid", "path", cell).alias("key"), "node", "label"), texts, percent), labels)
+    forget(rows, crowded, texts)
+    return labels
+
+
+def _resketcher(trees: int, levels: list[int], seed: int):
+    """(node, n, paths) of (node, mark, packed)."""
+    sketch = _sketcher(trees, levels, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, seen = None, [], set()
         for batch in batches:
-            for path, cell, *row in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (path, cell) != group:
-                    # Nodes with the same members give the same pairs: trees repeat them often.
-                    key = hash(tuple(r[:3] for r in rows)) if rows else None
-                    if key not in seen and (out := emit(rows)) is not None:
-                        yield out
-                    if len(seen) < 100_000:
-                        seen.add(key)
-                    group, rows = (path, cell), []
-                rows.append(tuple(row))
-        if rows and (out := emit(rows)) is not None:
-            yield out
+            texts = pa.array([x.decode() for x in _unpacked(batch.column(2)).to_pylist()], pa.large_string())
+            for out in sketch(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts], ["doc_id", "mark", "text"])])):
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(2), out.column(6)], ["node", "n", "paths"])
 
     return run
 
 
-def _across(mixed: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (hub, node) of different components that meet in a node and may be links.
-
-    A node of up to SMALL members is one group; a larger one is dealt into blocks, and each two
-    blocks are a group.
-    """
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = percent / 100
-    least = math.floor(TOKENS * share - SLACK * math.sqrt(TOKENS * share * (1 - share)))
-    blocks = F.ceil(F.col("members") / SMALL).cast("int")
-    own = F.when(blocks > 1, F.pmod(F.xxhash64("node"), blocks)).otherwise(0).cast("int")
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct((F.least("block", b) * F.col("blocks") + F.greatest("block", b)).alias("cell"), F.when(F.col("block") > b, 1).otherwise(0).alias("side")))
-    rows = mixed.join(marks, "node").withColumn("blocks", blocks).withColumn("block", own).withColumn("at", F.explode(met))
-    dealt = rows.select("path", "at.cell", "at.side", "node", "label", "tokens").repartition(parts, "path", "cell").sortWithinPartitions("path", "cell", "side", "node")
-    return dealt.mapInArrow(_rival(least), "hub long, node long").distinct()
-
-
-def _numbers(docs: DataFrame) -> DataFrame | None:
-    """(number, id, mark) for each doc_id and text, if some doc_id is given to several texts."""
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    several = rows.groupBy("id").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo < hi")
-    if not several.limit(1).count():
-        return None
-    return cut(rows.distinct().select(F.monotonically_increasing_id().alias("number"), "id", "mark"))
+def _labelled(sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFrame:
+    """(k1, k2, component_id) of every class of equal sets."""
+    spark = sketch.sparkSession
+    full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = cut(
+        full.groupBy("k1", "k2")
+        .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"))
+    )
+    company = cut(_company(classes.select("node", "n", "paths", F.lit(trees).alias("trees"))))
+    bound_batches(spark, NARROW)
+    edges = cut(_belonging(company, classes.select("node", "n", "tokens"), percent).distinct())
+    bound_batches(spark)
+    together = connected_components(edges)
+    forget(edges)
+    groups = together.select("node", F.col("component").alias("gid")).join(classes.select("node", "n"), "node")
+    sizes = groups.groupBy("gid").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
+    groups = cut(groups.select("gid", "node").join(sizes, "gid"))
+    forget(together)
+    small = groups.where("blocks = 1").select(F.col("gid").alias("key"), "node", F.col("node").alias("label"))
+    labels = [cut(_compare(small, sketch.select(F.col("row").alias("node"), "packed"), percent, settled=True))]
+    large = groups.where("blocks > 1")
+    if not large.isEmpty():
+        labels.append(_large(large, company, sketch, percent, seed, trees))
+    every = labels[0] if len(labels) == 1 else labels[0].union(labels[1])
+    named = every.join(classes.select("node", "least"), "node")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "component").select(F.col("node").alias("member"), "component_id")
+    known = classes.select("k1", "k2", "node", "least")
+    out = cut(known.join(found, known["node"] == found["member"], "left").select("k1", "k2", F.coalesce("component_id", "least").alias("component_id")))
+    forget(classes, company, groups, *labels)
+    return out
 
 
-def _numbered(docs: DataFrame, numbers: DataFrame, percent: int, seed: int) -> DataFrame:
-    """doc_id, mark, n_shingles, component_id and kept, of documents whose ids have several texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"), "text")
-    linked = cut(_linked(rows.join(numbers, ["id", "mark"], "left").select(F.col("number").alias("doc_id"), "text"), percent, seed))
-    known = linked.join(numbers, linked["doc_id"] == numbers["number"], "left").select("id", "mark", "n_shingles", F.col("component_id").alias("c"))
-    least = known.where("c IS NOT NULL").groupBy("c").agg(F.min("id").alias("component_id"))
-    return known.join(least, "c", "left").select(F.col("id").alias("doc_id"), "mark", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+def _linked(docs: DataFrame, percent: int, seed: int) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, component_id and kept of each row."""
+    spark = docs.sparkSession
+    shared_dir(spark)
+    bound_batches(spark)
+    share = percent / 100
+    levels = levels_for(share)
+    trees = trees_for(share, levels)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    sketch = cut(rows.mapInArrow(_sketcher(trees, levels, seed), _SKETCH).withColumn("row", F.monotonically_increasing_id()))
+    found = _labelled(sketch, percent, seed, trees)
+    columns = ["doc_id", "mark", "n_shingles", "component_id"]
+    linked = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found, ["k1", "k2"]).select(*columns)
+    alone = sketch.where("n_shingles = 0 OR doc_id IS NULL").withColumn("component_id", F.col("doc_id")).select(*columns)
+    out = cut(linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    forget(sketch, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFrame:
@@ -299,78 +448,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFr
     ``percent`` is the least Jaccard similarity of a link in hundredths. ``component_id`` is the
     smallest doc_id reachable over links; ``kept`` holds for the document of that id.
     """
-    numbers = _numbers(docs)
-    return _linked(docs, percent, seed) if numbers is None else _numbered(docs, numbers, percent, seed).drop("mark")
+    return _linked(docs, percent, seed).drop("mark")
 
 
 def without_copies(docs: DataFrame, percent: int = 80, seed: int = 1) -> DataFrame:
     """The rows of ``docs`` whose own text is kept."""
-    numbers = _numbers(docs)
-    if numbers is None:
-        copies = _linked(docs, percent, seed).where(~F.col("kept")).select(F.col("doc_id").alias("_copy")).distinct()
-        return docs.join(copies, docs["doc_id"].cast("long") == copies["_copy"], "left_anti")
-    copies = _numbered(docs, numbers, percent, seed).where(~F.col("kept")).select(F.col("doc_id").alias("_copy"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(copies, (docs["doc_id"].cast("long") == copies["_copy"]) & (F.xxhash64(docs["text"]) == copies["_mark"]), "left_anti")
-
-
-def _linked(docs: DataFrame, percent: int, seed: int) -> DataFrame:
-    """``near_duplicates`` of documents of which each doc_id has one text."""
-    spark = docs.sparkSession
-    shared_dir(spark)
-    bound_batches(spark)
-    share = percent / 100
-    levels = levels_for(share)
-    sketch = cut(_sketch(docs, trees_for(share, levels), levels, seed))
-    classes = (
-        sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("paths").alias("paths"))
-    )
-    company = cut(_company(classes))
-    marks = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "tokens")
-    marks = cut(company.select("node").distinct().join(marks, "node").dropDuplicates(["node"]))
-    sizes = marks.select("node", "n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(sizes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = cut(texts.mapInArrow(_shrink, "doc_id long, text binary"))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.col("hub").alias("doc_id")).union(pairs.select("node")).distinct()
-        return cut(_confirm(pairs, texts.join(need, "doc_id", "left_semi"), percent))
-
-    labels = tried = None
-    mixed = company.select("path", "node", F.col("node").alias("label"))
-    for turn in range(ROUNDS):
-        stars = _sized(_stars(mixed, turn), sizes, percent)
-        stars = cut(stars if tried is None else stars.join(tried, ["hub", "node"], "left_anti"))
-        tried = stars if tried is None else tried.union(stars)
-        fresh = confirmed(stars)
-        if turn and not fresh.limit(1).count():
-            break
-        labels = connected_components(fresh, labels=labels)
-        mixed = cut(_mixed(mixed.select("path", "node"), labels))
-
-    pairs = _across(mixed.where(F.col("members") <= SMALL), marks, percent)
-    large = mixed.where(F.col("members") > SMALL)
-    for again in range(1, REGROW + 1):
-        if not large.limit(1).count():
-            break
-        crowd = large.select(F.col("node").alias("doc_id")).distinct()
-        deep = levels_for(share, 4 * again)
-        deeper = _sketch(texts.join(crowd, "doc_id", "left_semi"), trees_for(share, deep), deep, seed + 100 * again)
-        regrown = deeper.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("paths").alias("paths"))
-        mixed = cut(_mixed(_company(regrown), labels))
-        pairs = pairs.union(_across(mixed.where(F.col("members") <= SMALL), marks, percent))
-        large = mixed.where(F.col("members") > SMALL)
-    pairs = pairs.union(_across(large, marks, percent)).distinct().join(tried, ["hub", "node"], "left_anti")
-    pairs = cut(_sized(pairs, sizes, percent))
-    if pairs.limit(1).count():
-        labels = connected_components(confirmed(pairs), labels=labels)
-
-    found = (
-        classes.join(labels, "node", "left")
-        .select("k1", "k2", F.coalesce("component", "node").alias("component"))
-    )
-    keyed = sketch.select("doc_id", "n_shingles", "k1", "k2")
-    linked = keyed.join(found, (F.col("n_shingles") > 0) & (keyed["k1"] == found["k1"]) & (keyed["k2"] == found["k2"]), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    copies = _linked(docs, percent, seed).where(~F.col("kept")).select(F.col("doc_id").alias("_copy"), F.col("mark").alias("_mark")).distinct()
+    own = (docs["doc_id"].cast("long") == copies["_copy"]) & (F.xxhash64(docs["text"]) == copies["_mark"])
+    return docs.join(copies, own, "left_anti")

@@ -92,7 +92,6 @@ def test_near_duplicates_large_nodes(spark, monkeypatch):
     from lexora.llm import near_dedup
 
     monkeypatch.setattr(near_dedup, "SMALL", 8)
-    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     rows = near_copies(4, 2, 60, 0.022)
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, rows), 85).collect()}
     assert got == brute_components(rows, 85)
