@@ -54,7 +54,7 @@ TOKENS, MISS = 96, 4e-6
 #: Standard deviations below the threshold at which the tokens of a pair still let it pass.
 SLACK = 4.8
 #: Members, and shingles of all members, that are compared in one task; how often larger nodes are branched further.
-SMALL, SHINGLES, REGROW = 1024, 1 << 23, 2
+SMALL, SHINGLES, REGROW = 1024, 1 << 20, 2
 #: Rows without texts that are handed to Python at once.
 NARROW = 16_384
 
@@ -240,7 +240,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     _, first, weight = np.unique(who, return_index=True, return_counts=True)
     ends = np.append(starts[1:], len(row))
     kind = np.float32 if weight.sum() < 1 << 24 else np.float64
-    step = max(256, (1 << 22) // many)
+    step = max(256, (1 << 21) // many)
     for i in range(0, len(first), step):
         taken = first[i:i + step]
         length = ends[taken] - starts[taken]
