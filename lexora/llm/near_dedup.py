@@ -294,11 +294,10 @@ def _blocks(members: Column, shingles: Column) -> Column:
     return F.least(F.ceil(F.greatest(members / SMALL, shingles / SHINGLES)).cast("int"), members.cast("int"))
 
 
-def _company(sketch: DataFrame) -> DataFrame:
-    """(path, tree, node, n, members, lo, shingles) for the members of nodes with company. sketch: node, n, paths, trees."""
-    rows = sketch.select("node", "n", "trees", F.posexplode("paths").alias("at", "path"))
-    rows = rows.select("node", "n", (F.col("at") % F.col("trees")).cast("int").alias("tree"), "path")
-    held = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("node").alias("lo"), F.sum("n").alias("shingles")).where("members > 1")
+def _company(classes: DataFrame) -> DataFrame:
+    """(path, node, members, lo) for the members of nodes with company. classes: node, paths."""
+    rows = classes.select("node", F.explode("paths").alias("path"))
+    held = rows.groupBy("path").agg(F.count("*").alias("members"), F.min("node").alias("lo")).where("members > 1")
     return rows.join(held, "path")
 
 
@@ -315,9 +314,14 @@ def _belonging(company: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return alike.union(large)
 
 
-def _known(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(gid, path, node, label, blocks) of the nodes of trees that hold several components.  rows: gid, path, node, n."""
-    rows = rows.join(labels.select("node", F.col("component").alias("label")), "node")
+def _mixed(members: DataFrame, labels: DataFrame, trees: int, tree: int | None = None) -> DataFrame:
+    """(gid, path, node, label, blocks) of the nodes of one tree, or of all, that hold several components.
+
+    members: gid, node, n, paths. Labels are joined to members, not to their many paths.
+    """
+    rows = members.join(labels.select("node", F.col("component").alias("label")), "node")
+    paths = F.col("paths") if tree is None else F.filter("paths", lambda _, at: at % trees == tree)
+    rows = rows.select("gid", "node", "n", "label", F.explode(paths).alias("path"))
     several = (
         rows.groupBy("gid", "path").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), _blocks(F.count("*"), F.sum("n")).alias("blocks"))
         .where("lo < hi").select("gid", "path", "blocks")
@@ -335,45 +339,44 @@ def _linked_further(links: DataFrame, labels: DataFrame) -> DataFrame:
     return grown
 
 
-def _climb(rows: DataFrame, labels: DataFrame, texts: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _climb(members: DataFrame, labels: DataFrame, texts: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Labels after the small nodes of each tree are compared, and (gid, path, node, label, blocks) of what is too large."""
     for tree in range(trees):
-        mixed = cut(_known(rows.where(F.col("tree") == tree), labels).where("blocks = 1"))
+        mixed = cut(_mixed(members, labels, trees, tree).where("blocks = 1"))
         if not mixed.isEmpty():
             labels = _linked_further(_compare(mixed.select(F.xxhash64("gid", "path").alias("key"), "node", "label"), texts, percent), labels)
         forget(mixed)
-    return labels, cut(_known(rows, labels).where("blocks > 1"))
+    return labels, cut(_mixed(members, labels, trees).where("blocks > 1"))
 
 
-def _large(groups: DataFrame, company: DataFrame, sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFrame:
-    """(node, component) of the members of large groups. groups: gid, node, blocks."""
+def _large(groups: DataFrame, classes: DataFrame, sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFrame:
+    """(node, component) of the members of large groups. groups: gid, node, blocks; classes: node, n, paths."""
     share = percent / 100
     texts = cut(sketch.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "packed"))
     labels = cut(groups.select("node", F.col("node").alias("component")))
     dealt = groups.select(F.xxhash64("gid", F.pmod(F.xxhash64("node"), "blocks")).alias("key"), "node", F.col("node").alias("label"))
     labels = _linked_further(_compare(dealt, texts, percent), labels)
-    rows = cut(company.select("path", "tree", "node", "n").join(groups.select("gid", "node"), "node"))
-    labels, crowded = _climb(rows, labels, texts, trees, percent)
+    members = cut(groups.select("gid", "node").join(classes, "node"))
+    labels, crowded = _climb(members, labels, texts, trees, percent)
     for again in range(1, REGROW + 1):
         if crowded.isEmpty():
             break
         crowd = crowded.select("gid", "node").distinct()
         deep = levels_for(share, 4 * again)
         trees = trees_for(share, deep)
-        texts_of = texts.join(crowd.select("node"), "node").select("node", F.col("node").alias("mark"), "packed")
-        grown = texts_of.mapInArrow(_resketcher(trees, deep, seed + 100 * again), "node long, n long, paths array<long>").withColumn("trees", F.lit(trees))
-        # Nodes of one group only: the groups are those of the tokens, which deeper trees do not change.
-        fresh = cut(_company(grown).select("path", "tree", "node", "n").join(crowd, "node"))
-        forget(rows, crowded)
-        rows = fresh
-        labels, crowded = _climb(rows, labels, texts, trees, percent)
+        known = texts.join(crowd.select("node"), "node").select("node", F.col("node").alias("mark"), "packed")
+        # Groups come from the first trees' tokens and stay as they are.
+        grown = cut(known.mapInArrow(_resketcher(trees, deep, seed + 100 * again), "node long, n long, paths array<long>").join(crowd, "node"))
+        forget(members, crowded)
+        members = grown
+        labels, crowded = _climb(members, labels, texts, trees, percent)
     if not crowded.isEmpty():
         own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
         met = crowded.withColumn("own", own).withColumn("other", F.explode(others))
         cell = F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other")
         labels = _linked_further(_compare(met.select(F.xxhash64("gid", "path", cell).alias("key"), "node", "label"), texts, percent), labels)
-    forget(rows, crowded, texts)
+    forget(members, crowded, texts)
     return labels
 
 
@@ -398,10 +401,11 @@ def _labelled(sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFra
         full.groupBy("k1", "k2")
         .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("paths").alias("paths"))
     )
-    company = cut(_company(classes.select("node", "n", "paths", F.lit(trees).alias("trees"))))
+    company = cut(_company(classes.select("node", "paths")))
     bound_batches(spark, NARROW)
     edges = cut(_belonging(company, classes.select("node", "n", "tokens"), percent).distinct())
     bound_batches(spark)
+    forget(company)
     together = connected_components(edges)
     forget(edges)
     groups = together.select("node", F.col("component").alias("gid")).join(classes.select("node", "n"), "node")
@@ -412,14 +416,14 @@ def _labelled(sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFra
     labels = [cut(_compare(small, sketch.select(F.col("row").alias("node"), "packed"), percent, settled=True))]
     large = groups.where("blocks > 1")
     if not large.isEmpty():
-        labels.append(_large(large, company, sketch, percent, seed, trees))
+        labels.append(_large(large, classes.select("node", "n", "paths"), sketch, percent, seed, trees))
     every = labels[0] if len(labels) == 1 else labels[0].union(labels[1])
     named = every.join(classes.select("node", "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.join(least, "component").select(F.col("node").alias("member"), "component_id")
     known = classes.select("k1", "k2", "node", "least")
     out = cut(known.join(found, known["node"] == found["member"], "left").select("k1", "k2", F.coalesce("component_id", "least").alias("component_id")))
-    forget(classes, company, groups, *labels)
+    forget(classes, groups, *labels)
     return out
 
 
