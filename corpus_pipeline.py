@@ -18,6 +18,7 @@ from lexora.llm.near_dedup import without_copies
 from lexora.llm.packing import pack_documents
 from lexora.llm.quality import keep_quality
 from lexora.llm.secrets import redact_secrets
+from lexora.session import cut, forget
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies, at a similarity of 0.8."""
     kept = without_copies(docs, percent=80)
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         kept = kept.where("doc_id IS NULL").unionByName(kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]))
     return kept
 
@@ -55,8 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on the whole of ``documents``."""
+    """All stages, one after another, on the whole of ``documents``; each stage's result is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for n, (_, stage) in enumerate(STAGES, 1):
+        made = stage(spark, docs, sf_dir)
+        if n == len(STAGES):
+            return made
+        written = cut(made)
+        forget(docs)
+        docs = written
     return docs
