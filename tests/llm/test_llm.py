@@ -236,24 +236,39 @@ def brute_best_fit(lengths, capacity):
     return rooms
 
 
-def test_plan_is_best_fit_decreasing():
+def test_sweep_is_best_fit_decreasing():
     draw = random.Random(9)
     for _ in range(200):
         capacity = draw.randint(5, 60)
-        lengths = [draw.randint(1, capacity) for _ in range(draw.randint(1, 150))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        plan = sorted(packing.best_fit_plan(counts, capacity))
+        lengths = sorted((draw.randint(1, capacity) for _ in range(draw.randint(1, 150))), reverse=True)
+        n = len(lengths)
+        sequence, offset, rooms = packing.sweep(np.array(lengths), np.zeros(n, bool), np.zeros(n, np.int64), capacity, 7)
         filled = {}
-        for k, (length, rank, sequence, many, offset) in enumerate(plan):
-            end = plan[k + 1][1] if k + 1 < len(plan) and plan[k + 1][0] == length else counts[length]
-            for r in range(rank, end):
-                filled.setdefault(sequence + (r - rank) // many, []).append((offset + (r - rank) % many * length, length))
-        assert len(filled) == len(brute_best_fit(lengths, capacity))
+        for s, o, length in zip(sequence.tolist(), offset.tolist(), lengths, strict=True):
+            filled.setdefault(s, []).append((o, length))
+        want = brute_best_fit(lengths, capacity)
+        assert len(filled) == len(want) and sorted(rooms.values()) == sorted(r for r in want if r)
         for pieces in filled.values():
             pieces.sort()
             assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= capacity
 
 
+def test_packing_in_many_shares(spark):
+    """Many shares and supersteps: everything is placed once, without overlaps, in about as few sequences."""
+    draw = random.Random(10)
+    lengths = [min(100, max(1, int(draw.expovariate(1 / 25)))) for _ in range(3000)] + [100] * 50
+    rows = [(i % 2900 if i % 7 else None, i, 0, n, i) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(5), 100, share=300).collect()
+    assert sorted((r["piece"], r["length"]) for r in got) == sorted((i, n) for i, n in enumerate(lengths))
+    at = {}
+    for r in got:
+        at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for pieces in at.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))] and sum(n for _, n in pieces) <= 100
+    assert len(at) <= 1.02 * len(brute_best_fit(lengths, 100)) + 1
+
+
 def test_fingerprints(spark):
     rows = [r for r in odd() if r[0] is not None] + [(300 + i, f"line {i}\n" * 20) for i in range(40)]
     got = {r["doc_id"]: r for r in fingerprint_edits(docs_of(spark, rows + [(None, "no id")])).collect()}
