@@ -1,42 +1,52 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Every tree hashes a vector to a string of ``BITS`` sign bits of random projections; a tree is the
-sorted array of its strings. A query descends all trees to entries that share a prefix of some length
-with it, found by two binary searches, and all entries reached in any tree are compared by exact
-distance. The length to descend to is the longest at which ``REACH`` of the true neighbours of a
-bounded sample of queries are reached, which those queries' own brute-force answers tell; this is how
-recall is held whatever the data. A query that reaches fewer than ``k`` entries ascends: all trees'
-prefixes are shortened together, two bits at a time and to nothing in the end, until it has enough.
-
-Equal vectors are one entry that lists its smallest vec_ids, as many as a result can name, so a vector
-that a third of the rows share is one entry. The entries are dealt into blocks of about ``BLOCK``; a
-block holds its part of every tree as sorted arrays and its vectors once, queries visit the blocks in
-blocks of their own, and the best of each block meet per query. Every row is indexed, no entry
-reached is dropped, and a task holds one block of entries and one of queries.
-
-Only the projections' centre and the prefix length are fitted, on ``SAMPLE`` rows and ``PROBES`` queries.
+sorted array of its strings. The arrays are one table, partitioned by tree and leading bits into
+cells of about ``CELL`` strings (a crowded cell is dealt into several), so a query visits only the
+cells that its prefixes name. A query first descends in every tree to where its string would stand,
+and takes the longest prefix length at which ``WANT`` strings of all trees together match its own.
+Entries that share a prefix of that length with it in some tree are its candidates; each is compared
+by exact distance, where the vectors lie. Then it ascends in all trees at once: two vectors at an
+angle a share x leading bits of a tree with probability (1 - a / pi) ** x, so the angle to the k-th
+best found tells the length at which a neighbour as far as that is met in some tree with probability
+``REACH``. As better ones only narrow that angle, one ascent to that length is enough; a query that
+has fewer than ``k`` entries ascends further, to no prefix at all in the end.
+
+Each query has lengths of its own: among clustered vectors it stays deep, among random ones, whose
+neighbours are hardly nearer than the rest, it has to meet a large share of them. Equal vectors are
+one entry that lists its smallest vec_ids, as many as a result can name, so a vector that a third of
+the rows share is one entry. Entries are numbered along the first tree and lie in blocks of
+``BLOCK`` neighbours; a task holds one block's vectors, and queries with their candidates stream past
+it, so nothing is copied and only blocks with candidates are visited. Every row is indexed and no
+candidate is dropped; vectors of different lengths live in trees of their own.
+
+Only the projections' centres are fitted, on at most ``SAMPLE`` rows.
 
 Defined cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no
-part, as query or as candidate, nor do rows without a vec_id; nor vectors whose length is not the
-most common one in the sample. A query's own row is no candidate, nor are other rows with its vec_id;
-of a vec_id's several vectors one is the query. With fewer than ``k`` candidates in the table all are
-returned. Ties go to the smaller vec_id. Extra columns are ignored.
+part, as query or as candidate, nor do rows without a vec_id. A vector's candidates are those of its
+own length. A query's own row is no candidate, nor are other rows with its vec_id; of a vec_id's
+several vectors the smallest is the query. With fewer than ``k`` candidates all are returned. Ties go
+to the smaller vec_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.session import bound_batches, cut
+from lexora.session import bound_batches, cut, forget
+
+BITS, TREES, K = 64, 64, 10
+REACH, WANT, SAMPLE = 0.95, 160, 2000
+CELL, BLOCK = 1 << 18, 8192
 
-BITS, TREES, K = 24, 64, 10
-REACH, PROBES, SAMPLE = 0.97, 64, 2000
-BLOCK, QUERIES = 8192, 2048
+_TOP = np.uint64(1 << 63)
+_ROW = (1 << 33) - 1
 
 
 def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -47,133 +57,282 @@ def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(finite & F.exists(v, lambda x: x != 0))
 
 
-class Forest:
-    """The trees of one block of entries."""
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy()
+    ends = np.cumsum(column.value_lengths().to_numpy())
+    return np.split(flat, ends[:-1])
+
+
+class Hasher:
+    """Strings of vectors as signed integers that sort as the strings do."""
 
-    def __init__(self, matrix: np.ndarray, centre: np.ndarray, trees: int, seed: int):
-        self.matrix, self.centre, self.trees, self.seed = matrix, centre, trees, seed
-        codes = self.strings(matrix)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, axis=0)
+    def __init__(self, centres: dict[int, list[float]], trees: int, seed: int):
+        self.centres, self.trees, self.seed, self.planes = centres, trees, seed, {}
+
+    def centre(self, width: int) -> np.ndarray:
+        return np.array(self.centres.get(width, [0.0] * width))
 
     def strings(self, matrix: np.ndarray) -> np.ndarray:
-        """The string of each row in each tree, as an integer whose first bit is the highest."""
-        planes = np.random.default_rng(self.seed).standard_normal((matrix.shape[1], self.trees * BITS))
-        weight = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        parts = [
-            ((matrix[i:i + 1024] - self.centre) @ planes > 0).reshape(-1, self.trees, BITS) @ weight
-            for i in range(0, len(matrix), 1024)
-        ]
-        return np.concatenate(parts) if parts else np.zeros((0, self.trees), np.int64)
-
-    def reached(self, strings: np.ndarray, level: int) -> Iterator[np.ndarray]:
-        """For each query the entries that share ``level`` leading bits with it in some tree."""
-        low = (strings >> (BITS - level)) << (BITS - level)
-        high = low + (1 << (BITS - level)) - 1
-        first = np.stack([np.searchsorted(self.sorted[:, t], low[:, t], side="left") for t in range(self.trees)], axis=1)
-        last = np.stack([np.searchsorted(self.sorted[:, t], high[:, t], side="right") for t in range(self.trees)], axis=1)
-        for a, b in zip(first, last, strict=True):
-            mark = np.zeros(len(self.matrix), bool)
-            for t in np.flatnonzero(b > a):
-                mark[self.order[a[t]:b[t], t]] = True
-            yield np.flatnonzero(mark)
-
-    def longest(self, strings: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The longest prefix that each of some entries shares with one query in any tree."""
-        back = np.empty_like(self.sorted)
-        np.put_along_axis(back, self.order, self.sorted, axis=0)
-        apart = (back[rows] ^ strings).min(axis=1)
-        return np.where(apart == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(apart, 1))).astype(np.int64))
-
-
-def _stacked(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
-
-
-def _finder(centre: np.ndarray, trees: int, seed: int, k: int, probe: bool):
-    """The best ``k`` of a block for each query: among the entries reached at its level, or, to probe, among all."""
-    names = ["query_id", "vec_id", "score", "level"]
-    kinds = {"query_id": "int64", "vec_id": "int64", "score": "float64", "level": "int32"}
-
-    def run(entries: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float, int]] = []
-        if len(entries) and len(queries):
-            forest = Forest(_stacked(entries["v"]), centre, trees, seed)
-            ids = entries["ids"].to_numpy()
-            for level, group in queries.groupby("level"):
-                asked = _stacked(group["qv"])
-                strings = forest.strings(asked)
-                every = np.arange(len(entries))
-                rows = (every for _ in range(len(group))) if probe else forest.reached(strings, int(level))
-                for query, v, own, near in zip(group["query_id"], asked, strings, rows, strict=True):
-                    far = np.sqrt(np.square(forest.matrix[near] - v).sum(axis=1))
-                    if len(far) > k + 1:  # one more than k, as the query's own entry may be among them; ties stay
-                        best = np.flatnonzero(far <= np.partition(far, k)[k])
-                        near, far = near[best], far[best]
-                    depth = forest.longest(own, near) if probe else np.full(len(near), level)
-                    found = sorted((float(d), int(i), int(x)) for d, j, x in zip(far, near, depth, strict=True) for i in ids[j] if i != query)
-                    out += [(query, i, d, x) for d, i, x in found[:k]]
-        return pd.DataFrame(out, columns=names).astype(kinds)
+        width = matrix.shape[1]
+        if width not in self.planes:
+            self.planes = {width: np.random.default_rng([self.seed, width]).standard_normal((width, self.trees * BITS))}
+        out = np.empty((len(matrix), self.trees), np.int64)
+        for i in range(0, len(matrix), 256):
+            bits = (matrix[i:i + 256] - self.centre(width)) @ self.planes[width] > 0
+            packed = np.packbits(bits.reshape(-1, self.trees, BITS), axis=2).view(">u8")[:, :, 0].astype(np.uint64)
+            out[i:i + 256] = (packed ^ _TOP).view(np.int64)
+        return out
+
+
+def _coder(hasher: Hasher):
+    """Adds the strings to (ids, v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = _lists(batch.column(1)) if batch.num_rows else []
+            width = np.array([len(v) for v in vectors], dtype=np.int32)
+            codes = np.zeros((len(vectors), hasher.trees), np.int64)
+            for w in np.unique(width).tolist():
+                own = np.flatnonzero(width == w)
+                codes[own] = hasher.strings(np.stack([vectors[i] for i in own]))
+            edges = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * hasher.trees)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(width), pa.ListArray.from_arrays(edges, pa.array(codes.reshape(-1)))], ["ids", "v", "width", "codes"])
 
     return run
 
 
-def _visit(entries: DataFrame, asked: DataFrame, blocks: int, groups: int, find) -> DataFrame:
-    """Every block of queries meets every block of entries."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    left = entries.select(F.pmod(F.xxhash64("entry"), F.lit(blocks)).cast("int").alias("block"), every.alias("part"), "ids", "v")
-    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("part"), "query_id", "qv", "level")
-    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(find, "query_id long, vec_id long, score double, level int")
+def _prefix_ends(codes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last string that share ``level`` leading bits with each."""
+    rest = np.where(level == 0, ~np.uint64(0), (np.uint64(1) << (BITS - np.maximum(level, 1)).astype(np.uint64)) - np.uint64(1))
+    plain = codes.view(np.uint64) ^ _TOP
+    return ((plain & ~rest) ^ _TOP).view(np.int64), ((plain | rest) ^ _TOP).view(np.int64)
+
+
+def _walker(counting: bool):
+    """Cells of rows (cell key, asking, code, entry or query, level), sorted by these: the cell's strings, then who asks.
+
+    Counting, gives (query_id, counts): matches at every length; else (query_id, block, places).
+    """
+
+    def answer(codes: np.ndarray, entries: np.ndarray, asked: np.ndarray, queries: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        if counting:
+            counts = np.empty((len(asked), BITS + 1), np.int64)
+            for x in range(BITS + 1):
+                low, high = _prefix_ends(asked, np.full(len(asked), x))
+                counts[:, x] = np.searchsorted(codes, high, side="right") - np.searchsorted(codes, low, side="left")
+            edges = pa.array(np.arange(len(asked) + 1, dtype=np.int32) * (BITS + 1))
+            return pa.RecordBatch.from_arrays([pa.array(queries), pa.ListArray.from_arrays(edges, pa.array(counts.reshape(-1)))], ["query_id", "counts"])
+        low, high = _prefix_ends(asked, level)
+        owner, block, places = [], [], []
+        for query, a, b in zip(queries.tolist(), np.searchsorted(codes, low, side="left").tolist(), np.searchsorted(codes, high, side="right").tolist(), strict=True):
+            met = np.sort(entries[a:b])
+            home, place = (met >> 33 << 20) + (met & _ROW) // BLOCK, ((met & _ROW) % BLOCK).astype("<i4")
+            edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(met) else []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                owner.append(query)
+                block.append(int(home[i]))
+                places.append(place[i:j].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(block, pa.int64()), pa.array(places, pa.binary())], ["query_id", "block", "places"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        codes = entries = np.zeros(0, np.int64)
+        for batch in batches:
+            tree, cell, salt, asking, code, who, level = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            change = np.zeros(len(tree), bool)
+            change[1:] = (tree[1:] != tree[:-1]) | (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (asking[1:] != asking[:-1])
+            edges = [0, *np.flatnonzero(change).tolist(), len(tree)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                place = (tree[a], cell[a], salt[a])
+                if place != here:
+                    here, held = place, []
+                    codes = entries = np.zeros(0, np.int64)
+                if not asking[a]:
+                    held.append((code[a:b], who[a:b]))
+                    continue
+                if held:
+                    codes, entries = (np.concatenate([x[k] for x in held]) for k in range(2))
+                    held = []
+                for i in range(a, b, 512):
+                    yield answer(codes, entries, *(x[i:min(b, i + 512)] for x in (code, who, level)))
 
+    return run
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    first = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.max("level").alias("level"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
+def _comparer(hasher: Hasher, k: int):
+    """Blocks of rows (block, asking, query_id or place, part, ids, v, places), sorted by these: the block's entries, then
+    for each query its vector and its candidates. Gives the best ``k`` of each query in the block."""
+    names = ["query_id", "vec_id", "score", "cosine"]
+
+    def best(query: int, asked: np.ndarray, rows: np.ndarray, matrix: np.ndarray, home: np.ndarray, ids: list) -> list[tuple[int, int, float, float]]:
+        met = matrix[home[rows]]
+        far = np.sqrt(np.square(met - asked).sum(axis=1))
+        if len(far) > k + 1:  # one more than k, as the query's own entry may be among them; ties stay
+            near = np.flatnonzero(far <= np.partition(far, k)[k])
+            rows, far, met = rows[near], far[near], met[near]
+        a, b = asked - hasher.centre(len(asked)), met - hasher.centre(len(asked))
+        size = np.linalg.norm(a) * np.linalg.norm(b, axis=1)
+        cosine = np.divide(b @ a, size, out=np.zeros(len(far)), where=size > 0)
+        found = sorted((float(d), int(i), float(c)) for d, j, c in zip(far, rows, cosine, strict=True) for i in ids[j] if i != query)
+        return [(query, i, d, c) for d, i, c in found[:k]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = query = asked = None
+        vectors, ids, tables, marks, out = [], [], {}, [], []
+
+        def flush() -> None:
+            if query is None or not marks:
+                return
+            if not tables:
+                width = np.array([len(v) for v in vectors])
+                for w in np.unique(width).tolist():
+                    own = np.flatnonzero(width == w)
+                    home = np.zeros(len(width), np.int64)
+                    home[own] = np.arange(len(own))
+                    tables[w] = (np.stack([vectors[i] for i in own]), home)
+            rows = np.unique(np.concatenate(marks))
+            out.extend(best(query, asked, rows, *tables[len(asked)], ids))
+
+        for batch in batches:
+            block, asking, number, part = (batch.column(i).to_pylist() for i in range(4))
+            own, vector, places = batch.column(4).to_pylist(), _lists(batch.column(5)) if batch.num_rows else [], batch.column(6).to_pylist()
+            for i in range(len(block)):
+                if block[i] != here or (asking[i] and number[i] != query):
+                    flush()
+                    query, marks = None, []
+                if block[i] != here:
+                    here, vectors, ids, tables = block[i], [], [], {}
+                if not asking[i]:
+                    vectors.append(vector[i])
+                    ids.append(own[i])
+                elif part[i] == 0:
+                    query, asked = number[i], vector[i]
+                else:
+                    marks.append(np.frombuffer(places[i], "<i4"))
+            if len(out) > 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names)
+                out = []
+        flush()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names)
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, reach: float = REACH, block: int = BLOCK, seed: int = 5) -> DataFrame:
-    """The k nearest rows of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    bound_batches(spark, 2048)
-    rows = clean(vectors)
+    return run
+
+
+class Forest:
+    """The trees' strings in cells, and the entries in blocks."""
+
+    def __init__(self, entries: DataFrame, hasher: Hasher, cell: int):
+        """entries: e, ids, v, width, codes."""
+        self.hasher, self.entries = hasher, entries
+        self.parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.bits = max(0, math.ceil(math.log2(max(1, entries.count() / cell))))
+        rows = self.in_trees(entries.select("codes", "width", "e")).withColumn("cell", self.cell_of("code"))
+        self.sizes = cut(rows.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("salts")))
+        rows = rows.join(self.sizes, ["tree", "cell"])
+        self.strings = cut(rows.select("tree", "cell", F.pmod(F.xxhash64("e"), "salts").cast("int").alias("salt"), "code", "e"))
+
+    @staticmethod
+    def in_trees(rows: DataFrame) -> DataFrame:
+        """A row for each tree; a tree's number holds the vectors' length."""
+        rest = [c for c in rows.columns if c not in ("codes", "width")]
+        return rows.select((F.col("width").cast("long") * 65536).alias("base"), *rest, F.posexplode("codes").alias("t", "code")).select((F.col("base") + F.col("t")).alias("tree"), "code", *rest)
+
+    def cell_of(self, code: str) -> F.Column:
+        return F.shiftright(code, BITS - self.bits) if self.bits else F.lit(0).cast("long")
+
+    def walk(self, queries: DataFrame, counting: bool) -> DataFrame:
+        """queries: query_id, codes, width, level."""
+        asked = self.in_trees(queries.select("codes", "width", "query_id", "level"))
+        cells = F.array(self.cell_of("code"))
+        if self.bits and not counting:
+            span = F.expr(f"shiftleft(1L, {self.bits} - level)")
+            prefix = F.when(F.col("level") == 0, F.lit(-(1 << (self.bits - 1))).cast("long")).otherwise(F.expr(f"shiftright(code, cast({BITS} - level AS INT)) * shiftleft(1L, {self.bits} - level)"))
+            cells = F.when(F.col("level") >= self.bits, cells).otherwise(F.sequence(prefix, prefix + span - 1))
+        asked = asked.withColumn("cell", F.explode(cells)).join(self.sizes, ["tree", "cell"])
+        asked = asked.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asking"), "code", F.col("query_id").alias("who"), "level")
+        named = asked.select("tree", "cell", "salt").distinct()
+        strings = self.strings.join(named, ["tree", "cell", "salt"], "left_semi")
+        strings = strings.select("tree", "cell", "salt", F.lit(False).alias("asking"), "code", F.col("e").alias("who"), F.lit(0).alias("level"))
+        keys = ["tree", "cell", "salt"]
+        met = strings.unionByName(asked).repartition(self.parts, *keys).sortWithinPartitions(*keys, "asking", "code", "who")
+        return met.mapInArrow(_walker(counting), "query_id long, counts array<long>" if counting else "query_id long, block long, places binary")
+
+    def compare(self, queries: DataFrame, k: int) -> DataFrame:
+        """The best ``k`` of each query among the entries that share ``level`` leading bits with it in some tree."""
+        met = cut(self.walk(queries, False))
+        none = lambda kind: F.lit(None).cast(kind)
+        row = F.col("e").bitwiseAND(_ROW)
+        block = F.shiftright("e", 33) * (1 << 20) + F.floor(row / BLOCK)
+        entries = self.entries.select(block.cast("long").alias("block"), F.lit(False).alias("asking"), (row % BLOCK).alias("number"), F.lit(0).alias("part"), "ids", "v", none("binary").alias("places"))
+        entries = entries.join(met.select("block").distinct(), "block", "left_semi")
+        asked = met.select("query_id", "block").distinct().join(queries.select("query_id", "qv"), "query_id")
+        asked = asked.select("block", F.lit(True).alias("asking"), F.col("query_id").alias("number"), F.lit(0).alias("part"), none("array<long>").alias("ids"), F.col("qv").alias("v"), none("binary").alias("places"))
+        lists = met.select("block", F.lit(True).alias("asking"), F.col("query_id").alias("number"), F.lit(1).alias("part"), none("array<long>").alias("ids"), F.array().cast("array<double>").alias("v"), "places")
+        rows = entries.unionByName(asked).unionByName(lists).repartition(self.parts, "block").sortWithinPartitions("block", "asking", "number", "part")
+        found = rows.mapInArrow(_comparer(self.hasher, k), "query_id long, vec_id long, score double, cosine double")
+        first = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"), F.max("cosine").alias("cosine"))
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        out = cut(first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        forget(met)
+        return out
+
+
+def _centres(rows: DataFrame) -> dict[int, list[float]]:
+    """The mean vector of each length in a bounded sample."""
     ranked = rows.withColumn("r", F.xxhash64("vec_id", "v"))
     # The ranks alone are sorted; the vectors of the few rows below the cut follow.
     last = ranked.select("r").orderBy("r").limit(SAMPLE).agg(F.max("r").alias("last")).first()["last"]
-    sample = [] if last is None else ranked.where(F.col("r") <= last).select("v").limit(2 * SAMPLE).collect()
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    widths = [len(r["v"]) for r in sample]
-    width = max(set(widths), key=lambda w: (widths.count(w), w))
-    centre = np.mean([r["v"] for r in sample if len(r["v"]) == width], axis=0)
-    rows = rows.where(F.size("v") == width)
+    sample: dict[int, list] = {}
+    for r in [] if last is None else ranked.where(F.col("r") <= last).select("v").limit(2 * SAMPLE).collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    return {width: np.mean(own, axis=0).tolist() for width, own in sample.items()}
+
 
+def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, reach: float = REACH, cell: int = CELL, seed: int = 5) -> DataFrame:
+    """The k nearest rows of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
+    bound_batches(spark, 2048)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = clean(vectors)
+    hasher = Hasher(_centres(rows), trees, seed)
+    coded = "ids array<long>, v array<double>, width int, codes array<long>"
     smallest = Window.partitionBy("v").orderBy("vec_id")
     entries = (
         rows.distinct().withColumn("nth", F.row_number().over(smallest)).where(F.col("nth") <= k + 1)
-        .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+        .groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select("ids", "v")
+        .mapInArrow(_coder(hasher), coded).withColumn("c0", F.col("codes")[0])
+        .repartitionByRange(parts, "width", "c0", F.col("ids")[0]).sortWithinPartitions("width", "c0", F.col("ids")[0]).drop("c0")
     )
-    entries = cut(entries.select(F.element_at("ids", 1).alias("entry"), "v", "ids"))
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("qv"))
-    queries = cut(queries.withColumn("level", F.lit(0)))
-    blocks = max(1, -(-entries.count() // block))
-    groups = max(1, -(-queries.count() // QUERIES))
-
-    probes = queries.orderBy(F.xxhash64("query_id")).limit(PROBES)
-    true = [r["level"] for r in _best(_visit(entries, probes, blocks, 1, _finder(centre, trees, seed, k, True)), k).select("level").collect()]
-    level = next((x for x in range(BITS, 0, -1) if true and sum(t >= x for t in true) >= reach * len(true)), 0)
-
-    find = _finder(centre, trees, seed, k, False)
-    todo, answers = queries, None
+    entries = cut(entries.withColumn("e", F.monotonically_increasing_id()))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
+    asked = asked.select(F.array("query_id").alias("ids"), "v").mapInArrow(_coder(hasher), coded)
+    queries = cut(asked.select(F.col("ids")[0].alias("query_id"), F.col("v").alias("qv"), "width", "codes"))
+    forest = Forest(entries, hasher, cell)
+
+    bound_batches(spark, 16_384)
+    counted = forest.walk(queries.withColumn("level", F.lit(0)), True).groupBy("query_id").agg(*[F.sum(F.col("counts")[x]).alias(f"n{x}") for x in range(BITS + 1)])
+    longest = F.coalesce(*[F.when(F.col(f"n{x}") >= WANT, x) for x in range(BITS, -1, -1)], F.lit(0))
+    todo = cut(queries.join(counted.select("query_id", longest.cast("int").alias("level")), "query_id", "left").withColumn("level", F.coalesce("level", F.lit(0))))
+    answers = None
     while True:
-        found = cut(_best(_visit(entries, todo.withColumn("level", F.lit(level)), blocks, groups, find), k))
-        enough = found.groupBy("query_id").agg(F.count("*").alias("many")).where(F.col("many") >= k)
-        done = found if level == 0 else found.join(enough, "query_id", "left_semi")
-        answers = done if answers is None else answers.unionByName(done)
-        if level == 0:
-            break
-        todo = todo.join(enough, "query_id", "left_anti")
-        if not todo.limit(1).count():
+        bound_batches(spark, 2048)
+        found = forest.compare(todo, k)
+        chance = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.min("cosine")))) / math.pi
+        # The length at which a neighbour as far as the k-th is met in some tree with probability ``reach``.
+        least = F.when(chance > 1 - 1e-12, BITS).otherwise(F.greatest(F.lit(0), F.floor(math.log(1 - (1 - reach) ** (1 / trees)) / F.log(F.greatest(chance, F.lit(1e-9))))))
+        judged = todo.join(found.groupBy("query_id").agg(F.count("*").alias("many"), least.alias("least")), "query_id", "left")
+        short = F.coalesce("many", F.lit(0)) < k
+        target = F.when(short, F.greatest(F.lit(0), F.col("level") - 4)).otherwise(F.least("least", "level")).cast("int")
+        judged = cut(judged.select(*queries.columns, "level", target.alias("target")))
+        done = judged.where("target = level").select("query_id")
+        best = found.join(done, "query_id", "left_semi")
+        answers = best if answers is None else answers.unionByName(best)
+        todo = judged.where("target < level").select(*queries.columns, F.col("target").alias("level"))
+        if todo.isEmpty():
             break
-        level = max(0, level - 2)
+    forget(entries, queries, forest.sizes, forest.strings)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -138,23 +138,33 @@ def test_quality_without_labels(spark):
     assert {r["predicted"] for r in quality(docs_of(spark, odd()), labels).collect()} == {1}
 
 
-def test_nearest(spark):
+def brute_nearest(rows, k=10):
+    """query_id to (score, vec_id) of every query."""
+    good = [(i, np.array(v)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
+    return {q: sorted((float(np.sqrt(np.square(x - v).sum())), i) for i, v in good if i != q and len(v) == len(x))[:k] for q, x in good if q % 100 == 0}
+
+
+@pytest.mark.parametrize("cell", [1 << 18, 64])
+def test_nearest(spark, cell):
+    """Clustered and random vectors of several lengths, odd ones among them; small cells make queries visit several."""
     draw = np.random.default_rng(1)
     base = draw.standard_normal((600, 16)).astype(np.float32)
     base[50:90] = base[0]
-    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(base)]
-    rows += [(1000, None, 0), (1100, [0.0] * 16, 0), (1200, [float("nan")] * 16, 0), (1300, [1.0, None] * 8, 0), (1400, [1.0] * 3, 0), (None, [1.0] * 16, 0), (5, rows[5][1], 0)]
+    base[200:400] = base[200] + draw.standard_normal((200, 16)) * 0.01
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+    rows += [(1000 + i, [float(x) for x in v]) for i, v in enumerate(draw.standard_normal((150, 3)).astype(np.float32))]
+    rows += [(2000, None), (2100, [0.0] * 16), (2200, [float("nan")] * 16), (2300, [1.0, None] * 8), (2400, [1.0] * 5), (None, [1.0] * 16), (5, rows[5][1]), (2500, []), (2600, [float("inf")] * 16)]
+    table = spark.createDataFrame([(*r, 0, "x", 0) for r in rows], "vec_id long, embedding array<float>, label int, v string, level int").repartition(3)
     got = {}
-    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), block=128).orderBy("query_id", "rank").collect():
+    for r in nearest(table, cell=cell).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
-    assert sorted(got) == [0, 100, 200, 300, 400, 500]
-    hit = 0
-    for q, found in got.items():
-        far = np.sqrt(np.square(base.astype(np.float64) - base[q].astype(np.float64)).sum(axis=1))
-        want = sorted((d, i) for i, d in enumerate(far) if i != q)[:10]
-        hit += len({i for _, i in want} & {i for _, i in found})
-        assert all(abs(far[i] - d) < 1e-9 for d, i in found)
-    assert got[0] == [(0.0, i) for i in range(50, 60)] and hit >= 54
+    want = {q: x for q, x in brute_nearest(rows).items() if x}
+    assert sorted(got) == sorted(want)
+    hit = sum(len({i for _, i in want[q]} & {i for _, i in got[q]}) for q in want)
+    assert hit >= 0.9 * sum(map(len, want.values()))
+    vectors = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v}
+    assert all(abs(np.sqrt(np.square(vectors[i] - vectors[q]).sum()) - d) < 1e-9 for q, found in got.items() for d, i in found)
+    assert got[0] == [(0.0, i) for i in range(50, 60)]
 
 
 def test_nearest_of_few(spark):
