@@ -36,17 +36,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexora.session import bound_batches, cut, forget
 
 BITS, TREES, K = 64, 64, 10
 REACH, WANT, SAMPLE = 0.95, 160, 2000
-CELL, BLOCK = 1 << 18, 8192
+CELL, BLOCK = 1 << 16, 8192
 
 _TOP = np.uint64(1 << 63)
-_ROW = (1 << 33) - 1
+_KEYS = ["tree", "cell", "salt"]
 
 
 def clean(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -109,8 +109,36 @@ def _prefix_ends(codes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.n
     return ((plain & ~rest) ^ _TOP).view(np.int64), ((plain | rest) ^ _TOP).view(np.int64)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int, int], int, int]]:
+    """The stretches of a batch that lie in one cell; its first columns are the cell's key."""
+    keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+    edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]])) if batch.num_rows else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield tuple(keys[:, a].tolist()), int(a), int(b)
+
+
+def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each cell of rows sorted by (cell's key, code, entry): its sorted arrays."""
+
+    def row(key: tuple[int, int, int], held: list) -> pa.RecordBatch:
+        arrays = [np.concatenate([x[k] for x in held]).astype("<i8").tobytes() for k in range(2)]
+        return pa.RecordBatch.from_arrays([*(pa.array([k], t) for k, t in zip(key, (pa.int64(), pa.int64(), pa.int32()), strict=True)), *(pa.array([x], pa.binary()) for x in arrays)], [*_KEYS, "codes", "entries"])
+
+    here, held = None, []
+    for batch in batches:
+        code, entry = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+        for key, a, b in _runs(batch):
+            if key != here:
+                if held:
+                    yield row(here, held)
+                here, held = key, []
+            held.append((code[a:b], entry[a:b]))
+    if held:
+        yield row(here, held)
+
+
 def _walker(counting: bool):
-    """Cells of rows (cell key, asking, code, entry or query, level), sorted by these: the cell's strings, then who asks.
+    """Cells of rows (cell's key, codes, entries, code, query_id, level), the cell's arrays first, then who asks.
 
     Counting, gives (query_id, counts): matches at every length; else (query_id, block, places).
     """
@@ -127,7 +155,7 @@ def _walker(counting: bool):
         owner, block, places = [], [], []
         for query, a, b in zip(queries.tolist(), np.searchsorted(codes, low, side="left").tolist(), np.searchsorted(codes, high, side="right").tolist(), strict=True):
             met = np.sort(entries[a:b])
-            home, place = (met >> 33 << 20) + (met & _ROW) // BLOCK, ((met & _ROW) % BLOCK).astype("<i4")
+            home, place = met // BLOCK, (met % BLOCK).astype("<i4")
             edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(met) else []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 owner.append(query)
@@ -136,28 +164,16 @@ def _walker(counting: bool):
         return pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(block, pa.int64()), pa.array(places, pa.binary())], ["query_id", "block", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, []
-        codes = entries = np.zeros(0, np.int64)
+        here = codes = entries = None
         for batch in batches:
-            tree, cell, salt, asking, code, who, level = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            change = np.zeros(len(tree), bool)
-            change[1:] = (tree[1:] != tree[:-1]) | (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (asking[1:] != asking[:-1])
-            edges = [0, *np.flatnonzero(change).tolist(), len(tree)]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                if a == b:
-                    continue
-                place = (tree[a], cell[a], salt[a])
-                if place != here:
-                    here, held = place, []
-                    codes = entries = np.zeros(0, np.int64)
-                if not asking[a]:
-                    held.append((code[a:b], who[a:b]))
-                    continue
-                if held:
-                    codes, entries = (np.concatenate([x[k] for x in held]) for k in range(2))
-                    held = []
+            for key, a, b in _runs(batch):
+                if key != here:
+                    here = key
+                    codes, entries = (np.frombuffer(batch.column(i)[a].as_py(), "<i8") for i in (3, 4))
+                    a += 1
                 for i in range(a, b, 512):
-                    yield answer(codes, entries, *(x[i:min(b, i + 512)] for x in (code, who, level)))
+                    part = batch.slice(i, min(b, i + 512) - i)
+                    yield answer(codes, entries, *(part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (5, 6, 7)))
 
     return run
 
@@ -223,7 +239,7 @@ def _comparer(hasher: Hasher, k: int):
 
 
 class Forest:
-    """The trees' strings in cells, and the entries in blocks."""
+    """The trees' strings in cells, each a row of sorted arrays, and the entries in blocks."""
 
     def __init__(self, entries: DataFrame, hasher: Hasher, cell: int):
         """entries: e, ids, v, width, codes."""
@@ -231,9 +247,10 @@ class Forest:
         self.parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.bits = max(0, math.ceil(math.log2(max(1, entries.count() / cell))))
         rows = self.in_trees(entries.select("codes", "width", "e")).withColumn("cell", self.cell_of("code"))
-        self.sizes = cut(rows.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("salts")))
-        rows = rows.join(self.sizes, ["tree", "cell"])
-        self.strings = cut(rows.select("tree", "cell", F.pmod(F.xxhash64("e"), "salts").cast("int").alias("salt"), "code", "e"))
+        sizes = rows.groupBy("tree", "cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("salts"))
+        rows = rows.join(sizes, ["tree", "cell"]).select("tree", "cell", F.pmod(F.xxhash64("e"), "salts").cast("int").alias("salt"), "code", "e")
+        dealt = rows.repartition(self.parts, *_KEYS).sortWithinPartitions(*_KEYS, "code", "e")
+        self.cells = cut(dealt.mapInArrow(_packer, "tree long, cell long, salt int, codes binary, entries binary"))
 
     @staticmethod
     def in_trees(rows: DataFrame) -> DataFrame:
@@ -241,7 +258,7 @@ class Forest:
         rest = [c for c in rows.columns if c not in ("codes", "width")]
         return rows.select((F.col("width").cast("long") * 65536).alias("base"), *rest, F.posexplode("codes").alias("t", "code")).select((F.col("base") + F.col("t")).alias("tree"), "code", *rest)
 
-    def cell_of(self, code: str) -> F.Column:
+    def cell_of(self, code: str) -> Column:
         return F.shiftright(code, BITS - self.bits) if self.bits else F.lit(0).cast("long")
 
     def walk(self, queries: DataFrame, counting: bool) -> DataFrame:
@@ -252,22 +269,19 @@ class Forest:
             span = F.expr(f"shiftleft(1L, {self.bits} - level)")
             prefix = F.when(F.col("level") == 0, F.lit(-(1 << (self.bits - 1))).cast("long")).otherwise(F.expr(f"shiftright(code, cast({BITS} - level AS INT)) * shiftleft(1L, {self.bits} - level)"))
             cells = F.when(F.col("level") >= self.bits, cells).otherwise(F.sequence(prefix, prefix + span - 1))
-        asked = asked.withColumn("cell", F.explode(cells)).join(self.sizes, ["tree", "cell"])
-        asked = asked.select("tree", "cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("asking"), "code", F.col("query_id").alias("who"), "level")
-        named = asked.select("tree", "cell", "salt").distinct()
-        strings = self.strings.join(named, ["tree", "cell", "salt"], "left_semi")
-        strings = strings.select("tree", "cell", "salt", F.lit(False).alias("asking"), "code", F.col("e").alias("who"), F.lit(0).alias("level"))
-        keys = ["tree", "cell", "salt"]
-        met = strings.unionByName(asked).repartition(self.parts, *keys).sortWithinPartitions(*keys, "asking", "code", "who")
+        asked = asked.withColumn("cell", F.explode(cells)).join(self.cells.select(*_KEYS), ["tree", "cell"])
+        none = lambda kind: F.lit(None).cast(kind)
+        asked = asked.select(*_KEYS, none("binary").alias("codes"), none("binary").alias("entries"), "code", "query_id", F.col("level").cast("long").alias("level"))
+        named = asked.select(*_KEYS).distinct()
+        cells = self.cells.join(named, _KEYS, "left_semi").withColumns({"code": none("long"), "query_id": none("long"), "level": none("long")})
+        met = cells.unionByName(asked).repartition(self.parts, *_KEYS).sortWithinPartitions(*_KEYS, F.col("level").asc_nulls_first())
         return met.mapInArrow(_walker(counting), "query_id long, counts array<long>" if counting else "query_id long, block long, places binary")
 
     def compare(self, queries: DataFrame, k: int) -> DataFrame:
         """The best ``k`` of each query among the entries that share ``level`` leading bits with it in some tree."""
         met = cut(self.walk(queries, False))
         none = lambda kind: F.lit(None).cast(kind)
-        row = F.col("e").bitwiseAND(_ROW)
-        block = F.shiftright("e", 33) * (1 << 20) + F.floor(row / BLOCK)
-        entries = self.entries.select(block.cast("long").alias("block"), F.lit(False).alias("asking"), (row % BLOCK).alias("number"), F.lit(0).alias("part"), "ids", "v", none("binary").alias("places"))
+        entries = self.entries.select(F.floor(F.col("e") / BLOCK).cast("long").alias("block"), F.lit(False).alias("asking"), (F.col("e") % BLOCK).alias("number"), F.lit(0).alias("part"), "ids", "v", none("binary").alias("places"))
         entries = entries.join(met.select("block").distinct(), "block", "left_semi")
         asked = met.select("query_id", "block").distinct().join(queries.select("query_id", "qv"), "query_id")
         asked = asked.select("block", F.lit(True).alias("asking"), F.col("query_id").alias("number"), F.lit(0).alias("part"), none("array<long>").alias("ids"), F.col("qv").alias("v"), none("binary").alias("places"))
@@ -292,6 +306,16 @@ def _centres(rows: DataFrame) -> dict[int, list[float]]:
     return {width: np.mean(own, axis=0).tolist() for width, own in sample.items()}
 
 
+def _numbered(sorted_rows: DataFrame) -> DataFrame:
+    """Numbers rows through, from 0, in place of (part, row). One row for each partition is broadcast."""
+    parts = sorted_rows.groupBy("part").agg(F.count("*").alias("many"), F.min("row").alias("first"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", (F.coalesce(F.sum("many").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    out = cut(sorted_rows.join(F.broadcast(parts), "part").withColumn("e", F.col("row") + F.col("shift")).drop("part", "row", "shift"))
+    forget(sorted_rows)
+    return out
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES, reach: float = REACH, cell: int = CELL, seed: int = 5) -> DataFrame:
     """The k nearest rows of each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
@@ -307,7 +331,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES
         .mapInArrow(_coder(hasher), coded).withColumn("c0", F.col("codes")[0])
         .repartitionByRange(parts, "width", "c0", F.col("ids")[0]).sortWithinPartitions("width", "c0", F.col("ids")[0]).drop("c0")
     )
-    entries = cut(entries.withColumn("e", F.monotonically_increasing_id()))
+    entries = _numbered(cut(entries.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()})))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
     asked = asked.select(F.array("query_id").alias("ids"), "v").mapInArrow(_coder(hasher), coded)
     queries = cut(asked.select(F.col("ids")[0].alias("query_id"), F.col("v").alias("qv"), "width", "codes"))
@@ -334,5 +358,5 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = K, trees: int = TREES
         todo = judged.where("target < level").select(*queries.columns, F.col("target").alias("level"))
         if todo.isEmpty():
             break
-    forget(entries, queries, forest.sizes, forest.strings)
+    forget(entries, queries, forest.cells)
     return answers.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
