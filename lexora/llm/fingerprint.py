@@ -6,15 +6,18 @@ hashes its bytes and how often the same passage came before. The sketch has ``ce
 three tables; each digest is added to one cell of each table: a count, the sum of the digests and
 the sum of their checks. Sketches of two versions subtract cell by cell, what they share cancels,
 and peeling cells that hold a single digest recovers the digests that differ. If peeling gets
-stuck, both sketches are built again four times larger. ``likeness`` is one less the share of
-differing digests among all digests of both texts.
+stuck, both sketches are built again four times larger; from twice as many cells as there are digests
+on, where only digests that collide can be stuck, the two lists are compared instead. ``likeness`` is
+one less the share of differing digests among all digests of both texts.
 
-The fingerprint is the smallest sketch, so equal texts have equal fingerprints. Texts and digests
-stay in the worker that reads them; the memory used is that of one batch of texts.
+The fingerprint is the smallest sketch, so equal texts have equal fingerprints. Documents are dealt to
+tasks in order of doc_id, by ranges of about ``BUCKET`` bytes, found on keys and lengths alone; the
+first document of a range also goes to the range before it. Texts and digests stay in the worker that
+reads them; the memory used is that of one batch of texts.
 
 Defined cases: a null text counts as empty; an empty text has the empty sketch; two empty texts are
 alike (1.0), an empty text and another are not (0.0). Rows that repeat a doc_id follow one another
-by text. Rows without a doc_id have no next document: what replaces their end is empty. Extra
+by a hash of their texts. Rows without a doc_id have no next document: what replaces their end is empty. Extra
 columns are ignored.
 """
 
@@ -26,16 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexora.llm._hashing import _powers, mix, segments_of, stream, text_buffers
-from lexora.session import bound_batches
+from lexora.session import bound_batches, cut, forget
 
 CELLS, TABLES, GROWTH = 24, 3, 4
 #: A passage ends at one word in so many, and after so many words at the latest; the first words of a
 #: text are passages of their own, so short texts can be alike in part.
 PASSAGE, LONGEST, SINGLE = 8, 16, 32
+#: Bytes of text in a task.
+BUCKET = 8 << 20
 
 _U = np.uint64
 _SEEDS = stream(51, TABLES)
@@ -159,7 +164,11 @@ def likeness(left: Passages, right: Passages, a: np.ndarray, b: np.ndarray) -> n
     out = np.ones(len(a))
     todo, cells = np.flatnonzero(total > 0), CELLS
     while len(todo):
-        again = []
+        for i in todo[cells > GROWTH * np.maximum(CELLS, 2 * total[todo])].tolist():
+            (_, x), (_, y) = left.of(a[i:i + 1]), right.of(b[i:i + 1])
+            out[i] = 1 - len(np.setxor1d(x, y)) / total[i]
+        todo = todo[cells <= GROWTH * np.maximum(CELLS, 2 * total[todo])]
+        again = [todo[:0]]
         step = max(1, (1 << 20) // cells)
         for i in range(0, len(todo), step):
             part = todo[i:i + step]
@@ -174,8 +183,8 @@ def likeness(left: Passages, right: Passages, a: np.ndarray, b: np.ndarray) -> n
     return out
 
 
-def _reader():
-    """Rows come sorted by bucket and doc_id; ``ahead`` marks copies of the next bucket's first rows."""
+def _reader(ranges: int):
+    """Rows come sorted by bucket and doc_id; ``ahead`` marks copies of the next bucket's first rows. Buckets from ``ranges`` on hold rows without a doc_id."""
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
         """rows: (doc_id, text, next text or None)."""
@@ -205,7 +214,7 @@ def _reader():
         for batch in batches:
             for bucket, ahead, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held is not None:
-                    rows.append((held[1], held[2], text if bucket == held[0] and bucket >= 0 else ""))
+                    rows.append((held[1], held[2], text if bucket == held[0] and bucket < ranges else ""))
                     size += len(held[2]) + len(text)
                     if size > 1 << 21:
                         yield emit(rows)
@@ -219,32 +228,63 @@ def _reader():
     return run
 
 
-def fingerprint_edits(docs: DataFrame) -> DataFrame:
+def _bounds(size: int):
+    """The first (doc_id, mark) of each range: of every partition, and wherever ``size`` bytes are full. Rows come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        room, last = 0, None
+        for batch in batches:
+            doc, mark, length = (batch.column(i).to_numpy() for i in range(3))
+            starts = []
+            for i, (d, m, n) in enumerate(zip(doc.tolist(), mark.tolist(), length.tolist(), strict=True)):
+                if room <= 0 and (d, m) != last:  # equal keys stay together
+                    starts.append(i)
+                    room = size
+                room, last = room - n, (d, m)
+            if starts:
+                yield pa.RecordBatch.from_arrays([pa.array(doc[starts]), pa.array(mark[starts])], ["doc_id", "mark"])
+
+    return run
+
+
+def _dealer(doc: np.ndarray, mark: np.ndarray, parts: int):
+    """Adds (bucket, ahead) to (doc_id, mark, text). The first row of a range also goes, as ``ahead``, to the range before it; that of the first to the last."""
+    ends = np.array(list(zip(doc.tolist(), mark.tolist(), strict=True)), dtype=[("d", "<i8"), ("m", "<i8")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            own = np.empty(batch.num_rows, dtype=ends.dtype)
+            own["d"], own["m"] = batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()
+            bucket = np.where(known, np.searchsorted(ends, own, side="right") - 1, len(ends) + own["m"] % parts)
+            first = np.flatnonzero(known)[ends[bucket[known]] == own[known]]
+            rows = pa.array(np.concatenate([np.arange(batch.num_rows), first]))
+            places = np.concatenate([bucket, (bucket[first] - 1) % max(1, len(ends))])
+            ahead = np.concatenate([np.zeros(batch.num_rows, np.int32), np.ones(len(first), np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(ahead), *(c.take(rows) for c in batch.columns)], ["bucket", "ahead", "doc_id", "mark", "text"])
+
+    return run
+
+
+def fingerprint_edits(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Fingerprints of every document and of the document with its last quarter replaced by the
     start of the next document by doc_id, with the likeness to both."""
     spark = docs.sparkSession
     bound_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    many = 2 * parts
-    bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / many for i in range(1, many)], 0.2 / many)))
-    cuts = F.lit([int(b) for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
-    bucket = F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(parts))).otherwise(F.size(F.filter(cuts, lambda b: b <= F.col("doc_id"))).cast("long"))
-    # One row for each bucket: bounded by the number of partitions.
-    firsts = sorted((r["bucket"], r["first"]) for r in rows.where("doc_id IS NOT NULL").groupBy(bucket.alias("bucket")).agg(F.min("doc_id").alias("first")).collect())
-
-    def previous(doc: Column) -> Column:
-        out = F.lit(None).cast("long")
-        if firsts:
-            known = F.create_map(*[F.lit(x) for i, (_, first) in enumerate(firsts) for x in (first, firsts[i - 1][0])])
-            out = F.try_element_at(known, doc)
-        return out
-
-    own = F.struct(bucket.cast("long").alias("bucket"), F.lit(0).alias("ahead"))
-    copy = F.struct(previous(F.col("doc_id")).alias("bucket"), F.lit(1).alias("ahead"))
-    placed = rows.select(F.explode(F.filter(F.array(own, copy), lambda s: s["bucket"].isNotNull())).alias("at"), "doc_id", "text").select("at.bucket", "at.ahead", "doc_id", "text")
-    ordered = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
-    return ordered.mapInArrow(
-        _reader(),
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    keys = rows.where("doc_id IS NOT NULL").select("doc_id", "mark", F.octet_length("text").cast("long").alias("length"))
+    ordered = keys.repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark")
+    # One row for every ``bucket`` bytes of text and for every partition.
+    bounds = cut(ordered.mapInArrow(_bounds(bucket), "doc_id long, mark long"))
+    found = sorted((r["doc_id"], r["mark"]) for r in bounds.distinct().collect())
+    forget(bounds)
+    doc, mark = np.array(found, dtype=np.int64).reshape(-1, 2).T
+    dealt = rows.mapInArrow(_dealer(doc, mark, parts), "bucket long, ahead int, doc_id long, mark long, text string")
+    order = ["bucket", "ahead", "doc_id", "mark"]
+    ordered = dealt.repartitionById(len(found) + parts, F.col("bucket").cast("int")).sortWithinPartitions(*order)
+    return ordered.select("bucket", "ahead", "doc_id", "text").mapInArrow(
+        _reader(len(found)),
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
     )

@@ -279,19 +279,44 @@ def test_packing_in_many_shares(spark):
     assert len(at) <= 1.02 * len(brute_best_fit(lengths, 100)) + 1
 
 
-def test_fingerprints(spark):
-    rows = [r for r in odd() if r[0] is not None] + [(300 + i, f"line {i}\n" * 20) for i in range(40)]
-    got = {r["doc_id"]: r for r in fingerprint_edits(docs_of(spark, rows + [(None, "no id")])).collect()}
+@pytest.mark.parametrize("bucket", [8 << 20, 3000])
+def test_fingerprints(spark, bucket):
+    """Against brute force, also where documents lie in many small ranges; passages that differ are counted from the digests themselves."""
+    rows = [r for r in odd() if r[0] is not None] + [(300 + i, f"line {i}\n" * 20) for i in range(40)] + [(400 + i, f"a line and a word {i % 7} here\n" * 9) for i in range(30)]
+    got = {r["doc_id"]: r for r in fingerprint_edits(docs_of(spark, rows + [(None, "no id")]), bucket).collect()}
+    assert len(got) == len(rows) + 1
     order = sorted(rows)
     for k, (i, t) in enumerate(order):
         own, after = t or "", order[(k + 1) % len(order)][1] or ""
         q = len(own) // 4
         edited = own[:len(own) - q] + after[:q]
         assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and got[i]["n_chars"] == len(own)
-        assert 0 <= got[i]["near_next"] <= 1 and (edited != own or got[i]["near_edited"] == 1)
+        held = Passages([own, edited, after])
+        sets = [set(held.of(np.array([n]))[1].tolist()) for n in range(3)]
+        for name, other in (("near_edited", 1), ("near_next", 2)):
+            many = len(sets[0]) + len(sets[other])
+            assert got[i][name] == pytest.approx(1 - len(sets[0] ^ sets[other]) / many if many else 1.0)
+        assert got[i]["edited_fingerprint"] == held.fingerprints()[1]
     assert got[4]["fingerprint"] == got[13]["fingerprint"] and got[1]["fingerprint"] == got[2]["fingerprint"] != got[7]["fingerprint"]
 
 
+def test_repeated_ids_follow_one_another(spark):
+    rows = [(1, "x" * 40), (5, "a" * 40), (5, "b" * 40), (5, "b" * 40), (9, "z" * 40)]
+    got = fingerprint_edits(docs_of(spark, rows), 50).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 5, 5, 5, 9]
+    tails = {hashlib.sha256((own * 30 + after * 10).encode()).hexdigest(): (own, after) for own in "xabz" for after in "xabz"}
+    met = sorted(tails[r["edited_sha256"]] for r in got)
+    assert met in [sorted([("x", "a"), ("a", "b"), ("b", "b"), ("b", "z"), ("z", "x")]), sorted([("x", "b"), ("b", "b"), ("b", "a"), ("a", "z"), ("z", "x")])]
+
+
+def test_likeness_ends_when_digests_collide():
+    """Digests that no sketch can tell apart are compared as lists."""
+    left, right = Passages(["a"]), Passages(["b"])
+    left.keys, right.keys = np.array([5, 5], dtype=np.uint64), np.array([7], dtype=np.uint64)
+    left.counts, left.ends, right.counts, right.ends = np.array([2]), np.array([2]), np.array([1]), np.array([1])
+    assert 0 <= likeness(left, right, np.array([0]), np.array([0]))[0] <= 1
+
+
 def test_sketches_recover_what_differs():
     draw = random.Random(4)
     texts = ["\n".join(f"paragraph {draw.randrange(60)} of this text" for _ in range(draw.randint(0, 80))) for _ in range(60)]
