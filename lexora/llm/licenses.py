@@ -1,22 +1,26 @@
 """Licence scanning by a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs are lines of text, and sentences that run over several lines, joined: a sentence ends at
-``.``, ``!`` or ``?`` before white space, and at a line without letters or digits, so marks of
-comments before its lines do no harm. One that holds a word of ``ANCHORS`` is a candidate; any other
-is no licence statement by definition. A candidate's distinct words and word pairs are joined with the
-weights of a logistic regression over licence families and an ``unknown`` class. Its scores, at the
-temperature that made training statements kept from the fit best calibrated, give the family; a
-paragraph whose best family has less than ``CERTAIN`` is unknown. A prediction counts only if the paragraph
-holds at least ``AGREES`` of the word pairs of one of that family's templates.
+Paragraphs are the lines of a text, and the sentences that run over several lines, joined: a sentence
+ends at ``.``, ``!`` or ``?`` before white space, and at a line without letters or digits, so marks of
+comments before its lines do no harm. Every paragraph is classified: its distinct words and word
+pairs are met with the weights of a sparse logistic regression over licence families and an
+``unknown`` class. Its scores, at the temperature that made training statements kept from the fit best
+calibrated, give the family; a paragraph whose best family has less than ``CERTAIN`` is unknown, and one
+without any word that bears weight is, by the model, too. A prediction counts only if the paragraph holds at
+least ``AGREES`` of the word pairs of one of that family's templates.
 
 The model is trained on the driver from the templates below and made-up variations of them: a fixed
-number of short sentences, whatever the corpus. Weights and templates are a few thousand rows at
-most, a number fixed by the templates, which is why they may be broadcast.
+number of short sentences, whatever the corpus. A penalty on absolute weights leaves common words
+without weight, so few rows of a text meet the table. Weights and templates are a few thousand rows
+at most, a number fixed by the templates, which is why they may be broadcast.
+
+Texts are read once; what goes on from there are paragraphs that hold a word with weight.
 
 Defined cases: a null or empty text has no paragraphs. Rows that repeat a doc_id, or have none, are
-scanned on their own. A paragraph that occurs several times in a text counts each time. A sentence
-over several lines counts only if it is confirmed for a family that no line of the text is confirmed
-for; the lines in it are counted as lines all the same. Extra columns are ignored.
+scanned on their own. A paragraph that occurs several times in a text counts each time. Of families with
+equal scores the first by name is taken. A sentence over several lines counts only if it is confirmed
+for a family that no line of the text is confirmed for; the lines in it are counted as lines all the
+same. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexora.session import cut
@@ -49,6 +53,11 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "CC0-1.0": ["Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright; dedicated to the public domain under CC0.", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC license.", "SPDX-License-Identifier: ISC"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Licensed under the Boost Software License.", "SPDX-License-Identifier: BSL-1.0"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License.", "SPDX-License-Identifier: EPL-2.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Released under the Unlicense.", "SPDX-License-Identifier: Unlicense"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Released under the zlib license.", "SPDX-License-Identifier: Zlib"],
     "Proprietary": ["All rights reserved.", "Copyright, all rights reserved. Unauthorized copying is prohibited.", "This document is proprietary and confidential."],
 }
 #: Sentences that hold the same words but state no licence.
@@ -59,10 +68,8 @@ OTHERS = [
     "They work under the bridge.", "The warranty of the machine has expired.", "Creative people share common spaces.",
     "The licensed plumber fixed the sink.", "All seats are reserved for members.", "Public domain names are sold here.", "The club license costs two pounds.",
 ]
-#: What a candidate paragraph holds.
-ANCHORS = r"(?i:licen[cs]|copyright|spdx|\b(bsd|[al]?gpl|mpl|cc0)\b|apache|creative commons|\bcc[ -]by|public domain|rights reserved|proprietary|redistribution|hereby granted|copy of the)|\bMIT\b"
-#: The same where a line may end between two words.
-WRAPPED = ANCHORS.replace("[ -]", r"[^\p{L}\p{N}]+").replace(" ", r"[^\p{L}\p{N}]+")
+#: Common words, which say nothing about licences.
+COMMON = ["the", "of", "and", "to", "in", "a", "is", "it", "for", "not", "no", "as", "be", "by", "from", "are", "this", "that", "or", "on", "with", "at", "his", "they", "were", "was", "which", "an", "any", "all", "into", "only", "use", "under", "may", "you", "can", "if", "free", "later", "available", "event", "0", "1", "2", "3", "4"]
 _BETWEEN = r"[^a-z0-9]+"
 
 
@@ -103,13 +110,15 @@ def _variations(seed: int) -> list[tuple[str, int]]:
     for _ in range(400):
         mixed = [draw.choice(filler) for _ in range(draw.randint(1, 6))]
         out.append((f"{noise(draw.randint(1, 12))} {' '.join(mixed)} {noise(draw.randint(0, 6))}", len(families)))
+    for _ in range(800):
+        out.append((" ".join(draw.choice([draw.choice(COMMON), noise(1)]) for _ in range(draw.randint(2, 30))), len(families)))
     draw.shuffle(out)
     return out
 
 
 @lru_cache(maxsize=1)
-def train(rounds: int = 400, rate: float = 1.0, decay: float = 1e-4) -> Model:
-    """Multinomial logistic regression by gradient steps, then its temperature."""
+def train(rounds: int = 600, rate: float = 2.0, sparse: float = 6e-4) -> Model:
+    """Multinomial logistic regression with an absolute penalty, by proximal gradient steps, then its temperature."""
     rows = _variations(9)
     known = {g for family in TEMPLATES.values() for t in family for g in grams_of(t)} | {g for t in OTHERS for g in grams_of(t)}
     place = {g: i for i, g in enumerate(sorted(known))}
@@ -129,81 +138,102 @@ def train(rounds: int = 400, rate: float = 1.0, decay: float = 1e-4) -> Model:
     xt, yt = x[~kept], y[~kept]
     for _ in range(rounds):
         off = (chances(xt @ w + b) - yt) / len(xt)
-        w -= rate * 8 * (xt.T @ off + decay * w)
-        b -= rate * 8 * off.sum(axis=0)
+        w -= rate * (xt.T @ off)
+        w = np.sign(w) * np.maximum(0, np.abs(w) - rate * sparse)
+        b -= rate * off.sum(axis=0)
     scores = x[kept] @ w + b
-    heat = min(np.arange(0.25, 4.01, 0.25), key=lambda t: -np.log(np.maximum(1e-12, (chances(scores / t) * y[kept]).sum(axis=1))).mean())
-    return Model([*TEMPLATES, UNKNOWN], {g: (w[i] / heat).tolist() for g, i in place.items()}, (b / heat).tolist())
+    heat = min(np.arange(0.1, 4.01, 0.1), key=lambda t: -np.log(np.maximum(1e-12, (chances(scores / t) * y[kept]).sum(axis=1))).mean())
+    return Model([*TEMPLATES, UNKNOWN], {g: (w[i] / heat).tolist() for g, i in place.items() if w[i].any()}, (b / heat).tolist())
 
 
 def _weights(spark: SparkSession, model: Model) -> DataFrame:
-    return spark.createDataFrame([(g, w) for g, w in sorted(model.weights.items())], "gram string, weights array<double>")
+    """Weights of grams; the empty gram stands for a text itself."""
+    return spark.createDataFrame([("", [0.0] * len(model.families)), *sorted(model.weights.items())], "gram string, weights array<double>")
+
+
+def template_pairs(text: str) -> list[str]:
+    words = words_of(text)
+    return sorted(set(map(" ".join, zip(words, words[1:], strict=False))) or set(words))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
     rows = []
     for family, texts in TEMPLATES.items():
         for n, text in enumerate(texts):
-            words = words_of(text)
-            pairs = sorted(set(map(" ".join, zip(words, words[1:], strict=False))) or set(words))
+            pairs = template_pairs(text)
             rows += [(family, n, g, len(pairs)) for g in pairs]
     return spark.createDataFrame(rows, "family string, template int, gram string, pairs int")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, row, its candidate lines, and its candidate sentences of several lines."""
-    lines = F.filter(F.split(F.col("text"), "\n"), lambda p: p.rlike(ANCHORS))
-    blocks = F.split(F.col("text"), r"\n(?:[^\p{L}\p{N}\n]*\n)+")
-    sentences = F.flatten(F.transform(F.filter(blocks, lambda b: b.rlike(WRAPPED)), lambda b: F.split(b, r"(?<=[.!?])\s+")))
-    several = F.filter(sentences, lambda s: F.contains(F.trim(s), F.lit("\n")) & s.rlike(WRAPPED))
-    empty = F.expr("cast(array() as array<string>)")
-    held = F.col("text").rlike(WRAPPED)
-    only = lambda found: F.coalesce(F.when(held, found).otherwise(empty), empty)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), only(lines).alias("paragraphs"), only(several).alias("wrapped"))
+def paragraphs_of(text: Column) -> Column:
+    """Array of (line, paragraph): the lines of a text that hold a letter or digit, and its sentences of several lines."""
+    solid = lambda s: s.rlike("[A-Za-z0-9]")
+    lines = F.filter(F.split(text, "\n"), solid)
+    blocks = F.split(text, r"\n(?:[^\p{L}\p{N}\n]*\n)+")
+    sentences = F.flatten(F.transform(F.filter(blocks, lambda b: F.contains(b, F.lit("\n"))), lambda b: F.split(b, r"(?<=[.!?])\s+")))
+    several = F.filter(sentences, lambda s: F.contains(F.trim(s), F.lit("\n")) & solid(s))
+    named = lambda found, line: F.transform(found, lambda p: F.struct(F.lit(line).alias("line"), p.alias("paragraph")))
+    return F.concat(named(lines, True), named(several, False))
 
 
-def classify(paragraphs: DataFrame) -> DataFrame:
-    """Adds family, chance and confirmed to rows of (row, at, paragraph)."""
-    spark = paragraphs.sparkSession
-    model = train()
-    lower = F.translate("paragraph", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _grams(paragraph: Column) -> Column:
+    """The distinct words and word pairs of a paragraph."""
+    lower = F.translate(paragraph, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, _BETWEEN), lambda w: w != "")
-    pairs = F.transform(F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.col("words")[i], w))
-    grams = paragraphs.withColumn("words", words).select("row", "at", F.explode_outer(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), following, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.concat(words, pairs))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, paragraphs, at, line, paragraph, family, chance) of the paragraphs that hold a gram with weight; one
+    row with neither number nor paragraph for every text."""
+    spark = docs.sparkSession
+    model = train()
     n = len(model.families)
-    weighed = grams.join(F.broadcast(_weights(spark, model)), "gram", "left")
-    sums = weighed.groupBy("row", "at").agg(*[F.sum(F.coalesce(F.col("weights")[i], F.lit(0.0))).alias(f"s{i}") for i in range(n)])
-    scores = F.array(*[F.col(f"s{i}") + F.lit(model.bias[i]) for i in range(n)])
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), paragraphs_of(text).alias("found"))
+    own = F.struct(F.lit(None).cast("boolean").alias("line"), F.lit(None).cast("string").alias("paragraph"))
+    rows = rows.select("row", "doc_id", F.size("found").alias("paragraphs"), F.posexplode(F.concat(F.array(own), "found")).alias("at", "p"))
+    grams = rows.select("row", "doc_id", "paragraphs", "at", "p.line", "p.paragraph", F.explode(F.when(F.col("at") == 0, F.array(F.lit(""))).otherwise(_grams(F.col("p.paragraph")))).alias("gram"))
+    weighed = grams.join(F.broadcast(_weights(spark, model)), "gram")
+    first = {c: F.first(c).alias(c) for c in ("doc_id", "paragraphs", "line", "paragraph")}
+    sums = weighed.groupBy("row", "at").agg(*first.values(), *[F.sum(F.col("weights")[i]).alias(f"s{i}") for i in range(n)])
+    scores = sums.select("row", "at", *first, F.array(*[F.col(f"s{i}") + F.lit(model.bias[i]) for i in range(n)]).alias("scores"))
     shifted = F.transform("scores", lambda s: F.exp(s - F.array_max("scores")))
-    best = F.array_position("scores", F.array_max("scores")).cast("int")
-    judged = sums.select("row", "at", scores.alias("scores")).select(
-        "row", "at", F.element_at(F.array(*map(F.lit, model.families)), best).alias("guess"), (1 / F.aggregate(shifted, F.lit(0.0), lambda a, s: a + s)).alias("chance")
-    )
+    chance = 1 / F.aggregate(shifted, F.lit(0.0), lambda a, s: a + s)
+    guess = F.element_at(F.array(*map(F.lit, model.families)), F.array_position("scores", F.array_max("scores")).cast("int"))
+    judged = scores.select("row", "at", *first, guess.alias("guess"), chance.alias("chance"))
+    sure = (F.col("guess") != UNKNOWN) & (F.col("chance") >= CERTAIN) & (F.col("at") > 0)
+    family = F.when(sure, F.col("guess")).otherwise(UNKNOWN)
+    return judged.select("row", "at", "doc_id", "paragraphs", "line", F.when(sure, F.col("paragraph")).alias("paragraph"), family.alias("family"), "chance")
+
+
+def confirm(judged: DataFrame) -> DataFrame:
+    """The same with ``confirmed``: whether the paragraph holds enough of a template of its family."""
+    spark = judged.sparkSession
+    named = judged.where("paragraph IS NOT NULL").select("row", "at", "family", F.explode(_grams(F.col("paragraph"))).alias("gram"))
     shared = (
-        grams.join(F.broadcast(_templates(spark)), "gram").groupBy("row", "at", "family", "template")
-        .agg((F.count("*") / F.max("pairs")).alias("share")).groupBy("row", "at", F.col("family").alias("guess")).agg(F.max("share").alias("share"))
+        named.join(F.broadcast(_templates(spark)), ["family", "gram"]).groupBy("row", "at", "template")
+        .agg((F.count("*") / F.max("pairs")).alias("share")).groupBy("row", "at").agg(F.max("share").alias("share"))
     )
-    sure = (F.col("guess") != UNKNOWN) & (F.col("chance") >= CERTAIN)
-    return judged.join(shared, ["row", "at", "guess"], "left").select(
-        "row", "at", F.when(sure, F.col("guess")).otherwise(UNKNOWN).alias("family"), "chance", (sure & (F.coalesce("share", F.lit(0.0)) >= AGREES)).alias("confirmed")
-    )
+    return judged.join(shared, ["row", "at"], "left").withColumn("confirmed", F.coalesce(F.col("share") >= AGREES, F.lit(False)))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, licenses (families confirmed, sorted), and how many of its
-    paragraphs are candidates, confirmed, predicted but not confirmed, and unknown."""
-    found = cut(candidates(docs))
-    paragraphs = found.select("row", F.size("paragraphs").alias("lines"), F.posexplode(F.concat("paragraphs", "wrapped")).alias("at", "paragraph"))
-    # Lines come first in a row's numbers; a sentence's number is negative.
-    judged = classify(paragraphs.select("row", F.when(F.col("at") < F.col("lines"), F.col("at")).otherwise(-1 - F.col("at")).alias("at"), "paragraph"))
-    by_lines = F.collect_set(F.when((F.col("at") >= 0) & F.col("confirmed"), F.col("family"))).over(Window.partitionBy("row"))
-    counted = judged.withColumn("by_lines", by_lines).where("at >= 0 OR (confirmed AND NOT array_contains(by_lines, family))")
-    each = counted.groupBy(F.col("row").alias("r")).agg(
+    paragraphs there are, are confirmed, predicted but not confirmed, and unknown."""
+    judged = confirm(cut(judge(docs)))
+    by_lines = F.collect_set(F.when(F.col("line") & F.col("confirmed"), F.col("family"))).over(Window.partitionBy("row"))
+    several = F.col("confirmed") & ~F.col("line") & ~F.array_contains("by_lines", F.col("family"))
+    sure = (F.col("family") != UNKNOWN) & F.col("line")
+    counted = judged.withColumn("by_lines", by_lines).groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("licenses"),
-        F.count("*").alias("n_candidates"),
-        F.count_if("confirmed").alias("n_confirmed"),
-        F.count_if((F.col("family") != UNKNOWN) & ~F.col("confirmed")).alias("n_unconfirmed"),
-        F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"),
+        F.first("paragraphs").alias("n_paragraphs"),
+        F.count_if((sure & F.col("confirmed")) | several).alias("n_confirmed"),
+        F.count_if(sure & ~F.col("confirmed")).alias("n_unconfirmed"),
     )
-    numbers = ["n_candidates", "n_confirmed", "n_unconfirmed", "n_unknown"]
-    return found.join(each, found["row"] == each["r"], "left").select("doc_id", F.coalesce("licenses", F.lit("")).alias("licenses"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers])
+    known = F.col("n_confirmed") + F.col("n_unconfirmed")
+    numbers = {"n_paragraphs": F.col("n_paragraphs"), "n_confirmed": F.col("n_confirmed"), "n_unconfirmed": F.col("n_unconfirmed"), "n_unknown": F.col("n_paragraphs") - known}
+    return counted.select("doc_id", "licenses", *[c.cast("long").alias(name) for name, c in numbers.items()])

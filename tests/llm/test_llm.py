@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -174,11 +175,52 @@ def test_nearest_of_few(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_licenses(text):
+    """(licenses, n_paragraphs, n_confirmed, n_unconfirmed) of a text, by the model's weights."""
+    model = licenses.train()
+    text = text or ""
+    solid = lambda p: re.search("[A-Za-z0-9]", p)
+    lines = [p for p in text.split("\n") if solid(p)]
+    several = []
+    for block in regex.split(r"\n(?:[^\p{L}\p{N}\n]*\n)+", text):
+        if "\n" in block:
+            several += [p for p in re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", block) if "\n" in p.strip(" ") and solid(p)]
+
+    def judged(paragraph):
+        grams = licenses.grams_of(paragraph)
+        scores = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias)))
+        if not any(g in model.weights for g in grams):
+            return None, False
+        chance = 1 / np.exp(scores - scores.max()).sum()
+        family = model.families[int(np.argmax(scores))]
+        if family == licenses.UNKNOWN or chance < licenses.CERTAIN:
+            return None, False
+        return family, any(len(grams & set(pairs)) / len(pairs) >= licenses.AGREES for pairs in map(licenses.template_pairs, licenses.TEMPLATES[family]))
+
+    found = [judged(p) for p in lines]
+    by_lines = {f for f, sure in found if sure}
+    wide = [f for f, sure in map(judged, several) if sure]
+    confirmed = sum(sure for _, sure in found) + sum(f not in by_lines for f in wide)
+    return ",".join(sorted(by_lines | set(wide))), len(lines) + len(several), confirmed, sum(f is not None and not sure for f, sure in found)
+
+
+def test_license_scan_equals_brute_force(spark, sf_dir):
+    """On all documents and on odd texts, among them a very long one, repeated paragraphs and two families that tie."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    line = "Released under the MIT License."
+    rows = docs + [(10_000 + i, t) for i, (_, t) in enumerate(odd())] + [(20_000, f"{line}\n{line}\n"), (20_001, "long words here. " * 30_000 + "\n" + line), (20_002, "MIT license Apache license"), (20_003, "GPL\nv3\nand\n\nLicensed under\nthe GPL v3. Next")]
+    got = {r["doc_id"]: (r["licenses"], r["n_paragraphs"], r["n_confirmed"], r["n_unconfirmed"]) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    want = {i: brute_licenses(t) for i, t in rows}
+    assert {i: (got[i], w) for i, w in want.items() if got[i] != w} == {}
+    assert got[20_000][0] == got[20_001][0] == "MIT"
+
+
 def test_licenses(spark):
     rows = [(1, "Intro.\nReleased under the MIT License.\nEnd."), (2, "The driver showed his license."), (3, None), (4, "x\nLicensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0."), (5, "mit der Zeit"), (None, "All rights reserved.")]
+    rows += [(6, "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted."), (7, "/*\n * This file may be used under the terms of the\n * GNU General Public License, version 3.\n */")]
     got = {r["doc_id"]: r for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
-    assert {i: r["licenses"] for i, r in got.items()} == {1: "MIT", 2: "", 3: "", 4: "Apache-2.0,CC-BY-NC-4.0", 5: "", None: "Proprietary"}
-    assert got[2]["n_unknown"] == 1 and got[5]["n_candidates"] == 0
+    assert {i: r["licenses"] for i, r in got.items()} == {1: "MIT", 2: "", 3: "", 4: "Apache-2.0,CC-BY-NC-4.0", 5: "", 6: "ISC", 7: "GPL-3.0", None: "Proprietary"}
+    assert got[2]["n_unknown"] == 1 and got[5]["n_unknown"] == 1 and got[3]["n_paragraphs"] == 0
 
 
 def test_license_classifier_on_fresh_variations():
