@@ -10,8 +10,8 @@ without any word that bears weight is, by the model, too. A prediction counts on
 least ``AGREES`` of the word pairs of one of that family's templates.
 
 The model is trained on the driver from the templates below and made-up variations of them: a fixed
-number of short sentences, whatever the corpus. A penalty on absolute weights leaves common words
-without weight, so few rows of a text meet the table. Weights and templates are a few thousand rows
+number of short sentences, whatever the corpus. Grams of common words alone are no features, and a
+penalty on absolute weights leaves others without weight, so few rows of a text meet the table. Weights and templates are a few thousand rows
 at most, a number fixed by the templates, which is why they may be broadcast.
 
 Texts are read once; what goes on from there are paragraphs that hold a word with weight.
@@ -118,10 +118,10 @@ def _variations(seed: int) -> list[tuple[str, int]]:
 
 @lru_cache(maxsize=1)
 def train(rounds: int = 600, rate: float = 2.0, sparse: float = 6e-4) -> Model:
-    """Multinomial logistic regression with an absolute penalty, by proximal gradient steps, then its temperature."""
+    """Multinomial logistic regression with an absolute penalty, by proximal gradient steps, then its temperature. Grams of common words alone are no features."""
     rows = _variations(9)
     known = {g for family in TEMPLATES.values() for t in family for g in grams_of(t)} | {g for t in OTHERS for g in grams_of(t)}
-    place = {g: i for i, g in enumerate(sorted(known))}
+    place = {g: i for i, g in enumerate(sorted(g for g in known if not set(g.split()) <= set(COMMON)))}
     x = np.zeros((len(rows), len(place)))
     for i, (text, _) in enumerate(rows):
         for g in grams_of(text):
