@@ -1,6 +1,7 @@
 """WARC archives of Zstandard frames that share a dictionary, written, deduplicated and read back.
 
-A Zstandard dictionary is trained on a bounded sample of the payloads to be archived. Every archive
+A Zstandard dictionary is trained on a bounded sample of the records to be archived, smaller for small
+tables; where there is too little to train on, records themselves are its content. Every archive
 begins with a skippable frame that holds the dictionary; after it, each record is a frame of its own,
 so any record can be read alone and none is larger in memory than itself. Archives go to the folder
 that the cluster shares, under names of their own for each attempt of a task; only names that
@@ -52,8 +53,9 @@ def _opened(root: str) -> tuple[fs.FileSystem, str]:
 
 
 def _record_id(page: int | None, sha: bytes) -> str:
-    low = (page or 0) & 0xFFFF_FFFF_FFFF_FFFF
-    return f"<urn:uuid:{uuid.UUID(bytes=sha[:8] + struct.pack('>Q', low))}>"
+    if page is None:  # no other record refers to it
+        return f"<urn:uuid:{uuid.uuid4()}>"
+    return f"<urn:uuid:{uuid.UUID(bytes=sha[:8] + struct.pack('>Q', page & 0xFFFF_FFFF_FFFF_FFFF))}>"
 
 
 def _page_of(record: str) -> int:
@@ -86,7 +88,7 @@ def _writer(root: str, dictionary: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = _opened(root)
         store.create_dir(folder, recursive=True)
-        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         out, name, records, size = None, "", 0, 0
 
         def close() -> Iterator[pa.RecordBatch]:
@@ -112,20 +114,22 @@ def _writer(root: str, dictionary: bytes):
 
 
 def train_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from the starts of at most ``rows`` payloads; empty if there is too little to learn from."""
-    rank = F.xxhash64("page_id", "html")
-    ranked = pages.where(F.length("html") > 0).withColumn("_rank", rank)
+    """A dictionary from at most 2 * ``rows`` records, with the starts of their payloads; empty only if there is no record.
+
+    Where the records are too few or too alike to train on, their own last bytes are the dictionary.
+    """
+    ranked = pages.withColumn("_rank", F.xxhash64("page_id", "html"))
     # The ranks alone are sorted; the texts of the few rows below the cut follow.
     last = ranked.select("_rank").orderBy("_rank").limit(rows).agg(F.max("_rank").alias("last")).first()["last"]
     if last is None:
         return b""
-    texts = [r["html"].encode() for r in ranked.where(F.col("_rank") <= last).select(F.substring("html", 1, SAMPLE_BYTES).alias("html")).limit(2 * rows).collect()]
-    if len(texts) < 16 or sum(map(len, texts)) < 4 * size:
-        return b""
+    start = F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("html")
+    sample = ranked.where(F.col("_rank") <= last).select("page_id", "url", start).limit(2 * rows).collect()
+    records = sorted(record(r["page_id"], r["url"], r["html"].encode(), None) for r in sample)
     try:
-        return zstandard.train_dictionary(size, texts).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, records)) // 4)), records).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(records)[-size:]
 
 
 def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
@@ -154,7 +158,7 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     if magic != DICTIONARY_FRAME:
         raise ValueError("the archive does not begin with a dictionary frame")
     dictionary = stream.read(length)
-    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
+    press = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary))
     with press.stream_reader(stream, read_across_frames=True) as plain:
         lines = io.BufferedReader(plain)
         while line := lines.readline():
@@ -207,7 +211,7 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = True) -> Data
     """A row for each record of the archives named; every response's payload is checked against its digest."""
     spark = manifest.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file").repartition(parts, "file").mapInArrow(_reader(root, payloads), _READ if payloads else _SUMMARY)
+    return manifest.select("file").repartition(parts).mapInArrow(_reader(root, payloads), _READ if payloads else _SUMMARY)
 
 
 def archive_pages(pages: DataFrame, least: int = 0) -> DataFrame:
