@@ -1,7 +1,7 @@
 """Exact byte-pair encoding and decoding of whole texts by tree concatenation.
 
-Texts up to ``spread`` characters are encoded where they lie. A longer one is cut into leaves that
-tasks encode in parallel; the leaves' encodings meet again by document and are concatenated in a
+Texts up to ``spread`` characters are encoded where they lie. A longer one is cut at special tokens'
+strings and then into leaves that tasks encode in parallel; the leaves' encodings meet again by document and are concatenated in a
 tree, each join re-encoding a growing window until both sides agree (``ByteBpe.concatenate`` for
 pieces, ``_Bpe.join`` inside one long piece). The same concatenation serves stretches without a
 cut inside shorter texts. Memory is bounded by one text and its ids, and by the words remembered.
@@ -27,7 +27,7 @@ from lexora.llm.tokenizing import byte_bpe, highest_bytes
 from lexora.session import bound_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-SPREAD = 1 << 18
+SPREAD = 1 << 14
 _OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -59,15 +59,21 @@ def _encoder(path: str, digest: bool):
     return run
 
 
-def _leaves(leaf: int):
+def _leaves(path: str, leaf: int):
+    """Stretches between special tokens' strings, cut into leaves; a special token is a row of its own (``special``)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path)
         for batch in batches:
             for key, doc, copies, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                parts = [text[i:i + leaf] for i in range(0, len(text), leaf)]
+                parts = []
+                for stretch in bpe.cut.split(text):
+                    special = stretch in bpe.specials
+                    parts += [(stretch, True)] if special else [(stretch[i:i + leaf], False) for i in range(0, len(stretch), leaf)]
                 n = len(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * n), pa.array([doc] * n, pa.int64()), pa.array([copies] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(parts, pa.string())],
-                    ["key", "doc_id", "copies", "part", "text"],
+                    [pa.array([key] * n), pa.array([doc] * n, pa.int64()), pa.array([copies] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([p for p, _ in parts], pa.string()), pa.array([x for _, x in parts])],
+                    ["key", "doc_id", "copies", "part", "text", "special"],
                 )
 
     return run
@@ -77,10 +83,10 @@ def _leaf_encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(path)
         for batch in batches:
-            found = [bpe.pieces(t) for t in batch.column(4).to_pylist()]
+            found = [[] if special else bpe.pieces(t) for t, special in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
             ranks = pa.array([np.array([r for _, own in x for r in own], dtype="<u4").tobytes() for x in found], pa.binary())
             ends = pa.array([np.array([(len(p), len(own)) for p, own in x], dtype="<u4").tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), ranks, ends], ["key", "doc_id", "copies", "part", "text", "ranks", "ends"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(6)), ranks, ends], ["key", "doc_id", "copies", "part", "text", "special", "ranks", "ends"])
 
     return run
 
@@ -88,20 +94,24 @@ def _leaf_encoder(path: str):
 def _concatenator(path: str, digest: bool):
     """Rows come sorted by key and part."""
 
+    def joined(bpe, sides: list) -> bytes:
+        while len(sides) > 1:
+            sides = [bpe.concatenate(sides[i], sides[i + 1]) if i + 1 < len(sides) else sides[i] for i in range(0, len(sides), 2)]
+        return b"".join(bpe.packed(ranks) for _, ranks in sides[0]) if sides else b""
+
     def whole(bpe, leaves: list) -> bytes:
-        text = "".join(x[0] for x in leaves)
-        if bpe.cut.search(text):  # a special token's string may lie across leaves
-            return bpe.encode(text)
-        sides = []
-        for own, ranks, ends in leaves:
+        out, sides = [], []
+        for own, special, ranks, ends in leaves:
+            if special:
+                out += [joined(bpe, sides), bpe.specials[own].to_bytes(4, "little")]
+                sides = []
+                continue
             ranks, at, used, pieces = np.frombuffer(ranks, "<u4").tolist(), 0, 0, []
             for chars, n in np.frombuffer(ends, "<u4").reshape(-1, 2).tolist():
                 pieces.append((own[at:at + chars], ranks[used:used + n]))
                 at, used = at + chars, used + n
             sides.append(pieces)
-        while len(sides) > 1:
-            sides = [bpe.concatenate(sides[i], sides[i + 1]) if i + 1 < len(sides) else sides[i] for i in range(0, len(sides), 2)]
-        return b"".join(bpe.packed(ranks) for _, ranks in sides[0])
+        return b"".join([*out, joined(bpe, sides)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, group, leaves = byte_bpe(path), None, []
@@ -112,11 +122,11 @@ def _concatenator(path: str, digest: bool):
                 yield _rows([group[1]] * group[2], [encoded] * group[2], bpe.decode, digest)
 
         for batch in batches:
-            for key, doc, copies, _, text, ranks, ends in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for key, doc, copies, _, text, special, ranks, ends in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if group != (key, doc, copies):
                     yield from out()
                     group, leaves = (key, doc, copies), []
-                leaves.append((text, ranks, ends))
+                leaves.append((text, special, ranks, ends))
         yield from out()
 
     return run
@@ -135,9 +145,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, digest: bool = Fa
     long = rows.where(F.length("text") > spread).groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
     leaves = (
         long.select(F.sha2("text", 256).alias("key"), "doc_id", "copies", "text")
-        .mapInArrow(_leaves(max(1, spread // 8)), "key string, doc_id long, copies long, part long, text string")
+        .mapInArrow(_leaves(path, max(1, spread // 4)), "key string, doc_id long, copies long, part long, text string, special boolean")
         .repartition(parts, "key", "part")
-        .mapInArrow(_leaf_encoder(path), "key string, doc_id long, copies long, part long, text string, ranks binary, ends binary")
+        .mapInArrow(_leaf_encoder(path), "key string, doc_id long, copies long, part long, text string, special boolean, ranks binary, ends binary")
     )
     met = leaves.repartition(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id", "part")
     return short.unionByName(met.mapInArrow(_concatenator(path, digest), out))

@@ -3,8 +3,8 @@
 Both read a tokenizers JSON file and give the ids its library gives without special tokens being
 added. Text is cut where the file's own pre-tokenizer must cut it, each distinct stretch is
 encoded once and remembered up to ``REMEMBER`` stretches, and pair merging runs in compiled code.
-Letters are classed the same by this code and the library for the characters in ``_PLAIN``; a
-text with any other character is given to the library itself.
+Letters, numbers and spaces are classed the same by this code and the library for every character
+that Python's version of Unicode assigns; a text with any other is given to the library itself.
 
 A stretch that offers no cut for ``LEAF`` characters is encoded by tree concatenation, see
 ``ByteBpe.tree`` and ``join_ids``.
@@ -25,8 +25,13 @@ from tokenizers import Tokenizer
 REMEMBER = 500_000
 LEAF, PIECE, WINDOW = 4096, 512, 8
 
-#: Characters on whose classes (letter, number, space, other) the libraries agree.
-_PLAIN = re.compile("[^\u0000-Ԁก-ฺ฿-๛Ḁ-ỿ -⁤₠-₿℀-↋←-⏿①-⭕　-〿ぁ-ゖ゠-ヿ㐀-䶵一-鿕가-힣！-ﾾ\U0001f300-\U0001f6d2]")
+@lru_cache(maxsize=1)
+def unknown() -> re.Pattern:
+    """The characters that the libraries may class apart (letter, number, space, other): those that Python's version of
+    Unicode, the oldest here, does not assign."""
+    free = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8))).reshape(-1, 2)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.tolist()) + "]")
 
 
 def _letters() -> dict[str, int]:
@@ -88,6 +93,7 @@ class _Bpe:
             self.table[at] = content.encode()
         self.cut = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         self.known: dict[str, bytes] = {}
+        self.unknown = unknown()
 
     def ranks(self, piece: bytes) -> list[int]:
         """Merge ranks of one piece; a long one is encoded in halves that are joined."""
@@ -127,7 +133,7 @@ class _Bpe:
 
     def encode(self, text: str, high: int = 255) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. high: the highest byte of the text, if known."""
-        if high > 0xD3 and _PLAIN.search(text):
+        if high > 0xCC and self.unknown.search(text):
             return self.by_library(text)
         if "<|" in text:
             return b"".join(

@@ -233,9 +233,10 @@ def test_license_classifier_on_fresh_variations():
     assert right / len(rows) > 0.97
 
 
-@pytest.mark.parametrize("spread", [1 << 18, 300])
+@pytest.mark.parametrize("spread", [1 << 14, 300])
 def test_bpe(spark, spread):
-    rows = odd() + [(50, "a<|endoftext|>b  c"), (51, "x" * 299 + "<|endoftext|>" + "y" * 400), (52, "don't  stop\n\n now's" * 40)]
+    rows = odd() + [(50, "a<|endoftext|>b  c"), (51, "x" * 299 + "<|endoftext|>" + "y" * 400), (52, "don't  stop\n\n now's" * 40), (53, "<|endoftext|>" * 40), (54, "𐍈 ᚠᛇ ⠿ ⸮\u0378 \U0001e900ж " * 60)]
+    rows += [(60, "no cut at all" .replace(" ", "") * 2000), (61, ("it's 12 o'clock,\n  again " * 1200)), (62, "日本語" * 7000), (61, "z" * 40_000), (61, "z" * 40_000)]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     got = sorted((r["doc_id"] or 0, bytes(r["ids"]), r["decoded"]) for r in encode_documents(docs_of(spark, rows), spread=spread).collect())
     want = []
@@ -258,6 +259,13 @@ def test_tree_concatenation(monkeypatch, kind, file):
         assert bpe.encode(text) == bpe.by_library(text), repr(text)
 
 
+def test_every_character_is_classed_as_in_the_library():
+    bpe = tokenizing.ByteBpe(public_tokenizers.path("byte_bpe_50k.json"))
+    for low in range(0, 0x110000, 4096):
+        text = "".join(f"a{chr(c)}1{chr(c)} {chr(c)}." for c in range(low, low + 4096) if not 0xD800 <= c < 0xE000 and not tokenizing.unknown().match(chr(c)))
+        assert bpe.encode(text) == bpe.by_library(text)
+
+
 def test_packing(spark):
     rows = odd() + [(200 + i, "word " * (7 * i % 3000)) for i in range(120)]
     got = packing.pack_documents(docs_of(spark, rows)).collect()
@@ -413,11 +421,26 @@ def test_archives(spark, tmp_path):
     assert warc.read_archives(nothing, root + "3").count() == 0
 
 
-def test_dictionary_frame(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "u", f"<html><body>{'shared text ' * 200}{i * 7919}</body></html>" * 5) for i in range(200)], "page_id long, url string, html string")
-    manifest = warc.write_archives(pages, f"file://{tmp_path}/d").collect()
-    head = open(f"{tmp_path}/d/{manifest[0]['file']}", "rb").read(8)
-    assert int.from_bytes(head[:4], "little") == warc.DICTIONARY_FRAME
+@pytest.mark.parametrize("many", [1, 5, 200])
+def test_dictionary_frame(spark, tmp_path, many):
+    """Every archive begins with a dictionary, also of few or empty pages, and its records are read with it."""
+    rows = [(i, "u", f"<html><body>{'shared text ' * 200}{i * 7919}</body></html>" * 5 if many > 1 else "") for i in range(many)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    root = f"file://{tmp_path}/d"
+    manifest = warc.write_archives(pages, root)
+    for r in manifest.collect():
+        head = open(f"{tmp_path}/d/{r['file']}", "rb").read(8)
+        assert int.from_bytes(head[:4], "little") == warc.DICTIONARY_FRAME and int.from_bytes(head[4:], "little") > 0
+    assert {r["page_id"]: r["payload"].decode() for r in warc.read_archives(manifest, root).collect()} == {i: t for i, _, t in rows}
+
+
+def test_archives_of_odd_pages(spark, tmp_path):
+    """A very long page, and columns whose names are those of the result."""
+    rows = [(1, "u", "é<p>" * 2_000_000, "x", 5), (2, "u", "short", "y", 6), (3, "u", "é<p>" * 2_000_000, "z", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_digest string, refers_to long")
+    root = f"file://{tmp_path}/o"
+    got = {r["page_id"]: r for r in warc.read_archives(warc.write_archives(pages, root), root).collect()}
+    assert got[1]["payload"].decode() == rows[0][2] and got[3]["refers_to"] == 1 and got[2]["payload_bytes"] == 5
 
 
 def test_pipeline(spark, sf_dir):
