@@ -284,7 +284,9 @@ def _comparer(percent: int, settled: bool):
 def _compare(rows: DataFrame, texts: DataFrame, percent: int, settled: bool = False) -> DataFrame:
     """rows: (key, node, label); texts: (node, packed)."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.join(texts, "node").select("key", "node", "label", "packed")
+    # A text is joined once to its node, then goes to each of its keys.
+    own = rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label"))
+    met = own.join(texts, "node").select(F.explode("keys").alias("key"), "node", "label", "packed")
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(_comparer(percent, settled), "node long, component long" if settled else "src long, dst long")
 
