@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import html
+import itertools
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Hyphen and middle-dot variants that count as a space in spellings.
 HYPHENS = "-‐‑‒–—⁃・·"
@@ -24,7 +28,10 @@ PARTICLE_TAILS = ["하게", "하다", "이다", "였다", "었다", "있다", "
 # Neighbouring keys.
 KEY_RUNS = ["qwer", "wert", "erty", "rtyu", "tyui", "yuio", "uiop", "asdf", "sdfg", "dfgh", "fghj", "ghjk", "hjkl", "zxcv", "xcvb", "cvbn", "vbnm", "poiu", "lkjh", "mnbv", "abcd", "1234", "2345", "3456", "4567", "5678", "6789", "7890", "0987"]
 # Particles that may follow a short name.
-PARTICLES = "은 는 이 가 을 를 와 과 의 에 에서 에게 한테 도 로 으로 만 까지 부터 보다 처럼 랑 이랑".split()
+PARTICLES = ["은", "는", "이", "가", "을", "를", "와", "과", "의", "에", "에서", "에게", "한테", "도", "로", "으로", "만", "까지", "부터", "보다", "처럼", "랑", "이랑"]
+
+# Particles and forms of address that may follow a term in its context.
+CONTEXT_PARTICLES = ["이", "가", "은", "는", "을", "를", "과", "와", "의", "도", "만", "에", "에서", "로", "으로", "에게", "한테", "께서", "처럼", "보다", "부터", "까지", "씨", "님"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,18 +55,34 @@ def _nfc(values: pd.Series) -> pd.Series:
     return values.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+@pandas_udf(ArrayType(StringType()))
+def nfc_each(values: pd.Series) -> pd.Series:
+    """Composed forms of the strings of an array."""
+    return values.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nfc(c: Column) -> Column:
     """Composed form. Only values with combining marks or conjoining jamo reach Python."""
     return F.when(c.rlike("[\\p{M}ᄀ-ᇿ]"), _nfc(c)).otherwise(c)
 
 
 def spelling(c: Column) -> Column:
-    """Spelling for consensus: hyphen variants as spaces, lower case, white space squeezed."""
-    return squeeze(F.lower(F.translate(c, HYPHENS, " " * len(HYPHENS))))
+    """Spelling for consensus: composed, hyphen variants as spaces, lower case, white space squeezed."""
+    return squeeze(F.lower(F.translate(nfc(c), HYPHENS, " " * len(HYPHENS))))
 
 
 def key_unicode(c: Column) -> Column:
     """Identity key: lower case without white space and Unicode punctuation; symbols such as + stay."""
+    return key_composed(nfc(c))
+
+
+def key_composed(c: Column) -> Column:
+    """``key_unicode`` of a value already composed: for use inside lambdas, where Python cannot be called."""
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s 　\p{P}]", "")
 
 
@@ -75,7 +98,7 @@ def key_posix_dot(c: Column) -> Column:
 
 def key_cluster(c: Column) -> Column:
     """Cluster key: lower case without white space and quotes."""
-    return F.regexp_replace(F.lower(c), "[\\s'\"`‘’“”]", "")
+    return F.regexp_replace(F.lower(c), "[\\s'\"`‘’“”]+", "")
 
 
 def key_match(c: Column) -> Column:
@@ -243,11 +266,21 @@ def contains_word(text: Column, word: Column) -> Column:
     return (word != "") & F.contains(text, word) & F.rlike(text, quoted)
 
 
+def mention_pattern(term: Column) -> Column:
+    """A pattern for a term, in any case, at a word start, and before a word end or a particle."""
+    behind = f"(?=$|[^\\p{{L}}\\p{{Nd}}]|{'|'.join(CONTEXT_PARTICLES)})"
+    return F.concat(F.lit("(?iu)(?<![\\p{L}\\p{Nd}])\\Q"), F.replace(term, F.lit("\\E"), F.lit("")), F.lit(f"\\E{behind}"))
+
+
 def mentions(text: Column, term: Column) -> Column:
     """Whether a term occurs in a text at a word start, followed by a word end or a particle."""
-    tail = "(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ")?"
-    quoted = F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), F.replace(term, F.lit("\\E"), F.lit("")), F.lit(f"\\E{tail}(?![\\p{{L}}\\p{{N}}])"))
-    return (term != "") & F.contains(text, term) & F.rlike(text, quoted)
+    return (term != "") & F.contains(F.lower(text), F.lower(term)) & F.rlike(text, mention_pattern(term))
+
+
+def mention_window(text: Column, term: Column, radius: int = 32) -> Column:
+    """The first mention of a term with the characters around it; empty without one."""
+    pattern = F.concat(F.lit(f"(?s).{{0,{radius}}}?"), mention_pattern(term), F.lit(f".{{0,{radius}}}"))
+    return F.when(mentions(text, term), F.call_function("regexp_extract", text, pattern, F.lit(0))).otherwise("")
 
 
 def url_host(c: Column) -> Column:
@@ -313,61 +346,85 @@ def not_tombstone(status: Column, notes: Column, marker: str, exempt: list[str],
     return ~(status == dead) | phrase_in_segment(notes, marker, exempt)
 
 
-# Conversion tables of Hangul syllables to katakana, by initial, vowel and final in Unicode order.
-_INITIALS = "ㄱㄲㄴㄷㄸㄹㅁㅂㅃㅅㅆㅇㅈㅉㅊㅋㅌㅍㅎ"
-_VOWELS = "ㅏㅐㅑㅒㅓㅔㅕㅖㅗㅘㅙㅚㅛㅜㅝㅞㅟㅠㅡㅢㅣ"
-_PLAIN = dict(zip(_INITIALS, "カ カ ナ タ タ ラ マ パ パ サ サ - チ チ チ カ タ パ ハ".split(), strict=True))
-_VOICED = _PLAIN | {"ㄱ": "ガ", "ㄷ": "ダ", "ㅂ": "バ", "ㅈ": "ジ"}
-_OPEN = dict(zip(_VOWELS, "ア エ ヤ イェ オ エ ヨ イェ オ ワ ウェ ウェ ヨ ウ ウォ ウェ ウィ ユ ウ ウイ イ".split(), strict=True))
-_FINALS = ["", *"ク ク ク ン ン ン ッ ル ク ム ル ル ル プ ル ム プ プ ッ ッ ン ッ ッ ク ッ プ".split(), ""]
-_ROWS = {r[0]: r for r in ("カキクケコ", "ガギグゲゴ", "サシスセソ", "タチツテト", "ダヂヅデド", "ナニヌネノ", "ハヒフヘホ", "バビブベボ", "パピプペポ", "マミムメモ", "ラリルレロ")}
-SURNAMES = set("김이박최정강조윤장임한오서신권황안송전홍고문양손배백허유남심노하곽성차주우구나민진지엄채원천방공현함변염여추도소석선설마길연위표명기반라왕금옥육인맹제모탁국어은편용예경봉사부가복태목형계피감동") | {"남궁", "황보", "선우", "제갈", "사공", "서문", "독고"}
-
-
-def _kana(initial: str, vowel: str, voiced: bool) -> str:
-    if initial == "ㅇ":
-        return _OPEN[vowel]
-    base = (_VOICED if voiced else _PLAIN)[initial]
-    if base in "チジ":
-        small = {"ㅏㅑㅘ": "ャ", "ㅐㅒㅔㅖㅙㅚㅞ": "ェ", "ㅓㅕㅗㅛㅝ": "ョ", "ㅜㅠ": "ュ"}
-        return base + next((x for vowels, x in small.items() if vowel in vowels), "")
-    if initial == "ㅎ" and vowel in "ㅘㅙㅚㅝ":
-        return "フォ" if vowel == "ㅝ" else "ファ"
-    a, i, u, e, o = _ROWS[base]
-    glide = i if i != "チ" and base not in "タダ" else base
-    if vowel in "ㅏㅐㅔㅒㅖㅓㅗㅜㅡㅣㅢ":
-        return {"ㅏ": a, "ㅐ": e, "ㅔ": e, "ㅒ": e, "ㅖ": e, "ㅓ": o, "ㅗ": o, "ㅜ": u, "ㅡ": u, "ㅣ": i, "ㅢ": i}[vowel]
-    if vowel in "ㅑㅕㅛㅠ":
-        return glide + {"ㅑ": "ャ", "ㅕ": "ョ", "ㅛ": "ョ", "ㅠ": "ュ"}[vowel]
-    return u + {"ㅘ": "ァ", "ㅙ": "ェ", "ㅚ": "ェ", "ㅞ": "ェ", "ㅝ": "ォ", "ㅟ": "ィ"}[vowel]
-
-
-def _kana_word(word: str, surname: bool) -> str:
-    out = []
-    for n, ch in enumerate(word):
-        at = ord(ch) - 0xAC00
-        if not 0 <= at < 11172:
-            out.append(ch)
-            continue
-        out.append(_kana(_INITIALS[at // 588], _VOWELS[at % 588 // 28], not (surname and n == 0)) + _FINALS[at % 28])
-    return "".join(out)
+# The sound that each initial stands for; the lax ones are voiced inside a word.
+ONSETS = {
+    "ㄱ": "K", "ㄲ": "K", "ㄴ": "N", "ㄷ": "T", "ㄸ": "T", "ㄹ": "R", "ㅁ": "M", "ㅂ": "P", "ㅃ": "P", "ㅅ": "S",
+    "ㅆ": "S", "ㅇ": "", "ㅈ": "CH", "ㅉ": "CH", "ㅊ": "CH", "ㅋ": "K", "ㅌ": "T", "ㅍ": "P", "ㅎ": "H",
+}
+VOICED = {"ㄱ": "G", "ㄷ": "D", "ㅂ": "B", "ㅈ": "J"}
+# Each vowel as a glide and a vowel of the five that katakana has; EU is the unrounded one.
+VOWELS = {
+    "ㅏ": ("", "A"), "ㅐ": ("", "E"), "ㅑ": ("Y", "A"), "ㅒ": ("Y", "E"), "ㅓ": ("", "O"), "ㅔ": ("", "E"), "ㅕ": ("Y", "O"),
+    "ㅖ": ("Y", "E"), "ㅗ": ("", "O"), "ㅘ": ("W", "A"), "ㅙ": ("W", "E"), "ㅚ": ("W", "E"), "ㅛ": ("Y", "O"), "ㅜ": ("", "U"),
+    "ㅝ": ("W", "O"), "ㅞ": ("W", "E"), "ㅟ": ("W", "I"), "ㅠ": ("Y", "U"), "ㅡ": ("", "EU"), "ㅢ": ("EU", "I"), "ㅣ": ("", "I"),
+}
+# The katakana of the sounds that finals are pronounced as, and the finals pronounced so.
+CODAS = {"": ["", "ㅎ"], "ク": ["ㄱ", "ㄲ", "ㄳ", "ㄺ", "ㅋ"], "ン": ["ㄴ", "ㄵ", "ㄶ", "ㅇ"], "ッ": ["ㄷ", "ㅅ", "ㅆ", "ㅈ", "ㅊ", "ㅌ"], "ル": ["ㄹ", "ㄼ", "ㄽ", "ㄾ", "ㅀ"], "ム": ["ㄻ", "ㅁ"], "プ": ["ㄿ", "ㅂ", "ㅄ", "ㅍ"]}
+# Surnames of one syllable, and of two.
+SURNAMES = list("김이박최정강조윤장임한오서신권황안송전홍고문양손배백허유남심노하곽성차주우구나민진지엄채원천방공현함변염여추도소석선설마길연위표명기반라왕금옥육인맹제모탁국어은편용예경봉사부가복태목형계피감동")
+LONG_SURNAMES = ["남궁", "황보", "선우", "제갈", "사공", "서문", "독고"]
+
+
+def _letter(name: str) -> str:
+    """A katakana letter by its sounds, as Unicode names it."""
+    return unicodedata.lookup(f"KATAKANA LETTER {name}")
+
+
+def _sounds(onset: str, glide: str, vowel: str, jamo: str) -> str:
+    """Katakana of an onset, a glide and a vowel."""
+    if not onset:
+        if not glide:
+            return _letter(vowel.removeprefix("E") if vowel == "EU" else vowel)
+        if glide == "EU":
+            return _letter("U") + _letter(vowel)
+        if (glide, vowel) in {("Y", "A"), ("Y", "O"), ("Y", "U"), ("W", "A")}:
+            return _letter(glide + vowel)
+        return _letter("I" if glide == "Y" else "U") + _letter(f"SMALL {vowel}")
+    if onset in ("CH", "J"):  # palatal: what follows is a small letter, but for i and what sounds like it
+        stem = _letter("TI" if onset == "CH" else "ZI")
+        if vowel in ("I", "EU"):
+            return stem
+        return stem + _letter("SMALL E" if vowel == "E" else f"SMALL Y{vowel}")
+    if glide == "Y" and vowel != "E":
+        # t and d have no palatal form; the small letter stands behind their plain one.
+        return _letter(onset + ("A" if onset in ("T", "D") else "I")) + _letter(f"SMALL Y{vowel}")
+    if glide == "W":
+        if onset == "H" and jamo in ("ㅙ", "ㅚ"):
+            vowel = "A"
+        return _letter(f"{onset}U") + _letter(f"SMALL {vowel}")
+    return _letter(onset + ("U" if vowel == "EU" else vowel))
+
+
+@lru_cache(maxsize=1)
+def syllable_kana() -> dict[str, tuple[str, str]]:
+    """Every Hangul syllable in katakana: at the start of a surname, and elsewhere."""
+    ending = {final: kana for kana, finals in CODAS.items() for final in finals}
+    # The order in which Unicode counts finals is that of their jamo.
+    finals = ["", *sorted(f for f in ending if f)]
+    parts = itertools.product(ONSETS, VOWELS, finals)
+    return {
+        chr(0xAC00 + n): tuple(_sounds(sound, *VOWELS[vowel], vowel) + ending[final] for sound in (ONSETS[onset], VOICED.get(onset, ONSETS[onset])))
+        for n, (onset, vowel, final) in enumerate(parts)
+    }
+
+
+_FULL_NAME = re.compile(f"(?:({'|'.join(LONG_SURNAMES)})(.+)|([{''.join(SURNAMES)}])(..+))", re.DOTALL)
 
 
 def katakana_name(name: str | None) -> str | None:
     """A Hangul name in katakana: the surname apart, its first sound unvoiced."""
     if name is None:
         return None
-    parts = name.split()
-    if len(parts) > 1:
-        return "・".join(_kana_word(w, i == 0 and w[0] in SURNAMES) for i, w in enumerate(parts))
-    word = "".join(parts)
-    for size in (2, 1):
-        family, given = word[:size], word[size:]
-        if family in SURNAMES and len(family) == size and len(given) >= (1 if size == 2 else 2):
-            return f"{_kana_word(family, True)}・{_kana_word(given, False)}"
-        if size == 2 and family in SURNAMES and not given:
-            break
-    return _kana_word(word, word[:1] in SURNAMES or word[:2] in SURNAMES)
+    table = syllable_kana()
+    words = name.split()
+    family = len(words) > 1
+    if len(words) == 1 and words[0] not in LONG_SURNAMES and (full := _FULL_NAME.fullmatch(words[0])):
+        words, family = [part for part in full.groups() if part], True
+    out = []
+    for n, word in enumerate(words):
+        named = n == 0 and (word[0] in SURNAMES or (not family and word[:2] in LONG_SURNAMES) or (len(words) > 1 and word in LONG_SURNAMES))
+        out.append("".join(table.get(ch, (ch, ch))[0 if named and i == 0 else 1] for i, ch in enumerate(word)))
+    return "・".join(out)
 
 
 @pandas_udf(StringType())
