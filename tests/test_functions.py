@@ -122,6 +122,41 @@ def test_pre_gate(spark, term, reason):
     assert value(spark, gate.pre_gate(F.col("t")), t=term)["reason"] == reason
 
 
+PROOF = {"type": "person", "url": "https://news.example.com/1", "trusted": True, "context": "가수 아이유가 새 앨범을 공개했다."}
+DECISIONS = [
+    ("아이유", PROOF, "pass"), ("괴물", {"existing": True}, "pass"), ("스트레이 키즈", {"identity": True}, "review"), ("뷔", {"approved": True}, "pass"), ("괴물", {"type": "movie", "kinds": True}, "review"),
+    ("박보검", {}, "review"), ("건강", {}, "review"), ("아이유", {"type": "person"}, "review"), ("아이유", PROOF | {"type": None, "context": ""}, "review"), ("아이유", PROOF | {"context": ""}, "review"),
+    ("아이유", PROOF | {"context": "아이유가 말했다"}, "review"), ("건강", PROOF | {"context": "배우 건강이 출연했다"}, "review"), ("적", PROOF | {"context": "배우의 실적이 공개됐다"}, "review"),
+    ("미소", PROOF | {"context": "배우가 새 작품을 공개했다. 아주 긴 별도의 설명이 이어진 뒤 전혀 다른 문장에서 미소가 언급됐다"}, "review"), ("배우", PROOF | {"context": "배우"}, "reject"),
+    ("아리랑", {"type": "term", "context": "아리랑"}, "review"), ("합정역광고", {"type": "group"}, "reject"), ("생일광고", PROOF | {"context": "아이돌 생일광고가 걸렸다"}, "reject"), ("드라마 다시보기", {}, "reject"),
+    ("광고천재 이태백", {"type": "drama"}, "review"), ("꽃", PROOF | {"type": "song_album", "context": "신곡 '꽃'을 발표했다"}, "review"), ("진", {"type": "person", "existing": True}, "pass"),
+    ("HIGH TOP", {"type": "song_album"}, "review"), ("XYZ", {}, "reject"), ("IVE", {"type": "group"}, "review"), ("새천년 (NEW ERA)", {"type": "song_album"}, "review"), ("NCT", {"type": "group", "existing": True}, "pass"),
+    ("Made My Night", {"url": "https://a.example.com/x", "correction": True}, "review"), ("임ㅇ원희", {"existing": True}, "reject"), ("우리들의 블루스", PROOF | {"type": "drama", "context": "‘우리들의 블루스’를 봤다"}, "pass"),
+    ("가수 아이유", PROOF | {"context": "배우 가수 아이유가"}, "review"), ("부산국제영화제", PROOF | {"context": "가수 부산국제영화제가"}, "review"), ("방탄소년단 진", PROOF | {"context": "가수 방탄소년단 진이"}, "review"),
+]
+
+
+def test_intake_decisions(spark):
+    keys = ["type", "url", "trusted", "context", "existing", "approved", "identity", "kinds", "correction"]
+    made = [(n, term, *[facts.get(k) for k in keys]) for n, (term, facts, _) in enumerate(DECISIONS)]
+    rows = spark.createDataFrame(made, "n long, term string, type string, url string, trusted boolean, context string, existing boolean, approved boolean, identity boolean, kinds boolean, correction boolean")
+    c = F.col
+    verdict = gate.decide_intake(c("term"), c("type"), c("context"), c("url"), c("trusted"), c("existing"), c("approved"), c("identity"), c("kinds"), c("correction"))
+    got = {r["n"]: r["g"] for r in rows.select("n", verdict.alias("g")).collect()}
+    assert {(DECISIONS[n][0], g["verdict"], g["reason"]) for n, g in got.items() if g["verdict"] != DECISIONS[n][2]} == set()
+    assert all(g["reason"] in gate.OUTCOMES and g["flags"] for g in got.values()) and got[28]["reason"] == "fatal_lone_jamo"
+
+
+def test_keys_compose(spark):
+    """Decomposed names have the keys of composed ones."""
+    import unicodedata
+
+    for name in ("아이유 É-x", "한·국"):
+        apart = unicodedata.normalize("NFD", name)
+        assert value(spark, T.key_unicode(F.col("t")), t=apart) == value(spark, T.key_unicode(F.col("t")), t=name)
+        assert value(spark, T.spelling(F.col("t")), t=apart) == value(spark, T.spelling(F.col("t")), t=name)
+
+
 def test_tombstones(spark):
     alive = T.not_tombstone(F.col("s"), F.col("n"), "[rejected]", ["no source yet"])
     assert value(spark, alive, s="active", n="") is True
