@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexora.operators.relational import mode_per_key, top_per_key
+from lexora.functions.rank import can_replace
+from lexora.functions.text import valid_for_locale
+from lexora.operators.relational import top_per_key
 
 
 @dataclass(frozen=True)
@@ -20,30 +22,44 @@ class ConsensusRule:
     days: int = 90
     least: float = 0.7
     default_trust: float = 1.0
-    default_confidence: float = 0.85
     cooldown_hours: int = 48
     change_minutes: int = 35
 
 
 def weigh(observations: DataFrame, as_of: Column, rule: ConsensusRule = ConsensusRule()) -> DataFrame:
-    """(entity, locale, norm, parents, pages, weight) of the observations in the window.
+    """(entity, locale, norm, parents, pages, weight, spelling) of the confident observations in the window.
 
-    Observations need entity, locale, spelling, norm, parent, page, trust, confidence and
-    observed_at. A page reported under several media counts once towards pages, and media of one
-    parent count once towards parents, so one article copied around reaches no consensus.
+    Observations need entity, locale, spelling, norm, parent, domain, page, trust, confidence and
+    observed_at; one without a confidence is not confident. A page reported under several media counts once
+    towards pages, and media of one parent count once towards parents, so one article copied around
+    reaches no consensus. A medium without a parent stands for itself, an observation without a page for
+    its domain's. The spelling is the one most often written in the window.
+    """
+    text = lambda c: F.col(c).cast("string")
+    fresh = observations.where((F.col("observed_at") > as_of - F.expr(f"interval {rule.days} days")) & (F.col("confidence") >= rule.least))
+    fresh = fresh.select(
+        "entity", "locale", "norm", "spelling", F.coalesce(text("parent"), text("domain")).alias("parent"), F.coalesce(F.nullif(text("page"), F.lit("")), F.concat(F.lit("domain:"), text("domain"))).alias("page"),
+        (F.coalesce("trust", F.lit(rule.default_trust)) * F.col("confidence")).cast("decimal(18,6)").alias("weight"),
+    )
+    return fresh.groupBy("entity", "locale", "norm").agg(
+        F.count_distinct("parent").alias("parents"), F.count_distinct("page").alias("pages"), F.sum("weight").cast("double").alias("weight"), F.mode("spelling", True).alias("spelling")
+    )
+
+
+def consensus(observations: DataFrame, as_of: Column, rule: ConsensusRule = ConsensusRule(), stored: DataFrame | None = None) -> DataFrame:
+    """The winning spelling of each (entity, locale) that passes all thresholds, as most often written.
+
+    A winner whose scripts do not fit its locale is no consensus, and no other takes its place. With
+    ``stored`` (entity, locale, value, source, locked), neither is one that may not replace what is stored.
     """
-    confidence = F.coalesce("confidence", F.lit(rule.default_confidence))
-    fresh = observations.where((F.col("observed_at") >= as_of - F.expr(f"interval {rule.days} days")) & (confidence >= rule.least))
-    weight = (F.coalesce("trust", F.lit(rule.default_trust)) * confidence).cast("decimal(18,6)")
-    return fresh.groupBy("entity", "locale", "norm").agg(F.count_distinct("parent").alias("parents"), F.count_distinct("page").alias("pages"), F.sum(weight).cast("double").alias("weight"))
-
-
-def consensus(observations: DataFrame, as_of: Column, rule: ConsensusRule = ConsensusRule()) -> DataFrame:
-    """The winning spelling of each (entity, locale) that passes all thresholds, as most often written."""
     weighed = weigh(observations, as_of, rule).where((F.col("parents") >= rule.parents) & (F.col("pages") >= rule.pages) & (F.col("weight") >= rule.weight))
     winners = top_per_key(weighed, ["entity", "locale"], [F.desc("weight"), F.desc("parents"), F.asc("norm")])
-    written = mode_per_key(observations, ["entity", "locale", "norm"], "spelling", "spelling")
-    return winners.join(written, ["entity", "locale", "norm"])
+    winners = winners.where(valid_for_locale(F.col("spelling"), F.col("locale")))
+    if stored is None:
+        return winners
+    held = stored.select("entity", "locale", "value", "source", "locked")
+    free = F.col("value").isNull() | can_replace(F.col("locked"), F.col("source"), F.lit("media-consensus"))
+    return winners.join(held, ["entity", "locale"], "left").where(free).select(*winners.columns)
 
 
 def changed_pairs(observations: DataFrame, as_of: Column, rule: ConsensusRule = ConsensusRule()) -> DataFrame:

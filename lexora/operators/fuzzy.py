@@ -13,13 +13,17 @@ def gram_join(left: DataFrame, right: DataFrame, threshold: float, n: int | None
     """(lid, rid, similarity): pairs whose gram sets have a Jaccard similarity of at least ``threshold``.
 
     left: lid, lname; right: rid, rname. Names are made distinct first. Pairs are found by an equi join
-    on a prefix of each name's grams in a common order: two sets that reach the threshold share a gram
-    among their first size - ceil(threshold * size) + 1. So frequent grams at a name's end never meet.
+    on a prefix of each name's grams, rarest first: two sets that reach the threshold share a gram
+    among their first size - ceil(threshold * size) + 1. So the grams that many names hold hardly ever meet.
     Each pair of names is compared once on the whole sets. Without ``n`` the grams are padded trigrams.
     """
     of = (lambda c: trigrams(c)) if n is None else (lambda c: grams(c, n))
-    a = left.select(F.col("lname").alias("a")).distinct().withColumn("ga", F.array_sort(of(F.col("a")))).where(F.size("ga") > 0)
-    b = right.select(F.col("rname").alias("b")).distinct().withColumn("gb", F.array_sort(of(F.col("b")))).where(F.size("gb") > 0)
+    own = left.select(F.col("lname").alias("name")).distinct().select("name", F.explode(of(F.col("name"))).alias("g"))
+    other = right.select(F.col("rname").alias("name")).distinct().select("name", F.explode(of(F.col("name"))).alias("g"))
+    held = own.select("g").union(other.select("g")).groupBy("g").agg(F.count("*").alias("held"))
+    rare = F.transform(F.array_sort(F.collect_list(F.struct("held", "g"))), lambda x: x["g"])
+    ordered = lambda side, name, gs: side.join(held, "g").groupBy(F.col("name").alias(name)).agg(rare.alias(gs))
+    a, b = ordered(own, "a", "ga"), ordered(other, "b", "gb")
     prefix = lambda g: F.slice(g, F.lit(1), (F.size(g) - F.ceil(threshold * F.size(g) - 1e-9) + 1).cast("int"))
     fits = F.least(F.size("ga"), F.size("gb")) >= threshold * F.greatest(F.size("ga"), F.size("gb")) - 1e-9
     met = a.withColumn("g", F.explode(prefix(F.col("ga")))).join(b.withColumn("g", F.explode(prefix(F.col("gb")))), "g").where(fits)
@@ -30,6 +34,19 @@ def gram_join(left: DataFrame, right: DataFrame, threshold: float, n: int | None
     return left.join(pairs, F.col("lname") == F.col("a")).join(right, F.col("rname") == F.col("b")).select("lid", "lname", "rid", "rname", "similarity")
 
 
+def abbreviations(hints: DataFrame, names: DataFrame) -> DataFrame:
+    """Hints with the names they abbreviate: equal to a prefix of a name without spaces, or of its initials.
+
+    Joined on whole prefixes, as many as a name has characters, so no first letter is a hot key.
+    """
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    initials = F.array_join(F.transform(F.filter(F.split(F.trim("name"), r"\s+"), lambda w: w != ""), lambda w: F.left(w, F.lit(1))), "")
+    prefixes = lambda c: F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))).otherwise(F.expr("cast(array() as array<string>)"))
+    offered = names.withColumn("_f", F.explode(F.array_distinct(F.concat(prefixes(bare("name")), prefixes(initials)))))
+    asked = hints.withColumn("_f", F.explode(F.array_distinct(F.array("hint", bare("hint")))))
+    return asked.join(offered, "_f").where(is_abbreviation(F.col("hint"), F.col("name"))).drop("_f").distinct()
+
+
 def alias_cascade(hints: DataFrame, names: DataFrame, threshold: float = 0.6, limit: int = 5) -> DataFrame:
     """Matches of each hint: equal alias (1.0), abbreviation (0.85), then similar spelling, best first.
 
@@ -37,8 +54,7 @@ def alias_cascade(hints: DataFrame, names: DataFrame, threshold: float = 0.6, li
     """
     found = hints.withColumn("_k", key_match(F.col("hint"))).join(names.withColumn("_k", key_match(F.col("name"))), "_k")
     equal = found.select("hint", "id", "name", F.lit(1.0).alias("score"), F.lit("alias").alias("how"))
-    first = F.left(F.col("hint"), F.lit(1))
-    near = hints.withColumn("_f", first).join(names.withColumn("_f", F.left("name", F.lit(1))), "_f").where((F.col("hint") != F.col("name")) & is_abbreviation(F.col("hint"), F.col("name")))
+    near = abbreviations(hints, names).where(F.col("hint") != F.col("name"))
     short = near.select("hint", "id", "name", F.lit(0.85).alias("score"), F.lit("abbreviation").alias("how"))
     alike = gram_join(hints.select(F.col("hint").alias("lid"), F.col("hint").alias("lname")), names.select(F.col("id").alias("rid"), F.col("name").alias("rname")), threshold)
     typo = alike.select(F.col("lname").alias("hint"), F.col("rid").alias("id"), F.col("rname").alias("name"), F.col("similarity").alias("score"), F.lit("similar").alias("how"))

@@ -2,49 +2,106 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexora.functions.text import PARTICLES, key_posix, key_unicode
+from lexora.functions.text import PARTICLES, key_composed, key_posix, key_unicode, nfc_each
 from lexora.operators.relational import top_per_key
 
 
+#: Names, and characters of all names, up to which a dictionary goes to every task.
+MOST_NAMES, MOST_CHARACTERS = 200_000, 16 << 20
+_HANGUL = re.compile("[가-힣]")
+_BEHIND = re.compile(f"(?:{'|'.join(PARTICLES)}|[^가-힣]|$)")
+
+
 def boundary(text: Column, name: Column) -> Column:
-    """Whether a name counts as mentioned: never with one character; of two or three, pure Hangul needs a
-    word start and a word end or particle behind; longer names need only occur. The plain containment
-    test stands first, so the pattern runs on few rows."""
-    tail = "(?:" + "|".join(sorted(PARTICLES, key=len, reverse=True)) + ")?"
-    pattern = F.concat(F.lit("(?<![가-힣])\\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit(f"\\E{tail}(?![가-힣])"))
+    """Whether a name counts as mentioned: never with one character; of two or three, pure Hangul needs a start
+    before which no Hangul stands, and behind it a particle, something other than Hangul, or the end; any other
+    need only occur. The plain containment test stands first, so the pattern runs on few rows."""
+    pattern = F.concat(F.lit("(?:^|[^가-힣])\\Q"), F.replace(name, F.lit("\\E"), F.lit("")), F.lit(f"\\E{_BEHIND.pattern}"))
     short = ~name.rlike("^[가-힣]+$") | F.rlike(text, pattern)
     size = F.length(name)
     return (size >= 2) & F.contains(text, name) & ((size >= 4) | short)
 
 
-def mention_candidates(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str) -> DataFrame:
-    """Pairs of texts and names that can match: joined on the name's longest word, not by a cross join.
-
-    A name's rarest part is unknown to a plan, its longest word is not; a text offers each of its
-    distinct words once. Names without a word character are left out.
+def _mentioned(text: str, name: str, end: int) -> bool:
+    """The same test of one occurrence, by where it ends."""
+    start = end - len(name) + 1
+    if len(name) >= 4 or not all(_HANGUL.match(c) for c in name):
+        return True
+    return (start == 0 or not _HANGUL.match(text[start - 1])) and bool(_BEHIND.match(text, end + 1))
+
+
+def _finder(names: list[tuple], columns: list[str]):
+    """Occurrences of all names by one automaton: (text id, name id, fragment) for every text and name that it mentions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, owners = ahocorasick.Automaton(), {}
+        for key, name in names:
+            owners.setdefault(name, []).append(key)
+        for name in owners:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            at, keys, sizes = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                best: dict = {}
+                sure: set[str] = set()
+                for end, name in automaton.iter(text or ""):
+                    if name not in sure and _mentioned(text, name, end):
+                        sure.add(name)
+                        best |= {key: max(len(name), best.get(key, 0)) for key in owners[name]}
+                at += [i] * len(best)
+                keys += best
+                sizes += best.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(keys), pa.array(sizes, pa.int32())], columns)
+
+    return run
+
+
+def rare_gram_candidates(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str) -> DataFrame:
+    """(text_id, name_id, name): pairs where a text holds the rarest n-gram of a name.
+
+    The way for a dictionary of any size: grams of four characters (two for shorter names), those of the texts
+    kept only where the dictionary has them, and each name joined on the one that fewest texts hold.
     """
-    split = r"[^\p{L}\p{N}]+"
-    words = F.filter(F.split(F.lower(F.col(name)), split), lambda w: w != "")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = names.select(F.col(name_id), F.col(name), longest.alias("_w")).where("_w is not null")
-    offered = texts.select(text_id, F.explode(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), split), lambda w: w != ""))).alias("_w"))
-    return offered.join(keyed, "_w").select(text_id, name_id, name).distinct()
-
-
-def match_texts(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str, limit: int | None = 100) -> DataFrame:
-    """(text_id, name_id, fragment, place): entities mentioned in each text as whole words, longest fragment first.
-
-    Without a limit, all of them, and no place.
-
-    For names whose first and last characters are word characters, a containment on word ends equals
-    the join on a whole word of it; the pairs are then tested on the text itself.
+    width = F.when(F.length(name) >= 4, 4).otherwise(2)
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    keyed = names.where(F.length(name) >= 2).select(name_id, name, F.explode(F.array_distinct(grams(F.col(name), width))).alias("_g"))
+    wanted = keyed.select("_g").distinct()
+    offered = texts.select(text_id, F.explode(F.array_distinct(F.concat(grams(F.col(text), F.lit(4)), grams(F.col(text), F.lit(2))))).alias("_g"))
+    hits = offered.join(wanted, "_g", "left_semi")
+    held = hits.groupBy("_g").agg(F.count("*").alias("_n"))
+    # A gram that no text holds rules its name out.
+    rarest = keyed.join(held, "_g", "left").groupBy(name_id, name).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
+    return hits.join(rarest.where("_r.n > 0").select(name_id, name, F.col("_r.g").alias("_g")), "_g").select(text_id, name_id, name)
+
+
+def match_texts(texts: DataFrame, names: DataFrame, text: str, text_id: str, name: str, name_id: str, limit: int | None = 100, most: int = MOST_NAMES) -> DataFrame:
+    """(text_id, name_id, fragment, place): entities mentioned in each text, longest fragment first.
+
+    Without a limit, all of them, and no place. A dictionary of up to ``most`` names and ``MOST_CHARACTERS``
+    characters goes to every task as an automaton, and each text is read once; a larger one is joined with the
+    texts on its names' rarest n-grams, and the pairs are tested on the text itself.
     """
-    pairs = mention_candidates(texts, names, text, text_id, name, name_id)
-    found = pairs.join(texts.select(text_id, text), text_id).where(boundary(F.col(text), F.col(name)))
-    best = found.groupBy(text_id, name_id).agg(F.max(F.length(name)).alias("fragment"))
+    names = names.where(F.length(name) >= 2).select(name_id, name).distinct()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(name)), F.lit(0)).alias("c")).first()
+    if size["n"] <= most and size["c"] <= MOST_CHARACTERS:
+        kinds = [texts.schema[text_id].dataType.simpleString(), names.schema[name_id].dataType.simpleString()]
+        finder = _finder([tuple(r) for r in names.collect()], [text_id, name_id, "fragment"])
+        found = texts.select(text_id, text).mapInArrow(finder, f"{text_id} {kinds[0]}, {name_id} {kinds[1]}, fragment int") if size["n"] else None
+        best = names.select(F.lit(None).cast(kinds[0]).alias(text_id), name_id, F.lit(0).alias("fragment")).where("false") if found is None else found.groupBy(text_id, name_id).agg(F.max("fragment").alias("fragment"))
+    else:
+        pairs = rare_gram_candidates(texts, names, text, text_id, name, name_id)
+        tested = pairs.join(texts.select(text_id, text), text_id).where(boundary(F.col(text), F.col(name)))
+        best = tested.groupBy(text_id, name_id).agg(F.max(F.length(name)).alias("fragment"))
     if limit is None:
         return best
     return top_per_key(best, [text_id], [F.desc("fragment"), F.asc(name_id)], limit, "place")
@@ -97,7 +154,8 @@ def any_name(names: Column, term: str) -> Column:
 
 def split_exact(df: DataFrame, names: str, term: str) -> tuple[DataFrame, DataFrame]:
     """(exact, related): rows one of whose names equals the term by key, and the others."""
-    exact = F.exists(F.col(names), lambda n: key_unicode(n) == key_unicode(F.lit(term)))
+    key = key_composed(F.lit(unicodedata.normalize("NFC", term)))
+    exact = F.exists(nfc_each(F.col(names)), lambda n: key_composed(n) == key)
     return df.where(exact), df.where(~exact)
 
 

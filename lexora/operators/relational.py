@@ -82,6 +82,17 @@ def surrogate_ids(df: DataFrame, order: Sequence[str], name: str, start: int = 1
     return marked.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_r") - F.col("first") + F.col("before") + start).drop("_p", "_r", "first", "before")
 
 
+def running_sum(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """The sum of a value up to each row in some order, by a range sort and the partitions' sums, not one task's window."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("_v", value.cast("long")).repartitionByRange(parts, order).sortWithinPartitions(order)
+    marked = cut(ranged.withColumn("_p", F.spark_partition_id()))
+    sums = marked.groupBy("_p").agg(F.sum("_v").alias("s"))  # a row for each partition
+    before = F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.sum("_v").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.withColumn("_own", own).join(F.broadcast(sums.select("_p", before.alias("_before"))), "_p").withColumn(name, F.col("_own") + F.col("_before")).drop("_p", "_v", "_own", "_before")
+
+
 def prefix_matches(names: DataFrame, groups: DataFrame, name: str, group: str) -> DataFrame:
     """Pairs where a name is a group's name, a space, and a rest: joined on the name's own word prefixes."""
     words = F.split(F.col(name), " ")
@@ -90,11 +101,19 @@ def prefix_matches(names: DataFrame, groups: DataFrame, name: str, group: str) -
     return spread.join(groups.select(group).distinct(), group)
 
 
-def overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str, row: str) -> DataFrame:
-    """Pairs (a, b) of rows of one key whose closed intervals overlap."""
-    a = df.select(*keys, F.col(row).alias("a"), F.col(start).alias("sa"), F.col(end).alias("ea"))
-    b = df.select(*keys, F.col(row).alias("b"), F.col(start).alias("sb"), F.col(end).alias("eb"))
-    return a.join(b, list(keys)).where((F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea"))).select(*keys, "a", "b")
+def overlaps(df: DataFrame, keys: Sequence[str], start: str, end: str, row: str, days: int = 30) -> DataFrame:
+    """Pairs (a, b) of rows of one key whose closed intervals of time overlap.
+
+    Intervals meet in stretches of ``days`` days that both lie in, and count where the later one begins, so rows
+    of a key that are far apart never meet.
+    """
+    stretch = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / (86_400 * days))
+    spread = df.where(F.col(start) <= F.col(end)).withColumn("_first", stretch(start))
+    spread = spread.select(*keys, row, start, end, "_first", F.explode(F.sequence("_first", stretch(end))).alias("_at"))
+    a = spread.select(*keys, "_at", F.col(row).alias("a"), F.col(start).alias("sa"), F.col(end).alias("ea"), F.col("_first").alias("fa"))
+    b = spread.select(*keys, "_at", F.col(row).alias("b"), F.col(start).alias("sb"), F.col(end).alias("eb"), F.col("_first").alias("fb"))
+    met = (F.col("a") < F.col("b")) & (F.col("sa") <= F.col("eb")) & (F.col("sb") <= F.col("ea")) & (F.col("_at") == F.greatest("fa", "fb"))
+    return a.join(b, [*keys, "_at"]).where(met).select(*keys, "a", "b")
 
 
 def has_overlap(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:

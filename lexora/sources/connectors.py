@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from lexora.operators.relational import running_sum
 
 Transport = Callable[[list[str]], list[str | None]]
 
@@ -34,7 +37,7 @@ _PERFORMANCES = "struct<db:array<struct<mt20id:string,prfnm:string,prfpdfrom:str
 
 def fetch(requests: DataFrame, url: str, transport: Transport, attempts: int = 3) -> DataFrame:
     """The requests with a body column and the attempts made; a failed request has no body."""
-    schema = requests.schema.add("body", "string").add("attempts", "integer")
+    schema = StructType([*requests.schema.fields, StructField("body", StringType()), StructField("attempts", IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -94,9 +97,7 @@ def translate_cached(terms: DataFrame, cache: DataFrame, translate: Transport, m
     """(term, value, cached): cached translations first, the rest fetched while the month's quota lasts."""
     known = terms.join(cache, "term").select("term", "value", F.lit(True).alias("cached"))
     todo = terms.join(cache.select("term"), "term", "left_anti").select("term").distinct()
-    spent = F.sum(F.length("term")).over(Window.orderBy("term").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    todo = todo.orderBy("term").limit(max(0, quota - month_used))  # a term has a character at least, so no more can be paid
-    allowed = todo.withColumn("_s", spent + month_used).where(F.col("_s") <= quota).drop("_s")
+    allowed = running_sum(todo, "term", F.length("term"), "_s").where(F.col("_s") + month_used <= quota).drop("_s")
     return known.unionByName(fetch(allowed, "term", translate).select("term", F.col("body").alias("value"), F.lit(False).alias("cached")))
 
 

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexora.operators import fuzzy, matching, quality, resolve
@@ -41,12 +42,23 @@ def test_components_of_nothing(spark):
 
 
 def test_one_page_under_three_media_is_no_consensus(spark):
-    schema = "entity long, locale string, spelling string, norm string, parent long, page string, trust double, confidence double, observed_at timestamp"
-    base = [(1, "en", "A", "a", p, "same", 1.0, 0.9, T0) for p in (1, 2, 3)]
+    schema = "entity long, locale string, spelling string, norm string, parent long, page string, trust double, confidence double, observed_at timestamp, domain string"
+    base = [(1, "en", "A", "a", p, "same", 1.0, 0.9, T0, "d") for p in (1, 2, 3)]
     as_of = F.lit(T0 + dt.timedelta(days=1))
     assert consensus(spark.createDataFrame(base, schema), as_of).count() == 0
-    assert consensus(spark.createDataFrame([*base, (1, "en", "A", "a", 4, "other", 1.0, 0.9, T0)], schema), as_of).count() == 1
+    assert consensus(spark.createDataFrame([*base, (1, "en", "A", "a", 4, "other", 1.0, 0.9, T0, "d")], schema), as_of).count() == 1
     assert consensus(spark.createDataFrame([], schema), as_of).count() == 0
+    unsure = spark.createDataFrame([*base, (1, "en", "A", "a", 4, "other", 1.0, None, T0, "d")], schema)
+    assert consensus(unsure, as_of).count() == 0
+    old = [(1, "en", "old", "a", 1, "p", 1.0, 0.9, T0 - dt.timedelta(days=200), "d")] * 9
+    good = spark.createDataFrame([*base, *old, (1, "en", "A", "a", None, "", 1.0, 0.9, T0, "e"), (1, "en", "A", "a", None, None, 1.0, 0.9, T0, "f")], schema)
+    won = consensus(good, as_of).first()
+    assert (won["spelling"], won["parents"], won["pages"]) == ("A", 5, 3)
+    hangul = spark.createDataFrame([(1, "en", "가", "가", p, f"p{p}", 1.0, 0.9, T0, "d") for p in (1, 2)], schema)
+    assert consensus(hangul, as_of).count() == 0
+    held = lambda source, locked: spark.createDataFrame([(1, "en", "B", source, locked)], "entity long, locale string, value string, source string, locked boolean")
+    assert consensus(good, as_of, stored=held("llm-provisional", False)).count() == 1
+    assert consensus(good, as_of, stored=held("operator", False)).count() == consensus(good, as_of, stored=held("llm-provisional", True)).count() == 0
 
 
 def test_gram_join_against_brute_force(spark):
@@ -65,10 +77,21 @@ def test_gram_join_against_brute_force(spark):
         assert got == want
 
 
-def test_match_texts(spark):
-    texts = spark.createDataFrame([(1, "오늘 아이유가 서울에 왔다"), (2, "한아이유나라"), (3, "we saw Red Velvet today"), (4, None)], "text_id long, text string")
-    names = spark.createDataFrame([(10, "아이유가"), (11, "Red Velvet"), (12, "서울에"), (13, "x")], "id long, n string")
-    assert rows(matching.match_texts(texts, names, "text", "text_id", "n", "id").select("text_id", "id")) == [(1, 10), (1, 12), (3, 11)]
+MENTIONS = ["아이유", "아이유가", "서울", "Red Velvet", "뷔", "온다", "사랑", "사랑이 온다", "정", "방탄소년단", "Zico", "BTS", "이름 없음"]
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_match_texts(spark, most):
+    """An automaton, and the join for any dictionary, find what the predicate finds on all pairs."""
+    draw = random.Random(5)
+    pieces = [*MENTIONS, "은", "가", "에서", " ", "나라", "x", "한", ",", "이", "랑"]
+    made = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 9))) for _ in range(150)]
+    texts = spark.createDataFrame(list(enumerate(["오늘 아이유가 서울에 왔다", "한아이유나라", "아이유는", "아이유나", None, "", *made])), "text_id long, text string")
+    names = spark.createDataFrame(list(enumerate([*MENTIONS, "아이유"], 10)), "id long, n string")
+    want = rows(texts.crossJoin(names).where(matching.boundary(F.col("text"), F.col("n"))).select("text_id", "id", F.length("n")))
+    got = matching.match_texts(texts, names, "text", "text_id", "n", "id", limit=None, most=most)
+    assert rows(got.select("text_id", "id", "fragment")) == want and {(0, 10), (0, 12), (2, 10)} <= {r[:2] for r in want} and not any(r[0] in (1, 3) for r in want)
+    assert matching.match_texts(texts, names.where("false"), "text", "text_id", "n", "id", most=most).count() == 0
 
 
 def test_alias_cascade(spark):
@@ -107,6 +130,19 @@ def test_merge_plan_and_gate(spark):
     assert resolve.merge_names(winners, losers).first()["aliases"] == ["B", "C", "D"]
 
 
+def test_overlaps_meet_in_stretches(spark):
+    draw, day = random.Random(3), dt.timedelta(days=1)
+    spans = [(i, i % 3, T0 + draw.randrange(400) * day) for i in range(90)]
+    spans = [(i, k, s, s + draw.choice([-1, 0, 3, 40, 200]) * day) for i, k, s in spans]
+    got = rows(R.overlaps(spark.createDataFrame(spans, "id long, k long, s timestamp, e timestamp"), ["k"], "s", "e", "id"))
+    assert got == sorted((k, i, j) for i, k, s, e in spans for j, q, t, u in spans if k == q and i < j and s <= e and t <= u and s <= u and t <= e)
+
+
+def test_running_sum(spark):
+    got = R.running_sum(spark.createDataFrame([(f"t{i:03}",) for i in range(100)], "t string").repartition(4), "t", F.length("t"), "s").orderBy("t").collect()
+    assert [r["s"] for r in got] == [4 * (i + 1) for i in range(100)]
+
+
 def test_surrogate_ids_are_consecutive(spark):
     df = spark.createDataFrame([(random.Random(i).random(),) for i in range(500)], "v double")
     got = [r["n"] for r in R.surrogate_ids(df, ["v"], "n").orderBy("v").collect()]
