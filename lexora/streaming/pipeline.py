@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from lexora.operators.consensus import ConsensusRule, sweep
 
@@ -62,19 +63,25 @@ class ConsensusStream:
         self.log, self.promoted, self.rule = f"{root}/log", f"{root}/promoted", rule
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """Appends a batch, then promotes: written under the batch's number, so a repeated batch replaces itself."""
+        """Appends a batch, then promotes: written under the batch's number, so a repeated batch replaces itself.
+
+        The log is partitioned by day, and only the days of the window are read.
+        """
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{self.log}/batch={batch_id}")
+        batch.withColumn("day", F.to_date("observed_at")).write.mode("overwrite").partitionBy("day").parquet(f"{self.log}/batch={batch_id}")
         newest = batch.agg(F.max("observed_at").alias("t")).first()["t"]
-        if newest is None:
-            return
-        log = spark.read.option("basePath", self.log).parquet(self.log).where(F.col("batch") <= batch_id).drop("batch")
-        empty = spark.createDataFrame([], "entity long, locale string, promoted_at timestamp_ntz")
-        promoted = empty
-        if batch_id:
-            promoted = spark.read.option("basePath", self.promoted).parquet(self.promoted).where(F.col("batch") < batch_id).select("entity", "locale", F.col("promoted_at").cast("timestamp_ntz"))
-        as_of = F.lit(newest).cast("timestamp_ntz")
-        won = sweep(log, promoted, as_of, self.rule).withColumn("promoted_at", as_of)
+        schema = "entity long, locale string, promoted_at timestamp_ntz"
+        won = spark.createDataFrame([], f"{schema}, norm string")
+        if newest is not None:
+            as_of = F.lit(newest).cast("timestamp_ntz")
+            since = F.date_sub(F.to_date(as_of), self.rule.days + 1)
+            log = spark.read.schema(StructType([*batch.schema.fields, StructField("day", DateType()), StructField("batch", LongType())])).option("basePath", self.log).parquet(self.log)
+            log = log.where((F.col("batch") <= batch_id) & (F.col("day") >= since)).drop("batch", "day")
+            promoted = spark.createDataFrame([], schema)
+            if batch_id:
+                kept = spark.read.schema(f"{schema}, batch long").option("basePath", self.promoted).parquet(self.promoted)
+                promoted = kept.where(F.col("batch") < batch_id).drop("batch")
+            won = sweep(log, promoted, as_of, self.rule).withColumn("promoted_at", as_of)
         won.write.mode("overwrite").parquet(f"{self.promoted}/batch={batch_id}")
 
 

@@ -33,6 +33,16 @@ def test_consensus_stream_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 0
 
 
+def test_consensus_stream_begins_empty(spark, sf_dir, tmp_path):
+    """A first batch without rows, or without promotions, leaves a table that the next one reads."""
+    obs = observations(spark, sf_dir)
+    each = P.ConsensusStream(str(tmp_path), ConsensusRule(change_minutes=60 * 24 * 40))
+    each(obs.where("false"), 0)
+    each(obs, 1)
+    each(obs.limit(5), 2)
+    assert spark.read.parquet(each.promoted).where("batch = 1").count() > 0
+
+
 def _drain(spark, stream, tmp_path, name):
     out = str(tmp_path / f"out-{name}")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"cp-{name}")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
