@@ -9,7 +9,7 @@ from lexora.functions.text import url_host
 from lexora.operators import consensus as C
 from lexora.operators import demand as D
 from lexora.operators.relational import page_after, top_per_key
-from lexora.plans.registry import query, whole
+from lexora.plans.registry import query
 from lexora.sources.tables import observations, table
 
 AS_OF = "2024-01-31 00:00:00"
@@ -26,14 +26,16 @@ OBSERVATIONS = """obs AS (
     CASE WHEN value < 400 THEN least(1.0, value / 50) END AS confidence, ts AS observed_at
   FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey)"""
 WEIGHED = f"""weighed AS (
-  SELECT entity, locale, norm, count(DISTINCT parent) AS parents, count(DISTINCT page) AS pages,
-    sum(CAST(coalesce(trust, 1.0) * coalesce(confidence, 0.85) AS DECIMAL(18, 6)))::DOUBLE AS weight
-  FROM obs WHERE observed_at >= TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AND coalesce(confidence, 0.85) >= 0.7
+  SELECT entity, locale, norm, count(DISTINCT coalesce(parent::VARCHAR, domain)) AS parents,
+    count(DISTINCT coalesce(nullif(page::VARCHAR, ''), 'domain:' || domain)) AS pages,
+    sum(CAST(coalesce(trust, 1.0) * confidence AS DECIMAL(18, 6)))::DOUBLE AS weight
+  FROM obs WHERE observed_at > TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AND confidence >= 0.7
   GROUP BY ALL)"""
-MODES = """modes AS (
+MODES = f"""modes AS (
   SELECT entity, locale, norm, spelling FROM (
     SELECT *, row_number() OVER (PARTITION BY entity, locale, norm ORDER BY c DESC, spelling) AS n
-    FROM (SELECT entity, locale, norm, spelling, count(*) AS c FROM obs GROUP BY ALL)) WHERE n = 1)"""
+    FROM (SELECT entity, locale, norm, spelling, count(*) AS c FROM obs
+      WHERE observed_at > TIMESTAMP '{AS_OF}' - INTERVAL 90 DAY AND confidence >= 0.7 GROUP BY ALL)) WHERE n = 1)"""
 WINNER = """SELECT entity, locale, norm, parents, pages, round(weight, 3) AS weight, spelling FROM (
   SELECT *, row_number() OVER (PARTITION BY entity, locale ORDER BY weight DESC, parents DESC, norm) AS n
   FROM weighed WHERE parents >= 2 AND pages >= 2 AND weight >= 1.5) JOIN modes USING (entity, locale, norm) WHERE n = 1"""
@@ -51,7 +53,7 @@ def consensus_pages_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups that media or pages alone would pass: none of them reaches consensus."""
     w = C.weigh(observations(spark, sf_dir), as_of())
     passes = (F.col("parents") >= 2) & (F.col("pages") >= 2) & (F.col("weight") >= 1.5)
-    return w.where("parents > pages OR pages < 2 OR parents < 2").withColumn("passes", passes).withColumn("weight", F.round("weight", 3))
+    return w.drop("spelling").where("parents > pages OR pages < 2 OR parents < 2").withColumn("passes", passes).withColumn("weight", F.round("weight", 3))
 
 
 @query(f"""WITH {OBSERVATIONS}, due AS (
@@ -219,15 +221,9 @@ def window_total_with_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT entity, form, votes, votes >= 2 AS accepted FROM (
   SELECT *, row_number() OVER (PARTITION BY entity ORDER BY votes DESC, form) AS n FROM (
-    SELECT user_id AS entity, event_type AS form, count(*) AS votes FROM events WHERE event_id % 50 < 3 GROUP BY ALL)) WHERE n = 1""")
+    SELECT user_id AS entity, event_type AS form, count(*) AS votes FROM events GROUP BY ALL)) WHERE n = 1""")
 def extraction_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form that most independent extractions agree on, of the events that its SQL samples."""
-    return _voted(table(spark, sf_dir, "events").where("event_id % 50 < 3"))
-
-
-@query(whole("extraction_votes", " WHERE event_id % 50 < 3"))
-def extraction_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form that most independent extractions agree on, of all events."""
+    """The form that most independent extractions agree on."""
     return _voted(table(spark, sf_dir, "events"))
 
 

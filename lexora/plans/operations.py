@@ -9,7 +9,7 @@ from lexora.functions import rank as K
 from lexora.functions import text as T
 from lexora.operators import gate
 from lexora.operators import quality as Q
-from lexora.plans.registry import query, whole
+from lexora.plans.registry import query
 from lexora.sources.tables import table
 
 AS_OF = "2001-08-02"
@@ -40,18 +40,11 @@ def backlog_ageing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("oldest_days", F.col("oldest_days").cast("long"))
 
 
-@query("""WITH e AS (SELECT c_custkey % 400 AS name, c_acctbal > 0 AS ready FROM customer WHERE c_custkey < 900), q AS (SELECT DISTINCT o_custkey % 500 AS name FROM orders WHERE o_orderkey % 20 = 0),
+@query("""WITH e AS (SELECT c_custkey % 400 AS name, c_acctbal > 0 AS ready FROM customer), q AS (SELECT DISTINCT o_custkey % 500 AS name FROM orders),
   h AS (SELECT name, count(*) AS n, bool_or(ready) AS partly, bool_and(ready) AS every FROM e GROUP BY 1)
   SELECT CASE WHEN every THEN 'served' WHEN partly THEN 'partly' WHEN n > 0 THEN 'preparing' WHEN q.name IS NOT NULL THEN 'queued' ELSE 'unknown' END AS state, count(*) AS names
   FROM (SELECT DISTINCT c_custkey % 600 AS name FROM customer) t LEFT JOIN h USING (name) LEFT JOIN q USING (name) GROUP BY 1""")
 def readiness_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names by how far they are served, by the first 900 customers and every twentieth order."""
-    customer = table(spark, sf_dir, "customer")
-    return _funnel(customer, customer.where("c_custkey < 900"), table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0"))
-
-
-@query(whole("readiness_funnel", " WHERE c_custkey < 900", " WHERE o_orderkey % 20 = 0"))
-def readiness_funnel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by how far they are served."""
     customer = table(spark, sf_dir, "customer")
     return _funnel(customer, customer, table(spark, sf_dir, "orders"))
@@ -85,23 +78,18 @@ def ttl_expire(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.expired(rows, "created", "notes", F.lit(AS_OF).cast("timestamp")).select("o_orderkey")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 7 < 3), r AS (SELECT l_orderkey AS k FROM lineitem WHERE l_orderkey % 7 IN (1, 2, 3) AND l_linenumber = 1)
+@query("""WITH s AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS k FROM orders), r AS (SELECT CASE WHEN o_orderkey % 13 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS k FROM orders)
   SELECT k, 'lost' AS leak FROM s WHERE k NOT IN (SELECT k FROM r) UNION ALL SELECT DISTINCT k, 'extra' FROM r WHERE k NOT IN (SELECT k FROM s) UNION ALL SELECT k, 'twice' FROM r GROUP BY k HAVING count(*) > 1""")
 def item_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids selected but not reported, reported but not selected, or reported twice."""
-    selected = table(spark, sf_dir, "orders").where("o_orderkey % 7 < 3").select(F.col("o_orderkey").alias("k"))
-    reported = table(spark, sf_dir, "lineitem").where("l_orderkey % 7 IN (1, 2, 3) AND l_linenumber = 1").select(F.col("l_orderkey").alias("k"))
+    """Ids selected but not reported, reported but not selected, or reported twice; some orders stand for each."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    selected = orders.select(F.when(key % 11 == 0, -key).otherwise(key).alias("k"))
+    reported = orders.select(F.when(key % 13 == 0, key + 1).otherwise(key).alias("k"))
     return Q.conservation(selected, reported, "k")
 
 
-@query("""SELECT o_custkey, o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'A' AND l_shipdate > TIMESTAMP '2001-01-01') AND o_orderkey % 5 = 0""")
+@query("""SELECT o_custkey, o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'A' AND l_shipdate > TIMESTAMP '2001-01-01')""")
 def retry_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows not yet tried with the same input inside the revisit window, of every fifth order."""
-    return _due(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0"))
-
-
-@query(whole("retry_gate", " AND o_orderkey % 5 = 0"))
-def retry_gate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows not yet tried with the same input inside the revisit window."""
     return _due(spark, sf_dir, table(spark, sf_dir, "orders"))
 
@@ -201,13 +189,13 @@ def charset_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang", T.valid_for_locale(F.col("text"), F.col("lang")).alias("ok"))
 
 
-@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS term FROM documents WHERE lang = 'en')
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^a-zA-Z0-9]+')) AS term FROM documents)
   SELECT term, CASE WHEN term = '' OR NOT regexp_matches(lower(term), '[a-z]') OR mash OR length(term) > 20 THEN 'reject' WHEN regexp_matches(term, '[0-9]') OR length(term) = 1 THEN 'review' ELSE 'pass' END AS verdict,
     CASE WHEN term = '' THEN 'empty' WHEN NOT regexp_matches(lower(term), '[a-z]') THEN 'no_letter' WHEN mash THEN 'mash' WHEN length(term) > 20 THEN 'len_gt_max' WHEN regexp_matches(term, '[0-9]') THEN 'digits' WHEN length(term) = 1 THEN 'single_char' ELSE 'plain' END AS reason
   FROM (SELECT term, regexp_matches(lower(term), 'MASH') OR regexp_matches(lower(term), '[bcdfghjklmnpqrstvwxz]{7}') AS mash FROM w)""".replace("MASH", "|".join(T.KEY_RUNS)))
 def intake_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The Latin part of the intake gate over all English words."""
-    words = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.split("text", "[^a-zA-Z0-9]+")).alias("term")).distinct()
+    """The Latin part of the intake gate over the Latin words of all documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split("text", "[^a-zA-Z0-9]+"))).alias("term")).distinct()
     return words.select("term", gate.latin_gate(F.col("term")).alias("g")).select("term", "g.verdict", "g.reason")
 
 

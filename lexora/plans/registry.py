@@ -21,13 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return put
-
-
-def whole(name: str, *filters: str) -> str:
-    """The SQL of a query without filters that leave it a part of a table."""
-    sql = ORACLES[name]
-    for part in filters:
-        if part not in sql:
-            raise ValueError(f"{part!r} is not in the SQL of {name}")
-        sql = sql.replace(part, "")
-    return sql
