@@ -27,7 +27,7 @@ from lexora.llm.tokenizing import byte_bpe, highest_bytes
 from lexora.session import bound_batches
 
 VOCABULARY = "byte_bpe_50k.json"
-SPREAD = 1 << 14
+SPREAD = 1 << 16
 _OUT = "doc_id long, n_tokens long, ids binary, decoded string"
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
