@@ -148,6 +148,18 @@ def test_quality(spark, sf_dir):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_quality_of_odd_rows(spark, sf_dir):
+    """Equal texts score alike whatever their ids and other columns; rows without a text, without an id and repeated ones each give a row."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = [*odd(), (7, "one two"), (4, "one two"), (14, "one two")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(7) for c in ("score", "predicted", "quality", "held_out", "toxic")})
+    got = quality(docs, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    scores = [r["score"] for r in got if r["doc_id"] in (13, 14)]
+    assert len(scores) == 2 and scores[0] == scores[1] and all(0 <= r["score"] <= 1 for r in got)
+    assert quality(docs.where("false"), labels).count() == 0
+
+
 def test_quality_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in quality(docs_of(spark, odd()), labels).collect()} == {1}
