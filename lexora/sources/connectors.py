@@ -8,6 +8,7 @@ with retries, and parsed with explicit schemas.
 from __future__ import annotations
 
 import json
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -23,14 +24,18 @@ Transport = Callable[[list[str]], list[str | None]]
 #: What each service's body holds: a schema, and the path of its list of records.
 SCHEMAS = {
     "knowledge_base_search": ("struct<search:array<struct<id:string,label:string,description:string>>>", "search"),
-    "film_titles": ("struct<results:array<struct<id:long,title:string,original_title:string,release_date:string>>>", "results"),
+    "film_titles": ("struct<results:array<struct<id:long,title:string,name:string,original_title:string,original_name:string,release_date:string>>>", "results"),
     "artists": ("struct<artists:array<struct<id:string,name:string,score:int,country:string>>>", "artists"),
     "tracks": ("struct<results:array<struct<trackId:long,trackName:string,artistName:string,releaseDate:string>>>", "results"),
     "releases": ("struct<results:array<struct<id:long,title:string,year:string,country:string>>>", "results"),
     "films_national": ("struct<movieListResult:struct<movieList:array<struct<movieCd:string,movieNm:string,movieNmEn:string>>>>", "movieListResult.movieList"),
-    "films_archive": ("struct<Data:array<struct<Result:array<struct<DOCID:string,title:string,titleEng:string>>>>>", "Data[0].Result"),
+    "films_archive": ("struct<Data:array<struct<Result:array<struct<DOCID:string,title:string,titleEng:string,titleEtc:string,prodYear:string>>>>>", "Data.Result"),
     "web_search": ("struct<items:array<struct<title:string,link:string,description:string>>>", "items"),
-    "app_store": ("struct<results:array<struct<trackId:long,trackName:string,trackViewUrl:string>>>", "results"),
+    "artist_detail": ("struct<id:string,name:string,aliases:array<struct<name:string,locale:string,type:string,primary:boolean>>>", "aliases"),
+    "film_translations": ("struct<translations:array<struct<iso_639_1:string,iso_3166_1:string,data:struct<title:string,name:string>>>>", "translations"),
+    "film_alternatives": ("struct<titles:array<struct<iso_3166_1:string,title:string>>>", "titles"),
+    "series_alternatives": ("struct<results:array<struct<iso_3166_1:string,title:string>>>", "results"),
+    "app_store": ("struct<results:array<struct<trackId:long,trackName:string,sellerName:string,trackViewUrl:string>>>", "results"),
 }
 _PERFORMANCES = "struct<db:array<struct<mt20id:string,prfnm:string,prfpdfrom:string>>>"
 
@@ -53,15 +58,22 @@ def fetch(requests: DataFrame, url: str, transport: Transport, attempts: int = 3
     return requests.mapInPandas(run, schema)
 
 
-def records(bodies: DataFrame, service: str) -> DataFrame:
-    """One row per record of a service's bodies."""
+def records(bodies: DataFrame, service: str, place: str | None = None, prefix: str = "") -> DataFrame:
+    """One row per record of a service's bodies: its fields, with its place in the body where a column is named for that.
+
+    The films of the archive come from all parts of a body. Fields that a request's own columns are named like, as ``id``, get the prefix.
+    """
     rest = [c for c in bodies.columns if c != "body"]
     if service == "performances":
         items = F.from_xml("body", _PERFORMANCES)["db"]
     else:
         schema, path = SCHEMAS[service]
         items = F.expr(f"from_json(body, '{schema}').{path}")
-    return bodies.select(*rest, F.explode(items).alias("record")).select(*rest, "record.*")
+        if service == "films_archive":
+            items = F.flatten(F.filter(items, lambda x: x.isNotNull()))
+    each = bodies.select(*rest, F.posexplode(items).alias("_at", "record"))
+    fields = [F.col(f"record.{c}").alias(f"{prefix}{c}" if c in rest else c) for c in each.select("record.*").columns]
+    return each.select(*rest, *([F.col("_at").alias(place)] if place else []), *fields)
 
 
 def entity_claims(bodies: DataFrame) -> DataFrame:
@@ -112,6 +124,52 @@ def call_model(rows: DataFrame, prompt: Column, model: Transport, schema: str) -
     return asked.withColumn("answer", F.from_json("body", schema)).drop("_prompt", "body", "attempts")
 
 
+# The locales whose spellings the second judge is shown.
+JUDGED_LOCALES = ["en", "ja", "zh", "vi"]
+QUESTION = (
+    "Is this a proper name of a Korean person, work, organization or institution of any field? Foreign people and media, products, services, "
+    'common words and sentences are not; foreign members of Korean groups are. Answer with one line of JSON: {"k_entity": true or false, "reason": "..."}'
+)
+
+
+def second_judge(rows: DataFrame, model: Transport, question: str = QUESTION) -> DataFrame:
+    """The rows with a verdict k_entity, its reason and a fault. rows: name, type, spellings (map by locale).
+
+    The answer may stand between other words: what is read lies between the first opening and the last closing brace. No answer,
+    one without braces and one that does not parse give no verdict and the faults ``no_answer``, ``no_json``, ``bad_json``.
+    """
+    said = lambda locale: F.trim(F.try_element_at("spellings", F.lit(locale)))
+    shown = [F.when(said(x) != "", F.concat(F.lit(f"{x}="), said(x))) for x in JUDGED_LOCALES]
+    prompt = F.concat_ws(" ", F.lit(question), F.concat(F.lit("name="), "name"), F.concat(F.lit("type="), "type"), *shown)
+    asked = fetch(rows.withColumn("_prompt", prompt), "_prompt", model)
+    held = F.regexp_extract("body", r"(?s)(\{.*\})", 1)
+    answer = F.from_json(held, "k_entity boolean, reason string, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    read = asked.withColumn("_held", held).withColumn("_answer", answer)
+    bad = F.col("_answer").isNull() | F.col("_answer._bad").isNotNull()
+    fault = F.when(F.col("body").isNull(), "no_answer").when(F.col("_held") == "", "no_json").when(bad, "bad_json")
+    verdict = F.coalesce("_answer.k_entity", F.lit(False))
+    return read.select(*rows.columns, F.when(fault.isNull(), verdict).alias("k_entity"), F.when(fault.isNull(), F.col("_answer.reason")).alias("reason"), fault.alias("fault"))
+
+
+def command_transport(command: list[str], seconds: float = 90.0) -> Transport:
+    """A transport that runs a local command for each request, one after the other, with the request as its last argument.
+
+    What the command prints is the body. A command that fails, is missing or takes too long gives none; ``fetch`` then tries again.
+    """
+
+    def run(requests: list[str]) -> list[str | None]:
+        bodies = []
+        for request in requests:
+            try:
+                done = subprocess.run([*command, request], capture_output=True, text=True, timeout=seconds, check=False)  # noqa: S603
+                bodies.append(done.stdout if done.returncode == 0 else None)
+            except (OSError, subprocess.TimeoutExpired):
+                bodies.append(None)
+        return bodies
+
+    return run
+
+
 def spelling_extractor(model: Transport):
     """A table function from an article to (locale, spelling, hint, confidence) rows, by a pluggable model."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,19 +57,56 @@ def import_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
 
 
+class _Pending:
+    """A value that one caller computes while others wait."""
+
+    def __init__(self):
+        self.ready, self.value, self.error, self.until = threading.Event(), None, None, 0.0
+
+
 class ResultCache:
-    """Results kept by a digest of the request for a time, each computed once."""
+    """Results kept by a digest of the request for a time; callers that ask at once share one computation.
 
-    def __init__(self, seconds: float):
-        self.seconds, self.held = seconds, {}
+    At most ``most`` are kept: spent ones go first, then all that are finished. A failure reaches all who waited for it and is not kept.
+    Without a lifetime nothing is kept.
+    """
 
-    def get(self, key: tuple, compute, now: float):
-        """(value, whether it was held)."""
-        import hashlib
+    def __init__(self, seconds: float, most: int = 2048):
+        self.seconds, self.most, self.held, self.lock = seconds, most, {}, threading.Lock()
 
+    def get(self, key: tuple, compute, now: float):
+        """(value, whether it was held or shared)."""
+        if self.seconds <= 0:
+            return compute(), False
         digest = hashlib.sha256(repr(key).encode()).hexdigest()
-        if digest in self.held and now - self.held[digest][0] < self.seconds:
-            return self.held[digest][1], True
-        value = compute()
-        self.held[digest] = (now, value)
-        return value, False
+        with self.lock:
+            entry = self.held.get(digest)
+            mine = entry is None or (entry.ready.is_set() and now >= entry.until)
+            if mine:
+                self.held.pop(digest, None)
+                if len(self.held) >= self.most:
+                    self._shrink(now)
+                entry = self.held[digest] = _Pending()
+        if not mine:
+            entry.ready.wait()
+            if entry.error is not None:
+                raise entry.error
+            return entry.value, True
+        try:
+            entry.value = compute()
+        except BaseException as error:
+            entry.error = error
+            with self.lock:
+                if self.held.get(digest) is entry:
+                    del self.held[digest]
+            raise
+        finally:
+            entry.until = now + self.seconds
+            entry.ready.set()
+        return entry.value, False
+
+    def _shrink(self, now: float) -> None:
+        for spent in (lambda e: now >= e.until, lambda e: True):
+            self.held = {k: e for k, e in self.held.items() if not (e.ready.is_set() and spent(e))}
+            if len(self.held) < self.most:
+                return
