@@ -80,12 +80,16 @@ def json_fingerprint(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-# Older entity types and the common type of each.
-COMMON_TYPES = {"person": "person", "group": "group", "character": "character", "drama": "work", "movie": "work", "show": "work", "song_album": "work", "webtoon": "work", "publication": "work", "game": "work", "musical_play": "work", "agency": "organization", "company": "organization", "organization": "organization", "channel_outlet": "organization", "school": "organization", "sports_team": "organization", "political_party": "organization", "government_body": "organization", "brand_place": "place", "event_tour": "event"}
+# Older entity types and the common type of each; all others are works.
+COMMON_TYPES = {
+    "person": "person", "group": "organization", "agency": "organization", "organization": "organization", "channel_outlet": "organization", "political_party": "organization",
+    "government_body": "organization", "sports_team": "organization", "school": "organization", "company": "company", "location": "location", "event": "event", "product": "product",
+    "character": "character", "event_tour": "event", "term": "concept", "unknown": "unknown",
+}
 
 
-def common_type(kind: Column, table: dict[str, str] = COMMON_TYPES) -> Column:
-    out = F.lit("other")
+def common_type(kind: Column, table: dict[str, str] = COMMON_TYPES, otherwise: str = "work") -> Column:
+    out = F.lit(otherwise)
     for old, new in reversed(table.items()):
         out = F.when(kind == old, new).otherwise(out)
     return out

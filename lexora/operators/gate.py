@@ -118,6 +118,38 @@ def type_from_cues(context: Column, term: Column) -> Column:
     return T.let(T.let(F.replace(context, term, F.lit(" ")), hits), lambda found: F.when(F.size(found) == 1, F.element_at(found, 1)))
 
 
+def most_cued_type(text: Column) -> Column:
+    """The type most of whose cues a text holds, in any case; of equals the first by name; null without any."""
+    counted = lambda low: F.array(*[F.struct((-sum((F.contains(low, F.lit(c.lower())).cast("int") for c in cues), F.lit(0))).alias("hits"), F.lit(kind).alias("kind")) for kind, cues in TYPE_CUES.items()])
+    return T.let(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array_min(F.filter(counted(low), lambda x: x["hits"] < 0))["kind"])
+
+
+# Types that are taken from a request or its notes, and the mark of such a note.
+GIVEN_TYPES = [*TYPE_CUES, "term"]
+NOTED_TYPE = "소비자 type힌트=([a-z_]+)"
+
+
+def type_from_evidence(requested: Column, notes: Column, classes: Column, class_types: dict[str, str], text: Column) -> Column:
+    """struct(type, confidence, source, evidence): the first of the type requested, one noted from a request, that of the first claimed
+    class in ``class_types``, the type most of whose cues the text holds; else ``unknown`` without a source. Nothing is guessed."""
+    fit = lambda c: T.let(F.lower(F.trim(c)), lambda t: F.when(t.isin(*GIVEN_TYPES), t))
+    table = F.create_map(*[F.lit(x) for pair in (class_types or {"": ""}).items() for x in pair])
+    claims = F.filter(F.coalesce(classes, F.array().cast("array<string>")), lambda c: F.coalesce(F.try_element_at(table, c), F.lit("")) != "")
+    held = F.struct(
+        fit(requested).alias("asked"), fit(F.regexp_extract(notes, NOTED_TYPE, 1)).alias("noted"), F.get(claims, F.lit(0)).alias("claim"),
+        most_cued_type(text).alias("cue"),
+    )
+    answer = lambda kind, sure, source, why: F.struct(kind.alias("type"), F.lit(sure).alias("confidence"), F.lit(source).alias("source"), why.alias("evidence"))
+    return T.let(
+        held,
+        lambda h: F.when(h["asked"].isNotNull(), answer(h["asked"], 0.80, "consumer-type", F.lit("requested")))
+        .when(h["noted"].isNotNull(), answer(h["noted"], 0.75, "consumer-type", F.lit("noted")))
+        .when(h["claim"].isNotNull(), answer(F.try_element_at(table, h["claim"]), 0.85, "wikidata-p31", h["claim"]))
+        .when(h["cue"].isNotNull(), answer(h["cue"], 0.55, "context-cue", F.lit("cue")))
+        .otherwise(answer(F.lit("unknown"), 0.0, "", F.lit(""))),
+    )
+
+
 def shape_conflict(term: Column, kind: Column) -> Column:
     """Whether a term's own words contradict its type: a role at a person's name, a group beside it, a place, an event, an outlet."""
     words = F.split(term, " ")

@@ -14,7 +14,7 @@ from lexora.plans.registry import query
 from lexora.sources.tables import table
 
 
-def _choose(c: Column, values: list) -> Column:
+def choose(c: Column, values: list) -> Column:
     """One of some values by a number's remainder."""
     return F.element_at(F.array(*map(F.lit, values)), (c % len(values) + 1).cast("int"))
 
@@ -51,7 +51,7 @@ MACHINES = ["gtranslate", "kana-rule", "llm-provisional", "opencc"]
 def shown_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each shown value comes from, how it came about, whether it counts as verified, and why it is absent."""
     n = F.col("c_nationkey")
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("value"), _choose(F.col("c_custkey"), SOURCES).alias("own"), K.verification_tier(F.when(n < 8, 1).otherwise(0), F.when(n < 16, 1).otherwise(0)).alias("tier"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, F.col("c_name")).alias("value"), choose(F.col("c_custkey"), SOURCES).alias("own"), K.verification_tier(F.when(n < 8, 1).otherwise(0), F.when(n < 16, 1).otherwise(0)).alias("tier"))
     shown = K.effective_source(F.col("value"), F.col("own"), F.lit("wikidata-label"))
     rows = rows.withColumn("shown", shown)
     return rows.select(
@@ -74,7 +74,7 @@ def entity_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = F.array(F.lit("Q0"), F.when(k % 2 == 0, "Q2").otherwise("Q3"), F.when(k % 5 == 0, "Q1").otherwise("Q4"))
     values = F.map_from_arrays(F.array(F.lit("en"), F.lit("ja"), F.lit("zh")), F.array(F.when(F.col("s_acctbal") > 0, F.col("s_name")), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")), F.lit(" ")))
     return table(spark, sf_dir, "supplier").select(
-        "s_suppkey", K.common_type(_choose(k, KINDS)).alias("common"), K.provider_of(source, {"tmdb": "films", "musicbrainz": "music"}).alias("provider"),
+        "s_suppkey", K.common_type(choose(k, KINDS), dict(zip(KINDS, COMMON, strict=True)), "other").alias("common"), K.provider_of(source, {"tmdb": "films", "musicbrainz": "music"}).alias("provider"),
         K.first_known(claims, {"Q1": "male", "Q2": "female"}).alias("gender"), F.array_join(K.locale_gaps(values, ["en", "ja", "zh"]), ",").alias("gaps"),
     )
 
@@ -136,9 +136,9 @@ def refused_name_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes that a lock, a stronger source or a reversed validity forbids."""
     k = F.col("s_suppkey")
     supplier = table(spark, sf_dir, "supplier")
-    current = supplier.select("s_suppkey", (k % 9 == 0).alias("locked"), _choose(k, RANKED).alias("source"))
+    current = supplier.select("s_suppkey", (k % 9 == 0).alias("locked"), choose(k, RANKED).alias("source"))
     day = F.to_date(F.lit("2020-01-01"))
-    writes = supplier.select("s_suppkey", _choose(F.floor(k / 5), RANKED).alias("source"), day.alias("valid_from"), F.when(F.col("s_nationkey") < 3, F.date_sub(day, 1)).when(F.col("s_nationkey") < 9, day).alias("valid_to"))
+    writes = supplier.select("s_suppkey", choose(F.floor(k / 5), RANKED).alias("source"), day.alias("valid_from"), F.when(F.col("s_nationkey") < 3, F.date_sub(day, 1)).when(F.col("s_nationkey") < 9, day).alias("valid_to"))
     return Q.refused_writes(current, writes, "s_suppkey").select("s_suppkey")
 
 
