@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexora.plans import entities, evidence, operations, records, values  # noqa: F401  register their queries
+from lexora.plans import entities, evidence, operations, records, values, workflow  # noqa: F401  register their queries
 from lexora.plans.registry import ORACLES, QUERIES, Query
 
 
