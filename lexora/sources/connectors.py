@@ -113,6 +113,22 @@ def translate_cached(terms: DataFrame, cache: DataFrame, translate: Transport, m
     return known.unionByName(fetch(allowed, "term", translate).select("term", F.col("body").alias("value"), F.lit(False).alias("cached")))
 
 
+def convert_variant(rows: DataFrame, name: str, transport: Transport, most: int = 200) -> DataFrame:
+    """The rows with ``converted``: a Chinese name in the variant that a service's transport writes, whose bodies hold it as HTML.
+
+    A name without Chinese characters is its own conversion and asks nothing; equal names ask once. A failed answer, an empty one or one
+    over ``most`` bytes gives null, never the name itself: a name in the wrong variant must not be taken for a converted one.
+    """
+    own = F.trim(name)
+    asked = rows.select(own.alias("_name")).where(F.col("_name").rlike(r"\p{IsHan}")).distinct()
+    html = F.from_json("body", "parse struct<text:struct<`*`:string>>")["parse"]["text"]["*"]
+    plain = F.trim(F.replace(F.trim(F.regexp_replace(html, "<[^>]+>", "")), F.lit("\n"), F.lit(" ")))
+    told = fetch(asked, "_name", transport).select("_name", plain.alias("_told"))
+    met = rows.withColumn("_name", own).join(told, "_name", "left")
+    good = F.when((F.col("_told") != "") & (F.octet_length("_told") <= most), F.col("_told"))
+    return met.select(*rows.columns, F.when(F.col("_name").rlike(r"\p{IsHan}"), good).otherwise(F.col("_name")).alias("converted"))
+
+
 def health(calls: DataFrame) -> DataFrame:
     """Calls and failures of each service. calls: source, status."""
     return calls.groupBy("source").agg(F.count("*").alias("calls"), F.count_if((F.col("status") >= 400) | F.col("status").isNull()).alias("failures"))

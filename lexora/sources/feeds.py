@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexora.functions.text import clean_html, contains_word, url_host
 from lexora.operators.relational import insert_absent
+from lexora.sources.connectors import Transport, fetch
 
 #: Fixed value: bytes of a feed that are read.
 MOST_BYTES = 5 << 20
@@ -58,6 +59,56 @@ def feed_links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'(?i)<link[^>]+type="application/(?:rss|atom)\+xml"[^>]+href="([^"]+)"'), 1)
 
 
+# Where feeds are looked for that no page announces, and how many announced ones are tried.
+FEED_PATHS = ["/feed", "/feed/", "/rss", "/rss/", "/rss.xml", "/atom.xml", "/feed.xml", "/index.xml"]
+MOST_LINKS = 5
+
+
+def announced(html: Column, base: Column) -> Column:
+    """Up to ``MOST_LINKS`` structs (url, title) of feeds that a page at ``base``, which ends with a slash, announces, absolute and without repeats."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)(<link\s[^>]*>)"), 1), lambda t: t.rlike("""(?i)rel=["']alternate["']""") & t.rlike("""(?i)type=["']application/(?:rss|atom)\\+xml["']"""))
+    root = F.regexp_extract(base, "^(https?:)//[^/]*", 0)
+
+    def link(tag: Column) -> Column:
+        href = F.trim(F.regexp_extract(tag, """(?i)href=["']([^"']+)["']""", 1))
+        whole = (
+            F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).when(F.startswith(href, F.lit("/")), F.concat(root, href))
+            .when(href != "", F.concat(base, F.regexp_replace(href, r"^(\./)+", "")))
+        )
+        return F.struct(whole.alias("url"), F.regexp_extract(tag, """(?i)title=["']([^"']+)["']""", 1).alias("title"))
+
+    found = F.filter(F.transform(tags, link), lambda x: x["url"].isNotNull())
+    first = F.filter(found, lambda x, i: ~F.array_contains(F.transform(F.slice(found, F.lit(1), i), lambda y: y["url"]), x["url"]))
+    return F.slice(first, 1, MOST_LINKS)
+
+
+def discover(domains: DataFrame, transport: Transport) -> DataFrame:
+    """(domain, url, title) of each domain's feed: the first that has items, of those its home page announces, else of ``FEED_PATHS``.
+
+    The page below ``www.`` is asked only where the plain one announces none. All domains go through each step together; the usual
+    paths are tried only for domains still without a feed. Domains without one have no url; blank ones are passed over.
+    """
+    # Fetched bodies are kept: what is asked of the network once is not asked again by a later step.
+    named = domains.select(F.regexp_replace(F.trim("domain"), "/$", "").alias("domain")).where("domain <> ''").distinct()
+
+    def pages(rows: DataFrame, place: Column) -> DataFrame:
+        bodies = fetch(rows.withColumn("url", place), "url", transport)
+        links = bodies.select("domain", F.posexplode(announced(F.col("body"), F.col("url"))).alias("place", "l"))
+        return links.select("domain", "place", F.col("l.url").alias("url"), F.col("l.title").alias("title")).persist()
+
+    def working(candidates: DataFrame) -> DataFrame:
+        bodies = fetch(candidates, "url", transport).select("domain", "place", "url", "title", "body")
+        items = parse_feeds(bodies.select("domain", "place", F.col("url").alias("feed"), F.col("title").alias("feed_title"), "body"))
+        return items.groupBy("domain").agg(F.min(F.struct("place", F.col("feed").alias("url"), F.col("feed_title").alias("title"))).alias("f")).select("domain", "f.url", "f.title").persist()
+
+    plain = pages(named, F.concat(F.lit("https://"), "domain", F.lit("/")))
+    below = pages(named.join(plain.select("domain").distinct(), "domain", "left_anti"), F.concat(F.lit("https://www."), F.regexp_replace("domain", r"^www\.", ""), F.lit("/")))
+    told = working(plain.unionByName(below))
+    left = named.join(told.select("domain"), "domain", "left_anti").select("domain", F.posexplode(F.array(*map(F.lit, FEED_PATHS))).alias("place", "path"))
+    usual = working(left.select("domain", "place", F.concat(F.lit("https://"), "domain", "path").alias("url"), F.lit("").alias("title")))
+    return named.join(told.unionByName(usual), "domain", "left")
+
+
 def site_queries(entities: DataFrame, domains: DataFrame) -> DataFrame:
     """One search for each entity and domain of its locale."""
     return entities.join(domains, "locale").select("id", "domain", F.concat(F.lit("site:"), F.col("domain"), F.lit(' "'), F.col("name"), F.lit('"')).alias("query"))
