@@ -19,7 +19,10 @@ members:
 2. What belongs together forms groups. The texts of a group of up to ``SMALL`` members meet in one
    task, once, where all pairs are compared by a product of their membership matrices: exact
    intersections, and the group's components at once.
-3. A larger group is dealt into blocks at random, which settles most of it, and then goes through its
+3. A group of up to ``FEW`` times ``SMALL`` members is dealt into half blocks at random. Every two of
+   them meet in one task, all in one round, so all pairs are compared as in 2, and a spanning forest
+   of the links goes out.
+4. A larger group is dealt into blocks at random, which settles most of it, and then goes through its
    trees, one after the other: only nodes that still hold several components are compared, as in 2,
    and a spanning forest of new links goes out. Nodes of more than ``SMALL`` members are branched
    further by deeper trees, and what stays larger is compared block by block, so no link is given up.
@@ -39,6 +42,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,8 @@ TOKENS, MISS = 96, 4e-6
 SLACK = 4.8
 #: Members, and shingles of all members, that are compared in one task; how often larger nodes are branched further.
 SMALL, SHINGLES, REGROW = 1024, 1 << 20, 2
+#: Blocks of ``SMALL`` members up to which a group is compared at once; a text goes to 2 * FEW - 1 tasks at most.
+FEW = 4
 #: Rows without texts that are handed to Python at once.
 NARROW = 16_384
 
@@ -164,7 +170,8 @@ def _groups_of(key: np.ndarray) -> Iterator[tuple[int, int]]:
 def _forest(members: int, labels: np.ndarray, linked: Callable[[int], np.ndarray]) -> tuple[list[tuple[int, int]], np.ndarray]:
     """(spanning forest of new links, component of each member) where members of one label belong together.
 
-    linked: a mask of the members linked with one.
+    linked: a mask of the members linked with one. The forest is of stars around first members, which
+    joins to components in fewer steps than paths.
     """
     own: dict[int, list[int]] = {}
     for i, x in enumerate(labels.tolist()):
@@ -180,7 +187,7 @@ def _forest(members: int, labels: np.ndarray, linked: Callable[[int], np.ndarray
             j = todo.pop()
             for k in np.flatnonzero(linked(j) & left).tolist():
                 if left[k]:
-                    forest.append((j, k))
+                    forest.append((i, k))
                     more = own[labels[k]]
                     left[more] = False
                     component[more] = i
@@ -281,11 +288,14 @@ def _comparer(percent: int, settled: bool):
     return run
 
 
-def _compare(rows: DataFrame, texts: DataFrame, percent: int, settled: bool = False) -> DataFrame:
-    """rows: (key, node, label); texts: (node, packed)."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A text is joined once to its node, then goes to each of its keys.
-    own = rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label"))
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(node, keys, label) of (key, node, label): a text is joined once to its node, then goes to each of its keys."""
+    return rows.groupBy("node").agg(F.collect_list("key").alias("keys"), F.first("label").alias("label"))
+
+
+def _compare(own: DataFrame, texts: DataFrame, percent: int, settled: bool = False) -> DataFrame:
+    """own: (node, keys, label), a row for each node; texts: (node, packed)."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = own.join(texts, "node").select(F.explode("keys").alias("key"), "node", "label", "packed")
     dealt = met.repartition(parts, "key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(_comparer(percent, settled), "node long, component long" if settled else "src long, dst long")
@@ -346,17 +356,29 @@ def _climb(members: DataFrame, labels: DataFrame, texts: DataFrame, trees: int,
     for tree in range(trees):
         mixed = cut(_mixed(members, labels, trees, tree).where("blocks = 1"))
         if not mixed.isEmpty():
-            labels = _linked_further(_compare(mixed.select(F.xxhash64("gid", "path").alias("key"), "node", "label"), texts, percent), labels)
+            labels = _linked_further(_compare(_gathered(mixed.select(F.xxhash64("gid", "path").alias("key"), "node", "label")), texts, percent), labels)
         forget(mixed)
     return labels, cut(_mixed(members, labels, trees).where("blocks > 1"))
 
 
+def _middling(groups: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the linked members of groups of a few blocks, in one round. groups: gid, node, blocks."""
+    halves = 2 * F.col("blocks")
+    dealt = groups.select("gid", "node", F.pmod(F.xxhash64("node"), halves).cast("int").alias("own"), F.sequence(F.lit(0), halves - 1).alias("others"))
+    keys = F.transform(F.filter("others", lambda x: x != F.col("own")), lambda x: F.xxhash64("gid", F.least("own", x), F.greatest("own", x)))
+    met = dealt.select("node", keys.alias("keys"), F.col("node").alias("label"))
+    links = cut(_compare(met, sketch.select(F.col("row").alias("node"), "packed"), percent))
+    linked = connected_components(links)
+    forget(links)
+    return linked
+
+
 def _large(groups: DataFrame, classes: DataFrame, sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFrame:
     """(node, component) of the members of large groups. groups: gid, node, blocks; classes: node, n, paths."""
     share = percent / 100
     texts = cut(sketch.join(groups.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "packed"))
     labels = cut(groups.select("node", F.col("node").alias("component")))
-    dealt = groups.select(F.xxhash64("gid", F.pmod(F.xxhash64("node"), "blocks")).alias("key"), "node", F.col("node").alias("label"))
+    dealt = groups.select("node", F.array(F.xxhash64("gid", F.pmod(F.xxhash64("node"), "blocks"))).alias("keys"), F.col("node").alias("label"))
     labels = _linked_further(_compare(dealt, texts, percent), labels)
     members = cut(groups.select("gid", "node").join(classes, "node"))
     labels, crowded = _climb(members, labels, texts, trees, percent)
@@ -377,7 +399,7 @@ def _large(groups: DataFrame, classes: DataFrame, sketch: DataFrame, percent: in
         others = F.sequence(F.lit(0), F.col("blocks") - 1)
         met = crowded.withColumn("own", own).withColumn("other", F.explode(others))
         cell = F.least("own", "other") * F.col("blocks").cast("long") + F.greatest("own", "other")
-        labels = _linked_further(_compare(met.select(F.xxhash64("gid", "path", cell).alias("key"), "node", "label"), texts, percent), labels)
+        labels = _linked_further(_compare(_gathered(met.select(F.xxhash64("gid", "path", cell).alias("key"), "node", "label")), texts, percent), labels)
     forget(members, crowded, texts)
     return labels
 
@@ -414,12 +436,15 @@ def _labelled(sketch: DataFrame, percent: int, seed: int, trees: int) -> DataFra
     sizes = groups.groupBy("gid").agg(_blocks(F.count("*"), F.sum("n")).alias("blocks"))
     groups = cut(groups.select("gid", "node").join(sizes, "gid"))
     forget(together)
-    small = groups.where("blocks = 1").select(F.col("gid").alias("key"), "node", F.col("node").alias("label"))
+    small = groups.where("blocks = 1").select("node", F.array("gid").alias("keys"), F.col("node").alias("label"))
     labels = [cut(_compare(small, sketch.select(F.col("row").alias("node"), "packed"), percent, settled=True))]
-    large = groups.where("blocks > 1")
+    middling = groups.where(F.col("blocks").between(2, FEW))
+    if not middling.isEmpty():
+        labels.append(_middling(middling, sketch, percent))
+    large = groups.where(F.col("blocks") > FEW)
     if not large.isEmpty():
         labels.append(_large(large, classes.select("node", "n", "paths"), sketch, percent, seed, trees))
-    every = labels[0] if len(labels) == 1 else labels[0].union(labels[1])
+    every = reduce(DataFrame.union, labels)
     named = every.join(classes.select("node", "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     found = named.join(least, "component").select(F.col("node").alias("member"), "component_id")

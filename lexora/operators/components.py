@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
     each round every vertex hooks onto its smallest neighbour, hooks are followed to their ends by
     doubling jumps, and the edges are carried over to those ends, where most of them fall away: every
     round at least halves what is not done, and a star is done in one. Each step is written to the
-    shared folder and the one before it deleted; only whether edges are left reaches the driver.
+    shared folder and the one before it deleted; only whether edges are left reaches the driver. Edges
+    that ``cut`` has written are read from there and not written again.
 
     ``labels`` are components already known, to which the edges are added.
     """
@@ -26,7 +27,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", l
         half = half.join(own, "u", "left").join(other, "v", "left")
         half = half.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).where("u != v")
     both = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    todo = cut(half.select(both.alias("e")).select("e.u", "e.v").distinct())
+    todo = half.select(both.alias("e")).select("e.u", "e.v")
+    if labels is not None or not hasattr(edges, "cut_path"):
+        todo = cut(todo.distinct())
     given = labels
     for _ in range(max_rounds):
         if labels is not None and todo.isEmpty():

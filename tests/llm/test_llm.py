@@ -98,6 +98,20 @@ def test_near_duplicates_large_nodes(spark, monkeypatch):
     assert got == brute_components(rows, 85)
 
 
+@pytest.mark.parametrize("members", [12, 20, 32])
+def test_near_duplicates_groups_of_a_few_blocks(spark, monkeypatch, members):
+    """Groups of two to four blocks are compared whole in one round: two tables of links are written in all, 8, 19 and 39 were."""
+    from lexora.llm import near_dedup
+
+    written, cut = [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "cut", lambda df: written.append(df.columns) or cut(df))
+    rows = near_copies(6, 2, members, 0.022) + near_copies(7, 1, 4, 0.01, 1000)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(spark, rows), 85).collect()}
+    assert got == brute_components(rows, 85)
+    assert written.count(["src", "dst"]) == 2 and len(written) == 9
+
+
 @pytest.mark.parametrize("operator", [lambda d: near_duplicates(d), lambda d: encode_documents(d), lambda d: packing.pack_documents(d), lambda d: fingerprint_edits(d), lambda d: secrets.scan_secrets(d), lambda d: secrets.redact_secrets(d), lambda d: licenses.scan_licenses(d), lambda d: sharding.shard_documents(d)])
 def test_empty_table(spark, operator):
     assert operator(docs_of(spark, [(1, "x")]).where("false")).count() == 0

@@ -41,6 +41,20 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_written_edges(spark, monkeypatch):
+    """Edges that are written already are not written again; repeated ones, loops, nulls and none at all included."""
+    from lexora.operators import components
+
+    written, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append(df.columns) or cut(df))
+    edges = [(5, 2), (5, 2), (2, 9), (4, 4), (None, 1), (8, 7), (7, 9), (20, 21)]
+    for own, want in ((edges, {2: 2, 5: 2, 7: 2, 8: 2, 9: 2, 20: 20, 21: 20}), ([], {})):
+        written.clear()
+        found = connected_components(cut(spark.createDataFrame(own, "src long, dst long")))
+        assert {r["node"]: r["component"] for r in found.collect()} == want
+        assert written[0] == ["u", "r"]
+
+
 def test_one_page_under_three_media_is_no_consensus(spark):
     schema = "entity long, locale string, spelling string, norm string, parent long, page string, trust double, confidence double, observed_at timestamp, domain string"
     base = [(1, "en", "A", "a", p, "same", 1.0, 0.9, T0, "d") for p in (1, 2, 3)]
